@@ -173,3 +173,50 @@ def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END AS ACTIVE",
         "CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE n_name END AS NAMEHCR",
     )
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with a two-word trade name, their nation and a padded number."""
+    supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    nation = table(spark, sf_dir, "nation")
+    return (
+        supplier.join(part, F.col("p_partkey") == F.col("s_suppkey"))
+        .join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+        .withColumn("k", F.expr("concat('K', lpad(s_suppkey, 6, '0'))"))
+        .withColumn("w1", F.expr("split_part(p_name, ' ', 1)"))
+        .withColumn("w2", F.expr("split_part(p_name, ' ', 2)"))
+    )
+
+
+def named_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active charters with word names, for the match."""
+    return _named(spark, sf_dir).where("s_acctbal > 0").selectExpr(
+        """CASE WHEN s_suppkey = 8 THEN 'Citibank, National Association' ELSE
+           concat(p_name, ' ', n_name, ' ', k, ' Bank, National Association') END AS NAME""",
+        "CAST(s_suppkey AS STRING) AS CERT",
+        "CAST(CAST(s_acctbal * 1000 AS DECIMAL(20,2)) AS STRING) AS ASSET",
+        "concat('S', s_nationkey) AS STALP",
+        "CASE WHEN s_suppkey % 7 <> 0 THEN n_name END AS NAMEHCR",
+    )
+
+
+COMPANY_VARIANTS = """CASE s_suppkey % 10
+    WHEN 0 THEN concat('The ', p_name, ' ', n_name, ' ', k, ' Bank N.A.')
+    WHEN 1 THEN concat(k, ' ', w2, ' ', w1, ' Nation Financial Group, Inc.')
+    WHEN 2 THEN concat(p_name, ' ', k, ' Bank')
+    WHEN 3 THEN concat(p_name, ' Nation Alpha ', k, ' Bancorp')
+    WHEN 4 THEN concat(w1, ' ', k, ' Bank')
+    WHEN 5 THEN concat(p_name, ' ', k, ' Federal Credit Union')
+    WHEN 6 THEN concat('Equifax ', k)
+    WHEN 7 THEN CASE WHEN s_suppkey = 7 THEN 'Discover Bank'
+        ELSE concat('Zyx', k, ' Quo', k, ' Partners') END
+    WHEN 8 THEN CASE WHEN s_suppkey = 8 THEN 'CITIBANK, N.A.'
+        ELSE concat('Nation Trust ', s_suppkey) END
+    ELSE concat(w1, ' & ', w2, ' ', n_name, ' ', k, ' Bk Natl Assn') END"""
+
+
+def named_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies named after the institutions with the variations a match must handle."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n_complaints"))
+    named = _named(spark, sf_dir).select("s_suppkey", F.expr(COMPANY_VARIANTS).alias("company"))
+    return named.join(counts, F.col("s_suppkey") == F.col("l_suppkey")).select("company", "n_complaints")

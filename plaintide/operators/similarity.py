@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Python workers get these helpers with the task, so the package need not be
+# installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def common_subsequence(left: str, right: str) -> int:
@@ -52,6 +60,6 @@ def token_set_score(left: str, right: str) -> float:
     return max(scores)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pair_score(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([token_set_score(a, b) for a, b in zip(left, right)], dtype="float64")

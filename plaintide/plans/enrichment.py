@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.functions.numbers import percent_of, ratio, rounded
-from plaintide.operators.aggregates import counted, lag_mean, lag_parts, summed
+from plaintide.operators.aggregates import counted, lag_mean
+from plaintide.plans.entities import resolve
+from plaintide.session import settle
 
 
 def company_counts(facts: DataFrame) -> DataFrame:
@@ -18,8 +20,8 @@ def company_counts(facts: DataFrame) -> DataFrame:
     )
 
 
-def company_enriched(facts: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row per company over the full period with its match.
+def company_totals(facts: DataFrame) -> DataFrame:
+    """Counts and rates per company over the full period.
 
     The mean lag includes long-lag rows here; rates divide by resolved.
     """
@@ -38,7 +40,7 @@ def company_enriched(facts: DataFrame, matches: DataFrame) -> DataFrame:
     )
     # A company without resolved complaints has unknown, not zero, outcomes.
     any_resolved = F.col("_resolved") > 0
-    totals = totals.select(
+    return totals.select(
         "company",
         "total_complaints",
         "complaints_in_trend_window",
@@ -49,6 +51,10 @@ def company_enriched(facts: DataFrame, matches: DataFrame) -> DataFrame:
         percent_of(F.col("_relief"), F.col("_resolved"), 3).alias("monetary_relief_rate"),
         percent_of(F.col("_untimely"), F.col("_resolved"), 3).alias("untimely_rate"),
     )
+
+
+def company_enriched(totals: DataFrame, matches: DataFrame) -> DataFrame:
+    """Company totals with the institution group each company was matched to."""
     matched = F.coalesce("matched", F.lit(False))
     return (
         totals.join(matches.drop("n_complaints", "match_note"), "company", "left")
@@ -69,6 +75,13 @@ def company_enriched(facts: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def enrich(facts: DataFrame, institutions: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Totals, match and enriched table with one scan of the facts."""
+    totals = settle(company_totals(facts))
+    companies = totals.select("company", F.col("total_complaints").alias("n_complaints"))
+    return company_enriched(totals, resolve(companies, institutions, fuzzy=fuzzy))
+
+
 _OUTCOMES = {
     "monetary_relief_n": "got_monetary_relief",
     "any_relief_n": "got_any_relief",
