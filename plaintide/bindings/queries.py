@@ -332,7 +332,7 @@ def sig_tokens(spark, sf_dir):
 def token_jaccard(spark, sf_dir):
     """Token sets of each document pair of neighbours (n, n + 1), whole texts."""
     documents = t.table(spark, sf_dir, "documents")
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.upper("text"), "[^A-Z]+"), lambda w: F.length(w) >= 3)))
+    words = F.array_sort(F.array_distinct(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) >= 3)))
     sets = documents.select("doc_id", words.alias("words"))
     left = sets.select("doc_id", F.col("words").alias("a"))
     right = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("b"))
