@@ -399,7 +399,8 @@ FROM cases WHERE in_window GROUP BY company HAVING count(*) >= {VOLUME_FLOOR}),
 SELECT company, n_with, n_without, total_assets_b, {div('n_with', 'total_assets_b', 2)} AS rate_with,
   {div('n_without', 'total_assets_b', 2)} AS rate_without, {pct('n_with - n_without', 'n_with', 1)} AS pct_from_month
 FROM counts JOIN enriched USING (company) WHERE matched), shifts AS (
-SELECT *, rank() OVER (ORDER BY rate_with DESC) AS rank_with, rank() OVER (ORDER BY rate_without DESC) AS rank_without
+SELECT *, CASE WHEN rate_with IS NOT NULL THEN rank() OVER (ORDER BY rate_with DESC NULLS LAST) END AS rank_with,
+  CASE WHEN rate_without IS NOT NULL THEN rank() OVER (ORDER BY rate_without DESC NULLS LAST) END AS rank_without
 FROM shifted)"""
 
 

@@ -311,8 +311,8 @@ def taxonomy_repair(spark, sf_dir):
 
 @query
 def normalise_key(spark, sf_dir):
-    keyed = cleaning.key_companies(t.raw_complaints(spark, sf_dir).select("company"))
-    return keyed.select("company_raw", "company_key").distinct()
+    texts = t.raw_complaints(spark, sf_dir).select("company").distinct()
+    return cleaning.key_companies(texts).select("company_raw", "company_key").distinct()
 
 
 @query
@@ -475,12 +475,12 @@ def before_after(spark, sf_dir):
 
 @query
 def canonical_name(spark, sf_dir):
-    return cleaning.canonical_names(cleaning.key_companies(t.raw_complaints(spark, sf_dir).select("company")))
+    return cleaning.canonical_names(t.raw_complaints(spark, sf_dir).select("company"))
 
 
 @query
 def name_map(spark, sf_dir):
-    return cleaning.name_map(cleaning.key_companies(t.raw_complaints(spark, sf_dir).select("company")))
+    return cleaning.name_map(t.raw_complaints(spark, sf_dir).select("company"))
 
 
 # --- dedupe -------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaintide.functions import dates, geography, outcomes, taxonomy
+from plaintide.session import spread
 
 TREND_END = "2001-07-31"
 VOLUME_FLOOR = 600
@@ -26,12 +27,32 @@ _JOINS = {
 }
 
 
+# Declared, so that no job reads file footers to infer them.
+_SCHEMAS = {
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+        props string""",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, needed: set[str], heavy: bool = False) -> DataFrame:
+    """Lines with the needed sides; ``heavy`` says that much work per row follows."""
     df = table(spark, sf_dir, "lineitem")
+    df = spread(df) if heavy else df
     for name, (key, foreign, via) in _JOINS.items():
         if name in needed or any(name in _JOINS[other][2] for other in needed):
             side = table(spark, sf_dir, name)
@@ -39,87 +60,102 @@ def _joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
     return df
 
 
-def _fact_columns() -> dict[str, tuple[str, Column]]:
-    col, expr = F.col, F.expr
-    received = col("o_orderdate").cast("date")
-    response = expr(
-        "CASE WHEN o_orderstatus = 'P' THEN 'In progress' "
-        "WHEN l_returnflag = 'R' THEN 'Closed with monetary relief' "
-        "WHEN l_returnflag = 'A' THEN 'Closed with non-monetary relief' "
-        "ELSE 'Closed with explanation' END"
-    )
-    public = expr(
-        f"CASE WHEN l_tax >= 0.07 THEN '{outcomes.DISPUTED}' "
-        f"ELSE '{outcomes.SENTINELS['company_public_response']}' END"
-    )
-    timely = expr("CASE WHEN l_discount >= 0.09 THEN 'No' ELSE 'Yes' END")
-    tags = expr(
-        "CASE c_mktsegment WHEN 'MACHINERY' THEN 'Servicemember' "
-        "WHEN 'HOUSEHOLD' THEN 'Older American' ELSE 'No tag' END"
-    )
-    lag = dates.days_between(col("o_orderdate"), col("l_shipdate"))
-    code = expr(
-        "CASE WHEN c_custkey % 5 = 0 THEN concat(lpad(c_custkey % 100000 DIV 100, 3, '0'), 'XX') "
-        "ELSE lpad(c_custkey % 100000, 5, '0') END"
-    )
-    flags = outcomes.outcome_flags(response, public, timely)
-    tagged = outcomes.tag_flags(tags)
-    return {
-        "complaint_id": ("", expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)")),
-        "date_received": ("orders", received),
-        "date_received_ts": ("orders", col("o_orderdate").cast("timestamp")),
-        "date_sent_to_company": ("", col("l_shipdate").cast("date")),
-        "year": ("orders", F.year(received)),
-        "month": ("orders", F.month(received)),
-        "year_month": ("orders", dates.year_month(received)),
-        "days_to_company": ("orders", lag),
-        "product": ("part", col("p_type")),
-        "product_short": ("part", taxonomy.short_product(col("p_type"))),
-        "sub_product": ("customer", col("c_mktsegment")),
-        "issue": ("part", col("p_brand")),
-        "sub_issue": ("", col("l_linestatus")),
-        "company": ("supplier", col("s_name")),
-        "state": ("nation", col("n_name")),
-        "state_type": (
-            "nation",
-            expr("CASE n_regionkey WHEN 3 THEN 'territory' WHEN 4 THEN 'military' ELSE 'state' END"),
-        ),
-        "zip_code": ("customer", code),
-        "zip3": ("customer", geography.postcode_prefix(code)),
-        "tags": ("customer", tags),
-        "is_servicemember": ("customer", tagged["is_servicemember"]),
-        "is_older_american": ("customer", tagged["is_older_american"]),
-        "submitted_via": ("orders", col("o_orderpriority")),
-        "company_response": ("orders", response),
-        "company_public_response": ("", public),
-        "timely": ("", timely),
-        "has_narrative": ("", col("l_quantity") >= 25),
-        "is_resolved": ("orders", flags["is_resolved"]),
-        "got_monetary_relief": ("orders", flags["got_monetary_relief"]),
-        "got_any_relief": ("orders", flags["got_any_relief"]),
-        "closed_explanation_only": ("orders", flags["closed_explanation_only"]),
-        "is_untimely": ("", flags["is_untimely"]),
-        "company_disputes_facts": ("", flags["company_disputes_facts"]),
-        "dq_long_routing_lag": ("orders", outcomes.long_lag(lag)),
-        "in_trend_window": ("orders", received <= F.lit(TREND_END).cast("date")),
-    }
+# Values that several fact columns are read from, computed once per row.
+_SHARED = {
+    "received": ("orders", "CAST(o_orderdate AS DATE)"),
+    "response": (
+        "orders",
+        """CASE WHEN o_orderstatus = 'P' THEN 'In progress'
+        WHEN l_returnflag = 'R' THEN 'Closed with monetary relief'
+        WHEN l_returnflag = 'A' THEN 'Closed with non-monetary relief'
+        ELSE 'Closed with explanation' END""",
+    ),
+    "public": (
+        "",
+        f"""CASE WHEN l_tax >= 0.07 THEN '{outcomes.DISPUTED}'
+        ELSE '{outcomes.SENTINELS['company_public_response']}' END""",
+    ),
+    "on_time": ("", "CASE WHEN l_discount >= 0.09 THEN 'No' ELSE 'Yes' END"),
+    "marks": (
+        "customer",
+        """CASE c_mktsegment WHEN 'MACHINERY' THEN 'Servicemember'
+        WHEN 'HOUSEHOLD' THEN 'Older American' ELSE 'No tag' END""",
+    ),
+    "code": (
+        "customer",
+        """CASE WHEN c_custkey % 5 = 0 THEN concat(lpad(c_custkey % 100000 DIV 100, 3, '0'), 'XX')
+        ELSE lpad(c_custkey % 100000, 5, '0') END""",
+    ),
+}
+
+
+def _lag() -> Column:
+    return dates.days_between(F.col("o_orderdate"), F.col("l_shipdate"))
+
+
+def _outcome(name: str):
+    return lambda: outcomes.outcome_flags(F.col("response"), F.col("public"), F.col("on_time"))[name]
+
+
+# Needed table and expression of each fact column.
+_FACTS = {
+    "complaint_id": ("", lambda: F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)")),
+    "date_received": ("orders", lambda: F.col("received")),
+    "date_received_ts": ("orders", lambda: F.col("o_orderdate").cast("timestamp")),
+    "date_sent_to_company": ("", lambda: F.col("l_shipdate").cast("date")),
+    "year": ("orders", lambda: F.year("received")),
+    "month": ("orders", lambda: F.month("received")),
+    "year_month": ("orders", lambda: dates.year_month(F.col("received"))),
+    "days_to_company": ("orders", _lag),
+    "product": ("part", lambda: F.col("p_type")),
+    "product_short": ("part", lambda: taxonomy.short_product(F.col("p_type"))),
+    "sub_product": ("customer", lambda: F.col("c_mktsegment")),
+    "issue": ("part", lambda: F.col("p_brand")),
+    "sub_issue": ("", lambda: F.col("l_linestatus")),
+    "company": ("supplier", lambda: F.col("s_name")),
+    "state": ("nation", lambda: F.col("n_name")),
+    "state_type": (
+        "nation",
+        lambda: F.expr("CASE n_regionkey WHEN 3 THEN 'territory' WHEN 4 THEN 'military' ELSE 'state' END"),
+    ),
+    "zip_code": ("customer", lambda: F.col("code")),
+    "zip3": ("customer", lambda: geography.postcode_prefix(F.col("code"))),
+    "tags": ("customer", lambda: F.col("marks")),
+    "is_servicemember": ("customer", lambda: outcomes.tag_flags(F.col("marks"))["is_servicemember"]),
+    "is_older_american": ("customer", lambda: outcomes.tag_flags(F.col("marks"))["is_older_american"]),
+    "submitted_via": ("orders", lambda: F.col("o_orderpriority")),
+    "company_response": ("orders", lambda: F.col("response")),
+    "company_public_response": ("", lambda: F.col("public")),
+    "timely": ("", lambda: F.col("on_time")),
+    "has_narrative": ("", lambda: F.col("l_quantity") >= 25),
+    "is_resolved": ("orders", _outcome("is_resolved")),
+    "got_monetary_relief": ("orders", _outcome("got_monetary_relief")),
+    "got_any_relief": ("orders", _outcome("got_any_relief")),
+    "closed_explanation_only": ("orders", _outcome("closed_explanation_only")),
+    "is_untimely": ("orders", _outcome("is_untimely")),
+    "company_disputes_facts": ("orders", _outcome("company_disputes_facts")),
+    "dq_long_routing_lag": ("orders", lambda: outcomes.long_lag(_lag())),
+    "in_trend_window": ("orders", lambda: F.col("received") <= F.lit(TREND_END).cast("date")),
+}
 
 
 def facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Typed complaint facts with the named columns (all of them by default)."""
-    known = _fact_columns()
-    chosen = columns or tuple(known)
-    df = _joined(spark, sf_dir, {known[c][0] for c in chosen} - {""})
-    return df.select(*[known[c][1].alias(c) for c in chosen])
+    chosen = columns or tuple(_FACTS)
+    needed = {_FACTS[c][0] for c in chosen} - {""}
+    df = _joined(spark, sf_dir, needed, heavy=not columns)
+    present = {"", *needed, *(via for name in needed for via in _JOINS[name][2])}
+    shared = {name: F.expr(sql) for name, (source, sql) in _SHARED.items() if source in present}
+    return df.withColumns(shared).select(*[_FACTS[c][1]().alias(c) for c in chosen])
 
 
 _RAW_COLUMNS = {
     "complaint_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
     "date_received": """CASE WHEN o_orderkey % 500 = 1 THEN 'n/a' ELSE concat(
-        date_format(o_orderdate, 'yyyy-MM-dd'),
+        CAST(CAST(o_orderdate AS DATE) AS STRING),
         CASE o_orderkey % 3 WHEN 0 THEN 'T12:00:00Z' WHEN 1 THEN 'T12:00:00-05:00'
         ELSE 'T12:30:00+00:00' END) END""",
-    "date_sent_to_company": "concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T12:00:00-05:00')",
+    "date_sent_to_company": "concat(CAST(CAST(l_shipdate AS DATE) AS STRING), 'T12:00:00-05:00')",
     "product": """CASE p_type WHEN 'ECONOMY' THEN 'Credit card or prepaid card'
         WHEN 'LARGE' THEN 'Payday loan, title loan, or personal loan' WHEN 'MEDIUM' THEN 'Mortgage'
         WHEN 'PROMO' THEN 'Student loan' WHEN 'SMALL' THEN 'Checking or savings account'
@@ -155,7 +191,7 @@ _RAW_COLUMNS = {
 
 def raw_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen-column all-string extract."""
-    df = _joined(spark, sf_dir, set(_JOINS))
+    df = _joined(spark, sf_dir, set(_JOINS), heavy=True)
     return df.select(*[F.expr(sql).alias(name) for name, sql in _RAW_COLUMNS.items()])
 
 

@@ -17,7 +17,9 @@ def utc_timestamp(text: Column) -> Column:
 
 def year_month(day: Column) -> Column:
     """``YYYY-MM`` text, whose lexical order is time order."""
-    return F.date_format(day, "yyyy-MM")
+    month = F.month(day)
+    gap = F.when(month < 10, "-0").otherwise("-")
+    return F.concat(F.year(day).cast("string"), gap, month.cast("string"))
 
 
 def month_start(year_month_text: Column) -> Column:

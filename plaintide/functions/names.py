@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plaintide.functions.numbers import flag
+from plaintide.functions.numbers import constant_map, flag, quoted
 
 # Legal forms removed only at the end of a name. Words such as
 # GROUP or BANCORP tell institutions apart and are not in the list.
@@ -70,18 +70,15 @@ def match_name(name: Column) -> Column:
     text = F.regexp_replace(text, r"\bN\.\s*A\.", " NATIONAL ASSOCIATION ")
     text = F.regexp_replace(_letters_only(text), r"\bN A\b", " NATIONAL ASSOCIATION ")
     text = F.regexp_replace(F.regexp_replace(collapsed(text), "^THE ", ""), " THE$", "")
-    table = F.create_map(*[F.lit(part) for pair in ABBREVIATIONS.items() for part in pair])
+    table = constant_map(ABBREVIATIONS)
     words = F.transform(F.split(text, " "), lambda t: F.coalesce(F.try_element_at(table, t), t))
     return F.array_join(F.filter(words, lambda t: ~t.isin(DROPPED_TOKENS)), " ")
 
 
 def significant_tokens(normal: Column) -> Column:
     """Sorted distinct tokens that can identify an institution."""
-    kept = F.filter(
-        F.split(normal, " "),
-        lambda t: (F.length(t) >= MIN_TOKEN_LENGTH) & ~t.isin(GENERIC_TOKENS),
-    )
-    return F.array_sort(F.array_distinct(kept))
+    long_enough = F.filter(F.split(normal, " "), lambda t: F.length(t) >= MIN_TOKEN_LENGTH)
+    return F.array_sort(F.array_except(long_enough, F.expr(f"array({quoted(GENERIC_TOKENS)})")))
 
 
 def shared_count(left: Column, right: Column) -> Column:

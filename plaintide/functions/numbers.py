@@ -45,3 +45,13 @@ def banded(value: Column, bands: list[tuple[float, str]], top: str, closed: bool
     for bound, name in bands:
         chain = chain.when(value <= bound if closed else value < bound, name)
     return chain.otherwise(top)
+
+
+def quoted(words) -> str:
+    """Constant texts as a SQL literal list."""
+    return ", ".join("'" + word.replace("'", "''") + "'" for word in words)
+
+
+def constant_map(table: dict[str, str]) -> Column:
+    """A constant lookup table as one map literal."""
+    return F.expr(f"map({quoted(part for pair in table.items() for part in pair)})")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plaintide.functions.numbers import constant_map
+
 # Labels of the public complaint taxonomy.
 LEGACY_CARD_LABEL = "Credit card or prepaid card"
 LEGACY_CARD_DEFAULT = "Credit card"
@@ -47,8 +49,7 @@ PRODUCT_SCOPE = [
 
 def looked_up(key: Column, table: dict[str, str]) -> Column:
     """Value of a constant table, null for a missing or null key."""
-    pairs = [F.lit(part) for pair in table.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(constant_map(table), key)
 
 
 def split_target(product: Column, sub_product: Column) -> Column:

@@ -53,55 +53,54 @@ def key_companies(df: DataFrame) -> DataFrame:
     return df.withColumn("company_raw", raw).withColumn("company_key", names.company_key(raw))
 
 
-def name_map(keyed: DataFrame) -> DataFrame:
-    """Every raw spelling with its canonical name: the most frequent one of its key.
+def _spellings(df: DataFrame) -> DataFrame:
+    """Distinct company texts with counts and keys; facts are counted in the map tasks.
 
-    Works on distinct spellings, counted in the map tasks.
+    Name rules run on distinct texts only, so their cost does not grow with the facts.
     """
-    spellings = (
-        keyed.where(F.col("company_raw").isNotNull())
-        .groupBy("company_raw", "company_key")
-        .agg(F.count("*").alias("n_complaints"))
-    )
-    group = Window.partitionBy("company_key")
-    best_first = group.orderBy(F.desc("n_complaints"), "company_raw")
-    return spellings.select(
-        "company_raw",
-        F.first("company_raw").over(best_first).alias("company_clean"),
-        "company_key",
-        "n_complaints",
-        (F.count("*").over(group) > 1).alias("required_collapse"),
+    texts = df.where(F.col("company").isNotNull()).groupBy("company")
+    return key_companies(texts.agg(F.count("*").alias("n")))
+
+
+def _canonical(spellings: DataFrame) -> DataFrame:
+    """Adds the canonical name of the key: its most frequent spelling, ties by name.
+
+    Both windows are as wide as one company has spellings.
+    """
+    same_spelling = Window.partitionBy("company_key", "company_raw")
+    best_first = Window.partitionBy("company_key").orderBy(F.desc("_of_spelling"), "company_raw")
+    return spellings.withColumn("_of_spelling", F.sum("n").over(same_spelling)).withColumn(
+        "company_clean", F.first("company_raw").over(best_first)
     )
 
 
-def canonical_names(keyed: DataFrame) -> DataFrame:
+def name_map(df: DataFrame) -> DataFrame:
+    """Every raw spelling with its canonical name and whether the key collapses several."""
+    spelled = _canonical(_spellings(df)).groupBy("company_raw", "company_clean", "company_key")
+    counted = spelled.agg(F.sum("n").alias("n_complaints"))
+    others = F.count("*").over(Window.partitionBy("company_key"))
+    return counted.withColumn("required_collapse", others > 1)
+
+
+def canonical_names(df: DataFrame) -> DataFrame:
     """One canonical name per key."""
-    spellings = (
-        keyed.where(F.col("company_key").isNotNull())
-        .groupBy("company_key", "company_raw")
-        .agg(F.count("*").alias("n"))
-    )
-    return spellings.groupBy("company_key").agg(
-        F.min_by("company_raw", F.struct(-F.col("n"), F.col("company_raw"))).alias("company_clean"),
-        F.count("*").alias("spellings"),
-        F.sum("n").alias("n_complaints"),
+    return (
+        name_map(df)
+        .groupBy("company_key", "company_clean")
+        .agg(F.count("*").alias("spellings"), F.sum("n_complaints").alias("n_complaints"))
     )
 
 
 def canonicalise_companies(df: DataFrame) -> DataFrame:
-    """Replace ``company`` by the canonical name of its key.
+    """Replace ``company`` by the canonical name of its key and keep text and key.
 
-    The name side has one row per company. The planner broadcasts it while it is
-    small by measured size; otherwise the join shuffles and adaptive execution
-    splits the partition of a company that holds a large part of the rows.
+    The name side has one row per distinct text. The planner broadcasts it while
+    it is small by measured size; otherwise the join shuffles and adaptive
+    execution splits the partition of a text that a large part of the rows hold.
     """
-    keyed = key_companies(df)
-    canon = canonical_names(keyed).select("company_key", "company_clean")
-    return (
-        keyed.join(canon, "company_key", "left")
-        .withColumn("company", F.col("company_clean"))
-        .drop("company_clean")
-    )
+    known = _canonical(_spellings(df)).select("company", "company_raw", "company_key", "company_clean")
+    joined = df.join(known, "company", "left")
+    return joined.withColumn("company", F.col("company_clean")).drop("company_clean")
 
 
 def classify_geography(df: DataFrame) -> DataFrame:
@@ -135,7 +134,7 @@ def fill_and_flag(df: DataFrame, trend_end: str = TREND_END) -> DataFrame:
 
 def prepare(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
     """Everything but the dedupe, with all clean columns."""
-    steps = classify_geography(canonicalise_companies(repair_taxonomy(type_dates(raw))))
+    steps = classify_geography(repair_taxonomy(type_dates(canonicalise_companies(raw))))
     return project(fill_and_flag(steps, trend_end))
 
 

@@ -161,12 +161,8 @@ def declared_class(company: Column, normal: Column) -> Column:
             note.isNotNull(), F.struct(F.lit(method).alias("method"), note.alias("note"))
         )
 
-    starts = F.coalesce(
-        *[
-            F.when(F.regexp_like(normal, F.lit(f"^{key}( |$)")), F.lit(reason))
-            for key, reason in NON_BANKS.items()
-        ]
-    )
+    start = F.regexp_extract(normal, f"^({'|'.join(NON_BANKS)})( |$)", 1)
+    starts = looked_up(start, NON_BANKS)
     union = F.when(names.is_credit_union(company), F.lit("credit union, insured elsewhere"))
     return F.coalesce(
         verdict("known_non_bank", starts),

@@ -16,6 +16,10 @@ def build_session(app_name: str = "plaintide", master: str | None = None, **conf
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Call-site capture costs several JVM calls per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # The JVM does not compile methods above 8,000 bytes; larger stages run faster unfused.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
@@ -56,3 +60,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores (a small single file).
+
+    An input with enough splits, which is any large one, is returned as it is:
+    no shuffle is added to a big scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
