@@ -143,7 +143,7 @@ def facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Typed complaint facts with the named columns (all of them by default)."""
     chosen = columns or tuple(_FACTS)
     needed = {_FACTS[c][0] for c in chosen} - {""}
-    df = _joined(spark, sf_dir, needed, heavy=not columns)
+    df = _joined(spark, sf_dir, needed, heavy=len(chosen) > 6)
     present = {"", *needed, *(via for name in needed for via in _JOINS[name][2])}
     shared = {name: F.expr(sql) for name, (source, sql) in _SHARED.items() if source in present}
     return df.withColumns(shared).select(*[_FACTS[c][1]().alias(c) for c in chosen])

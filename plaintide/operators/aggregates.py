@@ -45,27 +45,13 @@ def group_percentiles(
     three decimals, so a group has at most a thousand entries per day of range.
     """
     weights = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_w"))
-    return weights.groupBy(*by).agg(
-        *[
-            rounded(F.percentile(F.col(value), F.lit(p), F.col("_w")), places).alias(name)
-            for name, p in points.items()
-        ]
+    shares = F.array(*[F.lit(p) for p in points.values()])
+    found = weights.groupBy(*by).agg(F.percentile(F.col(value), shares, F.col("_w")).alias("_p"))
+    return found.select(
+        *by, *[rounded(F.get("_p", F.lit(i)), places).alias(name) for i, name in enumerate(points)]
     )
 
 
-def top_attribute(
-    df: DataFrame, group: str, attribute: str, weight: str, alias: str, total: str | None = None
-) -> DataFrame:
-    """Most frequent attribute of each group; equal weights go to the first name."""
-    sizes = df.groupBy(group, attribute).agg(F.sum(weight).alias("_w"))
-    best = F.min_by(F.struct(attribute, "_w"), F.struct(-F.col("_w"), F.col(attribute)))
-    out = sizes.groupBy(group).agg(best.alias("_best"))
-    columns = [F.col(group), F.col(f"_best.{attribute}").alias(alias)]
-    if total:
-        columns.append(F.col("_best._w").alias(total))
-    return out.select(*columns)
-
-
 def column_population(df: DataFrame) -> DataFrame:
     """Rows, non-null values and percentage populated per column, in one pass."""
     names = df.columns

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.functions.numbers import percent_of, ratio, rounded
-from plaintide.operators.aggregates import counted, lag_mean
+from plaintide.operators.aggregates import (
+    counted,
+    group_percentiles,
+    lag_mean,
+    lag_parts,
+    summed,
+)
 from plaintide.plans.entities import resolve
 from plaintide.session import settle
 
@@ -104,23 +110,22 @@ def _resolved_outcomes():
 
 
 def company_base(facts: DataFrame) -> DataFrame:
-    """Features and resolved outcomes of each company in the trend window, in one scan.
+    """Features and resolved outcomes of each company in the trend window.
 
-    Facts are grouped twice at once: by (company, product, home state) for the
-    counts and the breadth, and by (company, lag) for the percentiles. Both
-    groupings combine in the map tasks, and the second step merges cells only.
+    Counts and breadth come from (company, product, home state) cells, the lag
+    percentiles from (company, lag) cells of three narrow columns. Both sides end
+    up partitioned by company, so that their join moves no further rows.
     """
-    scope = facts.where("in_trend_window AND company IS NOT NULL").withColumn(
-        "home_state", F.when(F.col("state_type") == "state", F.col("state"))
-    )
-    keys = ["company", "product", "home_state", "days_to_company"]
-    company, product, home, days = (F.col(k) for k in keys)
+    scope = facts.where("in_trend_window AND company IS NOT NULL")
     outcome_names = ["resolved_complaints", *_OUTCOMES]
+    counts = [
+        "total_complaints", "servicemember_complaints", "older_american_complaints", "with_narrative",
+        *outcome_names, "lag_sum", "lag_n",
+    ]
     cells = (
-        scope.withColumn("_lag", days)
-        .groupingSets([[company, product, home], [company, days]], company, product, home, days)
+        scope.withColumn("home_state", F.when(F.col("state_type") == "state", F.col("state")))
+        .groupBy("company", "product", "home_state")
         .agg(
-            F.grouping_id().alias("_set"),
             F.count("*").alias("total_complaints"),
             *counted(
                 servicemember_complaints="is_servicemember",
@@ -128,32 +133,23 @@ def company_base(facts: DataFrame) -> DataFrame:
                 with_narrative="has_narrative",
             ),
             *_resolved_outcomes(),
-            F.sum(F.when(~F.col("dq_long_routing_lag"), F.col("_lag"))).alias("lag_sum"),
-            F.count(F.when(~F.col("dq_long_routing_lag"), F.col("_lag"))).alias("lag_n"),
+            *lag_parts(),
             F.min("date_received").alias("first_complaint"),
             F.max("date_received").alias("last_complaint"),
         )
     )
-    # A grouping id has one bit per key, set where the key is rolled up.
-    breadth, lags = F.col("_set") == 0b0001, F.col("_set") == 0b0110
-    sums = [
-        "total_complaints", "servicemember_complaints", "older_american_complaints",
-        "with_narrative", *outcome_names, "lag_sum", "lag_n",
-    ]
-    weight = F.when(lags, F.col("total_complaints")).otherwise(0)
-    lag = F.when(lags, days)
+    breadth = cells.groupBy("company").agg(
+        *summed(*counts),
+        F.countDistinct("product").alias("products_touched"),
+        F.countDistinct("home_state").alias("states_touched"),
+        F.min("first_complaint").alias("first_complaint"),
+        F.max("last_complaint").alias("last_complaint"),
+    )
+    points = {"median_days_to_company": 0.5, "p90_days_to_company": 0.9}
+    lags = group_percentiles(scope, ["company"], "days_to_company", points)
     return (
-        cells.groupBy("company")
-        .agg(
-            *[F.sum(F.when(breadth, F.col(name))).alias(name) for name in sums],
-            F.countDistinct(F.when(breadth, product)).alias("products_touched"),
-            F.countDistinct(F.when(breadth, home)).alias("states_touched"),
-            F.min("first_complaint").alias("first_complaint"),
-            F.max("last_complaint").alias("last_complaint"),
-            rounded(F.percentile(lag, F.lit(0.5), weight), 3).alias("median_days_to_company"),
-            rounded(F.percentile(lag, F.lit(0.9), weight), 3).alias("p90_days_to_company"),
-        )
-        .withColumn("avg_days_to_company", lag_mean(3))
+        breadth.withColumn("avg_days_to_company", lag_mean(3))
+        .join(lags, "company", "left")
         .select(*FEATURES, *outcome_names)
     )
 
