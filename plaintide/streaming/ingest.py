@@ -9,6 +9,7 @@ RocksDB, on disk and in the checkpoint, so its size is not bound by memory.
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,22 @@ from plaintide.sources.pages import search_hits
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the start of one stream, put back afterwards."""
+    earlier = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in earlier.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 class ScopeChanged(ValueError):
     """The stored progress belongs to a different date range or product list."""
 
@@ -43,17 +60,22 @@ def ingest_available(
     scope: dict,
     key: str = "complaint_id",
     watermark: tuple[str, str] | None = None,
+    state_partitions: int | None = None,
 ) -> DataFrame:
     """Append the unseen records of newly landed pages; returns all stored so far.
 
     ``watermark`` = (event-time column, delay) bounds the id state: duplicates
-    further apart than the delay are then no longer recognised.
+    further apart than the delay are then no longer recognised. The id state is
+    split into ``state_partitions`` (the cores of the cluster by default); the
+    number of the first run stays with the stored progress.
     """
     guard_scope(spark, root, scope)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    earlier = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
-    try:
+    partitions = state_partitions or spark.sparkContext.defaultParallelism
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    with _settings(spark, settings):
         hits = search_hits(spark.readStream.schema(SEARCH_PAGE).json(pages))
         hits = hits.where(F.col(key).isNotNull())
         if watermark:
@@ -71,9 +93,4 @@ def ingest_available(
             .start()
         )
         query.awaitTermination()
-    finally:
-        if earlier is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, earlier)
     return spark.read.parquet(f"{root}/records")
