@@ -61,11 +61,22 @@ def test_restart_adds_no_duplicates_and_scope_is_guarded(spark):
         ingest.ingest_available(spark, landing, root, {"from": "2022-01-01"})
 
 
-def test_watermark_bounds_the_state(spark):
+def test_watermark_drops_repeats_within_the_delay(spark):
     landing, root = shared_folder(spark, "landing"), shared_folder(spark, "ingest")
-    _page(spark, landing, "a", ["1", "1", "2"])
-    stored = ingest.ingest_available(spark, landing, root, {}, watermark=("date_received", "10 days"))
-    assert stored.count() == 0 or stored.select("complaint_id").distinct().count() == stored.count()
+    days = {"1": "2024-01-05T00:00:00Z", "2": "2024-01-06T00:00:00Z"}
+    hits = [{"_source": {"complaint_id": i, "date_received": days[i]}} for i in ("1", "1", "2")]
+    page = [(json.dumps({"hits": {"hits": hits}}),)]
+    for _ in range(2):
+        spark.createDataFrame(page, "value string").coalesce(1).write.mode("append").text(landing)
+        stored = ingest.ingest_available(spark, landing, root, {}, watermark=("date_received", "10 days"))
+        assert sorted(r["complaint_id"] for r in stored.collect()) == ["1", "2"]
+
+
+def test_replace_table(spark):
+    for rows in (5, 3):
+        tables.replace_table(spark.range(rows), "plaintide_replaced")
+        assert spark.table("plaintide_replaced").count() == rows
+    spark.sql("DROP TABLE plaintide_replaced")
 
 
 def test_first_seen_skips_null_and_known_ids(spark):
