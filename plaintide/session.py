@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,7 +20,6 @@ def build_session(app_name: str = "plaintide", master: str | None = None, **conf
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # The JVM does not compile methods above 8,000 bytes; larger stages run faster unfused.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -30,36 +29,41 @@ def build_session(app_name: str = "plaintide", master: str | None = None, **conf
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder of this application that every executor can reach.
 
-    A temporary folder is made only in local mode with the setting absent, which
-    is the case of a bare test run. On a cluster the setting is required.
+    It lies below ``spark.checkpoint.dir``. Where that is unset, it lies below the
+    warehouse, which driver and executors share by definition.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            configured = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared root for a landed file set or a sink."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read on from there.
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write ``df`` as Parquet below the shared root and read on from there.
 
-    Used where one aggregated relation feeds several branches: the fact scan
-    below it runs once, every branch sees identical values, and a lost executor
-    re-reads a file instead of replaying the scan.
+    Used where one relation feeds several branches: the scan below it runs once,
+    every branch sees identical values, the planner knows the measured size and
+    prunes columns, and a lost executor re-reads a file instead of replaying the
+    scan.
     """
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has settled; call it when its results are consumed."""
+    system, path = fs.FileSystem.from_uri(shared_root(spark))
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
