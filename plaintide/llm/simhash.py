@@ -29,6 +29,7 @@ of their own in the result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,12 +37,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaintide.llm.common import same, shuffle_tasks, whole_text
 from plaintide.session import settle
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no install
+
 SEED = 42
 WORDS = 4
 RADIUS = 4
