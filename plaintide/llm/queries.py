@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import decontaminate, language, lines, mixing, simhash
+from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, simhash
 from plaintide.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(function):
     return function
 
 
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
