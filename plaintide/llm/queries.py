@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, simhash, urls, warc
+from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, simhash, urls, warc
 from plaintide.llm.common import table
 
 QUERIES: dict = {}
@@ -42,6 +42,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.archive_and_read(table(spark, sf_dir, "pages")))
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] <= len(pii.PATTERNS))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        F.size(F.filter(kinds, (lambda n: lambda k: k == n)(n + 1))).cast("bigint").alias(f"n_{kind}")
+        for n, kind in enumerate(pii.PATTERNS)
+    ]
+    listed = [F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")]
+    return rows.select("doc_id", *counts, *listed)
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
