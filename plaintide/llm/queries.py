@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, simhash, urls, warc
+from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, simhash, substrings, urls, warc
 from plaintide.llm.common import table
 
 QUERIES: dict = {}
@@ -61,6 +61,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return rows.drop("kept_text")
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.dedup_lines(table(spark, sf_dir, "documents"))
