@@ -167,3 +167,23 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM kept"""
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS parts FROM documents
+), words AS (
+  SELECT doc_id, rid, unnest(parts) AS word, unnest(range(len(parts))) AS pos, len(parts) AS n FROM split
+), windows AS (
+  SELECT *, CASE WHEN pos + 35 <= n THEN md5(string_agg(word, ' ') OVER (
+           PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS key
+  FROM words
+), marked AS (
+  SELECT *, key IS NOT NULL AND count(*) OVER (PARTITION BY key) > 1 AS repeated FROM windows
+), judged AS (
+  SELECT *, bool_or(repeated) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked
+), summed AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY rid
+)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN summed USING (rid)"""
