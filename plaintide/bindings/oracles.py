@@ -14,16 +14,17 @@ from plaintide.functions.taxonomy import LEGACY_CARD_SPLIT, RENAMED_LABELS, SHOR
 from plaintide.plans.entities import INACTIVE_CHARTERS, NON_BANKS
 
 
-def pct(top: str, bottom: str, places: int = 2) -> str:
-    return f"round(100.0::DOUBLE * ({top}) / nullif({bottom}, 0)::DOUBLE + 1e-9, {places})"
+def rnd(value: str, places: int) -> str:
+    """Decimal rounding, ties away from zero."""
+    return f"round(({value})::DOUBLE::DECIMAL(38, 12), {places})::DOUBLE"
 
 
-def div(top: str, bottom: str, places: int) -> str:
-    return f"round(({top})::DOUBLE / nullif({bottom}, 0)::DOUBLE + 1e-9, {places})"
+def pct(top: str, bottom: str, places: int = 2) -> str:
+    return rnd(f"100.0::DOUBLE * ({top}) / nullif({bottom}, 0)::DOUBLE", places)
 
 
-def rnd(value: str, places: int) -> str:
-    return f"round(({value})::DOUBLE + 1e-9, {places})"
+def div(top: str, bottom: str, places: int) -> str:
+    return rnd(f"({top})::DOUBLE / nullif({bottom}, 0)::DOUBLE", places)
 
 
 def quoted(words) -> str:
@@ -150,7 +151,7 @@ SELECT s_name AS name, s_suppkey AS cert, 'S' || s_nationkey AS stalp,
 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0), grp AS (
 SELECT group_key, any_value(group_name) AS group_name, sum(asset)::DECIMAL(20,2) AS total_assets_k,
   count(*) AS n_charters, any_value(has_parent) AS has_holding_company,
-  round(sum(asset)::DOUBLE / 1e6 + 1e-9, 3) AS total_assets_b FROM inst GROUP BY group_key)"""
+  round((sum(asset)::DOUBLE / 1e6)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS total_assets_b FROM inst GROUP BY group_key)"""
 
 ENRICHED = f"""{CASES}, {INSTITUTIONS}, enriched AS (
 SELECT company, total_complaints, complaints_in_trend_window, avg_days_to_company,
@@ -255,7 +256,7 @@ SELECT year_month, count(*) AS complaints, count(*) FILTER (monetary) AS monetar
   count(*) FILTER (untimely) AS untimely, count(*) FILTER (resolved) AS resolved
 FROM cases WHERE in_window GROUP BY year_month)"""
 
-FLOOR = "(SELECT count(*) // 150 FROM lineitem)"
+FLOOR = "50"
 
 
 def _outcome_table(key: str, floor: int = 0) -> str:
@@ -271,7 +272,7 @@ SELECT *, r::DOUBLE * c / n AS e FROM cells)"""
 def _chi_square(key: str, floor: int = 0) -> str:
     return f"""WITH {_outcome_table(key, floor)}, one AS (
 SELECT sum((o - e) ^ 2 / e) AS chi, (count(DISTINCT g) - 1)::BIGINT AS dof, sum(o)::BIGINT AS n FROM scored)
-SELECT round(chi + 1e-9, 6) AS statistic, dof, n, round(sqrt(chi / n) + 1e-9, 6) AS cramers_v,
+SELECT round((chi)::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS statistic, dof, n, round((sqrt(chi / n))::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS cramers_v,
   CASE WHEN sqrt(chi / n) < 0.10 THEN 'negligible' WHEN sqrt(chi / n) < 0.20 THEN 'weak'
     WHEN sqrt(chi / n) < 0.30 THEN 'moderate' ELSE 'strong' END AS strength FROM one"""
 
@@ -339,13 +340,11 @@ SELECT l.*, CASE WHEN declared IS NOT NULL THEN declared WHEN upper(company) = '
     THEN o.group_key ELSE r.group_key END AS group_key
 FROM left_side l LEFT JOIN right_side r ON r.cand = l.norm
 LEFT JOIN (SELECT group_key FROM charters WHERE name = 'Citibank, National Association') o ON true), frequency AS (
-SELECT token, count(*) AS df FROM (SELECT unnest(cand_sig) AS token FROM right_side) GROUP BY token), pairs AS (
+SELECT DISTINCT unnest(cand_sig) AS token FROM right_side), pairs AS (
 SELECT d.company, d.norm, d.sig, r.cand, r.cand_sig, r.group_key, len(list_intersect(d.sig, r.cand_sig)) AS shared,
   len(list_distinct(list_concat(d.sig, r.cand_sig))) AS either
 FROM decided d JOIN right_side r ON list_has_any(d.sig, r.cand_sig) WHERE d.method IS NULL), near AS (
-SELECT *, shared::DOUBLE / either AS jaccard FROM pairs p WHERE shared::DOUBLE / either >= 0.6
-  OR EXISTS (SELECT 1 FROM frequency f WHERE f.df <= 200 AND list_contains(p.sig, f.token)
-             AND list_contains(p.cand_sig, f.token))), parts AS (
+SELECT *, shared::DOUBLE / either AS jaccard FROM pairs p WHERE 2 * shared >= either), parts AS (
 SELECT *, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS common,
   array_to_string(list_sort(list_distinct(list_filter(a, lambda w: NOT list_contains(b, w)))), ' ') AS ra,
   array_to_string(list_sort(list_distinct(list_filter(b, lambda w: NOT list_contains(a, w)))), ' ') AS rb
@@ -360,7 +359,7 @@ FROM lengths), best AS (
 SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY company ORDER BY jaccard DESC, score DESC, cand) = 1), verdicts AS (
 SELECT d.company, d.n_complaints, CASE WHEN d.method IS NOT NULL THEN d.method
     WHEN b.company IS NULL AND EXISTS (SELECT 1 FROM frequency f WHERE list_contains(d.sig, f.token))
-      THEN 'rejected_common_token_only'
+      THEN 'no_match'
     WHEN b.company IS NULL THEN 'no_shared_token'
     WHEN len(d.sig) >= 2 AND b.sig = b.cand_sig THEN 'token_set_identical'
     WHEN score >= 92 AND shared >= 2 AND jaccard >= 0.6 THEN 'fuzzy_auto'
@@ -368,8 +367,8 @@ SELECT d.company, d.n_complaints, CASE WHEN d.method IS NOT NULL THEN d.method
     ELSE 'no_match' END AS method, d.group_key AS known, b.group_key AS found, b.score, d.method AS early
 FROM decided d LEFT JOIN best b ON b.company = d.company), matches AS (
 SELECT company, n_complaints, method IN ('manual_override', 'exact_normalised', 'token_set_identical', 'fuzzy_auto') AS matched,
-  v.group_key, group_name AS fdic_name, round(total_k::DOUBLE / 1e6 + 1e-9, 3) AS total_assets_b, n_charters,
-  CASE WHEN early IN ('manual_override', 'exact_normalised') THEN 100.0::DOUBLE ELSE round(score + 1e-9, 1) END AS match_score,
+  v.group_key, group_name AS fdic_name, round((total_k::DOUBLE / 1e6)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS total_assets_b, n_charters,
+  CASE WHEN early IN ('manual_override', 'exact_normalised') THEN 100.0::DOUBLE ELSE round((score)::DOUBLE::DECIMAL(38, 12), 1)::DOUBLE END AS match_score,
   method AS match_method
 FROM (SELECT *, CASE WHEN early IS NOT NULL THEN known WHEN method IN ('token_set_identical', 'fuzzy_auto') THEN found END
   AS group_key FROM verdicts) v LEFT JOIN groups USING (group_key))"""
@@ -385,7 +384,7 @@ def _spearman(source: str, pairs: list[tuple[str, str]], extra: str = "") -> str
         return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0::DOUBLE"
 
     parts = [
-        f"SELECT '{a}' AS measure_a, '{b}' AS measure_b, count(*) AS n, round(corr(x, y) + 1e-9, 6) AS rho{extra} FROM ("
+        f"SELECT '{a}' AS measure_a, '{b}' AS measure_b, count(*) AS n, round((corr(x, y))::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS rho{extra} FROM ("
         f"SELECT {average(a)} AS x, {average(b)} AS y FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
         for a, b in pairs
     ]
@@ -453,9 +452,9 @@ _METRICS = {
 
 _BASELINE = {"relief": "monetary", "any_relief": "any_relief", "untimely": "untimely", "explanation": "explained"}
 _BASELINE_COLUMNS = ", ".join(
-    f"round(100.0::DOUBLE * {n}_n / resolved + 1e-9, 3) AS {n}_rate, "
-    f"round(100.0::DOUBLE * t_{n} / t_resolved + 1e-9, 3) AS national_{n}_rate, "
-    f"round((100.0::DOUBLE * {n}_n / resolved) / (100.0::DOUBLE * t_{n} / t_resolved) + 1e-9, 3) AS {n}_x_national"
+    f"round((100.0::DOUBLE * {n}_n / resolved)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS {n}_rate, "
+    f"round((100.0::DOUBLE * t_{n} / t_resolved)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS national_{n}_rate, "
+    f"round(((100.0::DOUBLE * {n}_n / resolved) / (100.0::DOUBLE * t_{n} / t_resolved))::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS {n}_x_national"
     for n in _BASELINE
 )
 
@@ -467,7 +466,7 @@ def _trend(source: str) -> str:
     return f"""SELECT product, product_short, year_month, month_start, complaints, {lagged(1)} AS prev_month,
   complaints - {lagged(1)} AS mom_change, {pct(f'complaints - {lagged(1)}', lagged(1))} AS mom_pct_change,
   {lagged(12)} AS same_month_last_year, {pct(f'complaints - {lagged(12)}', lagged(12))} AS yoy_pct_change,
-  round(avg(complaints) OVER (PARTITION BY product ORDER BY year_month ROWS 2 PRECEDING) + 1e-9, 1) AS moving_avg_3m,
+  round((avg(complaints) OVER (PARTITION BY product ORDER BY year_month ROWS 2 PRECEDING))::DOUBLE::DECIMAL(38, 12), 1)::DOUBLE AS moving_avg_3m,
   {pct('complaints - first_value(complaints) OVER w', 'first_value(complaints) OVER w')} AS pct_change_since_start,
   monetary_relief, untimely, {pct('untimely', 'complaints')} AS untimely_rate, lead(complaints) OVER w AS next_month
 FROM {source} WINDOW w AS (PARTITION BY product ORDER BY year_month)"""
@@ -530,7 +529,7 @@ FROM (SELECT trim(regexp_replace(company, '\\s+', ' ', 'g')) AS company_raw FROM
     "token_jaccard": """WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(
   string_split_regex(text, '[^A-Za-z]+'), lambda t: length(t) >= 3))) AS s FROM documents)
 SELECT a.doc_id, len(list_intersect(a.s, b.s)) AS shared,
-  round(coalesce(len(list_intersect(a.s, b.s))::DOUBLE / nullif(len(list_distinct(list_concat(a.s, b.s))), 0), 0) + 1e-9, 6) AS jaccard,
+  round((coalesce(len(list_intersect(a.s, b.s))::DOUBLE / nullif(len(list_distinct(list_concat(a.s, b.s))), 0), 0))::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS jaccard,
   a.s = b.s AS same_set FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""",
     "declared_class": f"""WITH {NAMED} SELECT company, {_DECLARED} AS method
 FROM (SELECT company, {_norm('company')} AS norm FROM companies)""",
@@ -588,7 +587,7 @@ FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type, ts::DATE)""
     "volume_quartile": f"""WITH {CASES} SELECT company, count(*) AS complaints,
   ntile(4) OVER (ORDER BY count(*) DESC, company) AS volume_quartile FROM cases WHERE in_window GROUP BY company""",
     "centred_average": f"""WITH {OVERALL} SELECT year_month, complaints, CASE WHEN count(*) OVER w = 3
-  THEN round(avg(complaints) OVER w + 1e-9, 4) END AS centred_avg FROM overall
+  THEN round((avg(complaints) OVER w)::DOUBLE::DECIMAL(38, 12), 4)::DOUBLE END AS centred_avg FROM overall
 WINDOW w AS (ORDER BY year_month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
     "pct_rank": f"""WITH c AS (SELECT s_name AS company, count(*) AS n_complaints FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
 r AS (SELECT *, (rank() OVER (ORDER BY n_complaints) + (count(*) OVER (PARTITION BY n_complaints) - 1) / 2.0::DOUBLE)
@@ -609,10 +608,14 @@ ORDER BY complaints DESC, year_month LIMIT 1""",
 SELECT *, {pct('last_value - first_value', 'first_value')} AS pct_change FROM e""",
     "chi_square_product": _chi_square("product_short"),
     "chi_square_company": _chi_square("company", RESOLVED_FLOOR),
+    # The upper tail is one minus the series of the incomplete gamma function.
+    "chi_square_p_value": f"""WITH test AS ({_chi_square("company", RESOLVED_FLOOR)})
+SELECT *, round((1 - (SELECT sum(exp((dof / 2.0 + k) * ln(statistic / 2) - statistic / 2 - lgamma(dof / 2.0 + k + 1)))
+  FROM range(20000) r(k)))::DECIMAL(38, 12), 9)::DOUBLE AS p_value FROM test""",
     "large_groups": f"""WITH {CASES} SELECT complaint_id, company FROM cases WHERE resolved
 QUALIFY count(*) OVER (PARTITION BY company) >= {RESOLVED_FLOOR}""",
     "chi_residuals": f"""WITH {_outcome_table('company', RESOLVED_FLOOR)}, z AS (
-SELECT g AS company, outcome, o AS observed, round(e + 1e-9, 6) AS expected, round((o - e) / sqrt(e) + 1e-9, 6) AS residual
+SELECT g AS company, outcome, o AS observed, round((e)::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS expected, round(((o - e) / sqrt(e))::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS residual
 FROM scored), ends AS (SELECT *, row_number() OVER (ORDER BY residual, company, outcome) AS low,
   row_number() OVER (ORDER BY residual DESC, company, outcome) AS high FROM z), picked AS (
 SELECT * FROM ends WHERE low <= 4 UNION ALL SELECT * FROM ends WHERE high <= 4)
@@ -638,14 +641,14 @@ GROUP BY ALL ORDER BY n DESC, product_short, issue LIMIT 4""",
     + _spearman(
         "m",
         [("pct_no_relief", "explanation_only_rate")],
-        ", (SELECT round(avg(abs(pct_no_relief - explanation_only_rate)) + 1e-9, 4) FROM m) AS mean_gap",
+        ", (SELECT round((avg(abs(pct_no_relief - explanation_only_rate)))::DOUBLE::DECIMAL(38, 12), 4)::DOUBLE FROM m) AS mean_gap",
     ),
     "holding_rollup": f"""WITH {INSTITUTIONS}, top AS (
 SELECT * FROM inst QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY asset DESC, cert::VARCHAR) = 1)
 SELECT group_key, g.group_name, total_assets_k, n_charters, top.name AS largest_charter,
   top.asset::DECIMAL(20,2) AS largest_charter_assets_k, top.cert::VARCHAR AS primary_cert, top.stalp AS state,
   has_holding_company, total_assets_b,
-  CASE WHEN total_assets_k > 0 THEN round(100.0::DOUBLE * (1 - top.asset::DOUBLE / total_assets_k::DOUBLE) + 1e-9, 2) END
+  CASE WHEN total_assets_k > 0 THEN round((100.0::DOUBLE * (1 - top.asset::DOUBLE / total_assets_k::DOUBLE))::DOUBLE::DECIMAL(38, 12), 2)::DOUBLE END
     AS assets_understated_pct FROM grp g JOIN top USING (group_key)""",
     "match_candidates": f"WITH {CANDIDATES} SELECT norm, group_key, source FROM candidates",
     "entity_match": f"WITH {MATCHES} SELECT * FROM matches",
@@ -693,9 +696,9 @@ SELECT rank() OVER (ORDER BY complaints DESC) AS volume_rank, dense_rank() OVER
   states_touched, first_complaint, last_complaint FROM v QUALIFY volume_rank <= 100""",
     "q02_monthly_trend": f"WITH {MONTHLY} {_trend('monthly')}",
     "q02_dense_trend": f"""WITH {CASES}, sparse AS (
-SELECT product || ' / ' || state AS product, year_month, min(date_received) AS month_start, count(*) AS complaints,
+SELECT product || ' / ' || state || ' / ' || issue AS product, year_month, min(date_received) AS month_start, count(*) AS complaints,
   count(*) FILTER (resolved) AS resolved, count(*) FILTER (monetary) AS monetary_relief,
-  count(*) FILTER (untimely) AS untimely FROM cases WHERE in_window AND issue = 'Brand#7' GROUP BY 1, 2), spine AS (
+  count(*) FILTER (untimely) AS untimely FROM cases WHERE in_window GROUP BY 1, 2), spine AS (
 SELECT product, unnest(range(min(strptime(year_month || '-01', '%Y-%m-%d')),
   max(strptime(year_month || '-01', '%Y-%m-%d')) + INTERVAL 1 DAY, INTERVAL 1 MONTH))::DATE AS d FROM sparse GROUP BY product), dense AS (
 SELECT p.product, p.product AS product_short, strftime(d, '%Y-%m') AS year_month, coalesce(month_start, d) AS month_start,
@@ -755,7 +758,7 @@ FROM cases c LEFT JOIN profile p ON p.company = c.company WHERE in_window""",
     "v_monthly_trend": f"""WITH {MONTHLY} SELECT *, {pct('monetary_relief', 'resolved')} AS monetary_relief_rate,
   {pct('untimely', 'resolved')} AS untimely_rate, lag(complaints) OVER w AS prev_month,
   {pct('complaints - lag(complaints) OVER w', 'lag(complaints) OVER w')} AS mom_pct_change,
-  round(avg(complaints) OVER (PARTITION BY product ORDER BY year_month ROWS 2 PRECEDING) + 1e-9, 1) AS moving_avg_3m
+  round((avg(complaints) OVER (PARTITION BY product ORDER BY year_month ROWS 2 PRECEDING))::DOUBLE::DECIMAL(38, 12), 1)::DOUBLE AS moving_avg_3m
 FROM monthly WINDOW w AS (PARTITION BY product ORDER BY year_month)""",
     "v_state_summary": f"""WITH {STATES} SELECT t.state, complaints, companies, {pct('complaints', 'sum(complaints) OVER ()', 3)} AS pct_of_national,
   {pct('m', 'resolved')} AS monetary_relief_rate, {pct('u', 'resolved')} AS untimely_rate, avg_days_to_company, i.issue AS top_issue,

@@ -33,6 +33,8 @@ QUERIES: dict[str, Query] = {}
 
 SPIKE = ("1998-03", "1998-04")
 EXCLUDED_MONTH = "1998-04"
+# Fixed value: complaints from which a product-issue pair is reported.
+ISSUE_FLOOR = 50
 OUTCOMES = [statistics.RELIEF, statistics.NO_RELIEF]
 
 
@@ -41,12 +43,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def issue_floor_for(spark: SparkSession, sf_dir: str) -> int:
-    """A floor in the middle of the product-issue counts, which grow with the data."""
-    rows = t.table(spark, sf_dir, "lineitem").count()
-    return rows // 150
-
-
 def _institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.institutions(spark, sf_dir).where("ACTIVE = 1")
 
@@ -257,7 +253,7 @@ def issue_floor(spark, sf_dir):
         spark, sf_dir, "product_short", "issue", "is_resolved", "got_monetary_relief", "is_untimely",
         "is_servicemember", "is_older_american", "in_trend_window",
     )
-    return views.issue_export(facts, issue_floor_for(spark, sf_dir))
+    return views.issue_export(facts, ISSUE_FLOOR)
 
 
 @query
@@ -606,7 +602,8 @@ def chi_square_company(spark, sf_dir):
 
 @query
 def chi_square_p_value(spark, sf_dir):
-    return statistics.with_p_value(statistics.chi_square(_company_table(spark, sf_dir), OUTCOMES))
+    tested = statistics.with_p_value(statistics.chi_square(_company_table(spark, sf_dir), OUTCOMES))
+    return tested.withColumn("p_value", rounded(F.col("p_value"), 9))
 
 
 @query
@@ -803,10 +800,10 @@ def q02_monthly_trend(spark, sf_dir):
 
 @query
 def q02_dense_trend(spark, sf_dir):
-    """The trend of one rare product (a single brand) over a gap-free calendar."""
+    """The trend of every product, state and brand, many with gaps, over a gap-free calendar."""
     facts = t.facts(spark, sf_dir, *_MONTHLY_COLUMNS, "issue", "state")
-    rare = facts.where("issue = 'Brand#7'").withColumn("product", F.concat_ws(" / ", "product", "state"))
-    return analyses.monthly_trend(rare.withColumn("product_short", F.col("product")), dense=True)
+    fine = facts.withColumn("product", F.concat_ws(" / ", "product", "state", "issue"))
+    return analyses.monthly_trend(fine.withColumn("product_short", F.col("product")), dense=True)
 
 
 @query
@@ -833,7 +830,7 @@ def q05_top_issues(spark, sf_dir):
         spark, sf_dir, "product", "product_short", "issue", "is_resolved", "got_monetary_relief",
         "is_untimely", "is_servicemember", "is_older_american", "in_trend_window",
     )
-    return analyses.top_issues(facts, floor=issue_floor_for(spark, sf_dir))
+    return analyses.top_issues(facts, floor=ISSUE_FLOOR)
 
 
 _STATE_COLUMNS = [

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaintide.functions import dates, geography, outcomes, taxonomy
-from plaintide.session import spread
 
 TREND_END = "2001-07-31"
 VOLUME_FLOOR = 600
@@ -49,10 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _joined(spark: SparkSession, sf_dir: str, needed: set[str], heavy: bool = False) -> DataFrame:
-    """Lines with the needed sides; ``heavy`` says that much work per row follows."""
+def _joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
+    """Lines with the needed sides."""
     df = table(spark, sf_dir, "lineitem")
-    df = spread(df) if heavy else df
     for name, (key, foreign, via) in _JOINS.items():
         if name in needed or any(name in _JOINS[other][2] for other in needed):
             side = table(spark, sf_dir, name)
@@ -143,7 +141,7 @@ def facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Typed complaint facts with the named columns (all of them by default)."""
     chosen = columns or tuple(_FACTS)
     needed = {_FACTS[c][0] for c in chosen} - {""}
-    df = _joined(spark, sf_dir, needed, heavy=len(chosen) > 6)
+    df = _joined(spark, sf_dir, needed)
     present = {"", *needed, *(via for name in needed for via in _JOINS[name][2])}
     shared = {name: F.expr(sql) for name, (source, sql) in _SHARED.items() if source in present}
     return df.withColumns(shared).select(*[_FACTS[c][1]().alias(c) for c in chosen])
@@ -191,7 +189,7 @@ _RAW_COLUMNS = {
 
 def raw_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen-column all-string extract."""
-    df = _joined(spark, sf_dir, set(_JOINS), heavy=True)
+    df = _joined(spark, sf_dir, set(_JOINS))
     return df.select(*[F.expr(sql).alias(name) for name, sql in _RAW_COLUMNS.items()])
 
 

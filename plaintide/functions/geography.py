@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from plaintide.functions.numbers import flag
 
 # Postal codes.
-US_STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ "
-    "NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
-).split()
-TERRITORIES = "PR VI GU AS MP UM PW FM MH".split()
-MILITARY_POST = "AA AE AP".split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY",
+    "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND",
+    "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+]
+TERRITORIES = [
+    "PR", "VI", "GU", "AS", "MP", "UM", "PW", "FM", "MH",
+]
+MILITARY_POST = [
+    "AA", "AE", "AP",
+]
 SPELLED_OUT = {"UNITED STATES MINOR OUTLYING ISLANDS": "UM"}
 UNKNOWN_STATE = "Unknown"
 

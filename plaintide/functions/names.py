@@ -40,7 +40,8 @@ GENERIC_TOKENS = [
     "THE", "OF", "AND", "CORPORATION", "COMPANY", "INTERNATIONAL",
 ]
 
-CREDIT_UNION_MARKERS = ["CREDIT UNION", "FEDERAL CREDIT UNION", " FCU"]
+# Marks of a credit union in a name.
+CREDIT_UNION_MARKERS = ["CREDIT UNION", " FCU"]
 MIN_TOKEN_LENGTH = 3
 
 

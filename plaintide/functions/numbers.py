@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Moves a value that is an exact tie in decimal, but lies just below it in
-# binary, to the side where half-up rounding belongs.
-TIE_NUDGE = 1e-9
+# Digits of a double that count in rounding: 1.005 is a tie, whatever its binary form.
+_EXACT = "decimal(38,12)"
 
 
 def rounded(value: Column, places: int) -> Column:
-    """Half-up rounding as a double, stable for ties such as 1.005."""
-    return F.round(value.cast("double") + F.lit(TIE_NUDGE), places)
+    """Rounding as a double, ties away from zero, decided on the decimal value."""
+    return F.round(value.cast(_EXACT), places).cast("double")
 
 
 def ratio(top: Column, bottom: Column, places: int) -> Column:

@@ -1,18 +1,16 @@
 """Exact global ranks whose cost is bounded in every task.
 
-A window without PARTITION BY moves its whole input into one task. That is the
-quickest plan while the ranked relation (one row per company) is small, and
-fails once it is itself large. So the operators here count the settled relation
-first: up to ``SINGLE_TASK_ROWS`` rows they use plain windows, beyond that they
-get the same numbers from small relations:
-
-* ``value_positions`` ranks *distinct values*. Rows collapse into a
-  ``value -> ties`` histogram (with map-side combine, so one value held by most
-  rows costs nothing), distinct values are spread over order-preserving buckets,
-  each bucket is ordered on its own, and only the list of buckets, whose number
-  is fixed by the floating-point format, sees an unpartitioned window.
-* ``global_row_number`` numbers rows under a unique order: a range-partitioned
-  sort, a number inside each partition and an offset per partition.
+A window without PARTITION BY moves its whole input into one task. The operators here
+give the same numbers at any size from ranges of an order:
+
+* ``value_positions`` ranks *distinct values*. Rows collapse into a ``value -> ties``
+  histogram (with map-side combine, so one value held by most rows costs nothing), which
+  is cut into ranges of equal numbers of values. Each range is ordered on its own, and
+  only the list of ranges, one per task, sees a further window.
+* ``global_row_number`` numbers rows under a unique order the same way.
+
+The number of a row's range is written down with the row, so that a repeated task
+sees the same ranges.
 """
 
 from __future__ import annotations
@@ -24,23 +22,12 @@ from pyspark.sql import functions as F
 
 from plaintide.session import settle
 
-SINGLE_TASK_ROWS = 200_000
-
-# Sub-buckets per power of two, and an exponent offset that keeps every bucket
-# number of a positive double above zero.
-_STEPS = 256
-_OFFSET = 1100 * _STEPS
 
-
-def order_bucket(value: Column) -> Column:
-    """A long that never decreases as ``value`` grows (log-linear buckets)."""
-    size = F.abs(value)
-    exponent = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * _STEPS)
-    magnitude = exponent * _STEPS + step + _OFFSET
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(
-        F.signum(value).cast("long") * magnitude.cast("long")
-    )
+def _in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """The rows in ranges of the order, written with the number of their range as ``_part``."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *order).withColumn("_part", F.spark_partition_id())
+    return settle(ranged, "ranges")
 
 
 def value_positions(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -50,31 +37,26 @@ def value_positions(df: DataFrame, value: str, by: list[str] | None = None) -> D
     and ``rows_total``, all counted in ascending order of the value.
     """
     by = by or []
-    histogram = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("ties"))
-        .withColumn("_bucket", order_bucket(F.col(value)))
-    )
-    bucket_order = Window.partitionBy(*by).orderBy("_bucket")
-    earlier = bucket_order.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        histogram.groupBy(*by, "_bucket")
+    histogram = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
+    histogram = _in_ranges(histogram, [*by, value])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        histogram.groupBy(*by, "_part")
         .agg(F.sum("ties").alias("_rows"), F.count("*").alias("_values"))
         .select(
             *by,
-            "_bucket",
+            "_part",
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_base"),
             F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_values_base"),
             F.sum("_rows").over(Window.partitionBy(*by)).alias("rows_total"),
         )
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value)
+    inside = Window.partitionBy(*by, "_part").orderBy(value)
     inside_before = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
         histogram.withColumn("_rows_in", F.coalesce(F.sum("ties").over(inside_before), F.lit(0)))
         .withColumn("_values_in", F.row_number().over(inside) - 1)
-        .join(buckets, [*by, "_bucket"])
+        .join(ranges, [*by, "_part"])
         .select(
             *by,
             value,
@@ -119,57 +101,23 @@ class Position:
 _FIELDS = ["ties", "rows_before", "values_before", "rows_total"]
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether a settled relation is small enough for an unpartitioned window."""
-    return df.count() <= SINGLE_TASK_ROWS
-
-
-def _window_fields(value: str, by: list[str]) -> dict[str, Column]:
-    everyone = Window.partitionBy(*by)
-    order = everyone.orderBy(value)
-    return {
-        "ties": F.count("*").over(Window.partitionBy(*by, value)),
-        "rows_before": F.rank().over(order) - 1,
-        "values_before": F.dense_rank().over(order) - 1,
-        "rows_total": F.count("*").over(everyone),
-    }
-
-
-def placed(df: DataFrame, value: str, by: list[str], small: bool | None = None) -> DataFrame:
-    """Non-null rows of a settled relation with the position fields of ``value`` per ``by`` group."""
+def placed(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Non-null rows with the position fields of ``value`` per ``by`` group."""
     known = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    if (fits_one_task(df) if small is None else small):
-        return known.withColumns({k: v.cast("long") for k, v in _window_fields(value, by).items()})
     return known.join(value_positions(known, value, by), [*by, value])
 
 
-def with_positions(
-    df: DataFrame, key: str, measures: dict[str, Column], small: bool | None = None
-) -> tuple[DataFrame, dict[str, Position]]:
+def with_positions(df: DataFrame, key: str, measures: dict[str, Column]) -> tuple[DataFrame, dict[str, Position]]:
     """Place every row of a settled relation within each named measure.
 
     ``measures`` maps a name to the number to rank by, ascending; negate it for
-    a descending rank. Rows with a null measure get null positions. Beyond one
-    task, all measures travel in one long relation, so the number of shuffles
-    does not grow with the number of measures. ``small`` is the answer of
-    ``fits_one_task`` where the caller already has it.
+    a descending rank. Rows with a null measure get null positions. All measures
+    travel in one long relation, so the number of shuffles does not grow with the
+    number of measures.
     """
     positions = {
         name: Position(*[F.col(f"_{name}_{field}") for field in _FIELDS]) for name in measures
     }
-    if (fits_one_task(df) if small is None else small):
-        for name, number in measures.items():
-            df = df.withColumn(f"_{name}", number.cast("double")).withColumn(
-                f"_{name}_known", F.col(f"_{name}").isNotNull()
-            )
-            fields = _window_fields(f"_{name}", [f"_{name}_known"])
-            df = df.withColumns(
-                {
-                    f"_{name}_{field}": F.when(F.col(f"_{name}_known"), column.cast("long"))
-                    for field, column in fields.items()
-                }
-            )
-        return df, positions
     entries = F.array(
         *[
             F.struct(F.lit(name).alias("measure"), number.cast("double").alias("value"))
@@ -192,30 +140,13 @@ def with_positions(
     return df.join(wide, key, "left"), positions
 
 
-_INDEX_BITS = 33  # layout documented for monotonically_increasing_id
-
-
-def global_row_number(
-    df: DataFrame, order: list[Column], total: str | None = None, small: bool | None = None
-) -> DataFrame:
-    """A settled relation with ``row_number`` and ``rows_total``.
+def global_row_number(df: DataFrame, order: list[Column], total: str | None = None) -> DataFrame:
+    """The rows with ``row_number`` and ``rows_total``.
 
     ``order`` must be unique. With ``total`` also adds ``running_total``, the
     cumulative sum of that column in order, and ``grand_total``.
     """
-    if (fits_one_task(df) if small is None else small):
-        line, everyone = Window.orderBy(*order), Window.partitionBy()
-        df = df.withColumn("row_number", F.row_number().over(line).cast("long"))
-        df = df.withColumn("rows_total", F.count("*").over(everyone))
-        if total:
-            so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-            df = df.withColumn("running_total", F.sum(total).over(so_far))
-            df = df.withColumn("grand_total", F.sum(total).over(everyone))
-        return df
-    ordered = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_at"), _INDEX_BITS)
-    local = F.col("_at") - F.shiftleft(F.col("_part"), _INDEX_BITS)
-    ordered = ordered.withColumn("_part", part).withColumn("_local", local)
+    ordered = _in_ranges(df, order)
     measure = F.col(total) if total else F.lit(0)
     parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -229,16 +160,19 @@ def global_row_number(
             F.sum("_t").over(Window.partitionBy()).alias("grand_total"),
         )
     )
-    inside = Window.partitionBy("_part").orderBy("_local")
-    numbered = ordered.join(offsets, "_part").withColumn(
-        "row_number", F.col("_local") + F.col("_n_base") + 1
-    )
+    inside = Window.partitionBy("_part").orderBy(*order)
+    numbered = ordered.withColumn("_local", F.row_number().over(inside))
     if total:
         running = F.sum(measure).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        numbered = numbered.withColumn("running_total", running + F.col("_t_base"))
+        numbered = numbered.withColumn("_running", running)
+    numbered = numbered.join(offsets, "_part").withColumn(
+        "row_number", (F.col("_local") + F.col("_n_base")).cast("long")
+    )
+    if total:
+        numbered = numbered.withColumn("running_total", F.col("_running") + F.col("_t_base"))
     else:
         numbered = numbered.drop("grand_total")
-    return numbered.drop("_at", "_part", "_local", "_n_base", "_t_base")
+    return numbered.drop("_part", "_local", "_running", "_n_base", "_t_base")
 
 
 def ntile(tiles: int, row_number: Column, rows_total: Column) -> Column:

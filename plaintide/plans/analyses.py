@@ -14,7 +14,6 @@ from plaintide.functions.dates import month_start
 from plaintide.functions.numbers import percent_of, ratio, rounded
 from plaintide.operators.aggregates import counted, lag_mean, lag_parts, summed
 from plaintide.operators.ranking import (
-    fits_one_task,
     global_row_number,
     ntile,
     with_positions,
@@ -46,12 +45,11 @@ def company_volume(facts: DataFrame) -> DataFrame:
     )
 
 
-def _volume_line(facts: DataFrame, small: bool | None) -> DataFrame:
+def _volume_line(facts: DataFrame) -> DataFrame:
     volume = settle(company_volume(facts))
-    small = fits_one_task(volume) if small is None else small
     order = [F.desc("complaints"), F.asc_nulls_last("company")]
-    line = global_row_number(volume, order, total="complaints", small=small)
-    placed, at = with_positions(line, "company", {"volume": -F.col("complaints")}, small)
+    line = global_row_number(volume, order, total="complaints")
+    placed, at = with_positions(line, "company", {"volume": -F.col("complaints")})
     return placed.withColumns(
         {
             "volume_rank": at["volume"].rank(),
@@ -63,10 +61,10 @@ def _volume_line(facts: DataFrame, small: bool | None) -> DataFrame:
     )
 
 
-def company_ranking(facts: DataFrame, top: int = 100, small: bool | None = None) -> DataFrame:
+def company_ranking(facts: DataFrame, top: int = 100) -> DataFrame:
     """Q1: companies by volume with concentration; both rates divide by resolved."""
     return (
-        _volume_line(facts, small)
+        _volume_line(facts)
         .where(F.col("volume_rank") <= top)
         .select(
             "volume_rank",
@@ -87,9 +85,9 @@ def company_ranking(facts: DataFrame, top: int = 100, small: bool | None = None)
     )
 
 
-def volume_quartiles(facts: DataFrame, small: bool | None = None) -> DataFrame:
+def volume_quartiles(facts: DataFrame) -> DataFrame:
     """Volume quartile of every company, largest first."""
-    return _volume_line(facts, small).select("company", "complaints", "volume_quartile")
+    return _volume_line(facts).select("company", "complaints", "volume_quartile")
 
 
 def monthly_by_product(facts: DataFrame) -> DataFrame:
@@ -163,7 +161,7 @@ def monthly_trend(facts: DataFrame, dense: bool = False) -> DataFrame:
 
 
 def resolution_rates(
-    facts: DataFrame, floor: int = 500, small: bool | None = None
+    facts: DataFrame, floor: int = 500
 ) -> DataFrame:
     """Q3: outcome rates of resolved complaints against the peer median."""
     outcomes = (
@@ -203,7 +201,6 @@ def resolution_rates(
         rates,
         "company",
         {"relief": F.col("monetary_relief_rate"), "late": -F.col("untimely_rate")},
-        small,
     )
     return placed.select(
         *rates.columns,
@@ -218,7 +215,7 @@ def resolution_rates(
 
 
 def size_adjusted(
-    facts: DataFrame, enriched: DataFrame, floor: int = 500, small: bool | None = None
+    facts: DataFrame, enriched: DataFrame, floor: int = 500
 ) -> DataFrame:
     """Q4: complaints per $1B of assets against raw volume, matched companies only."""
     peers = enriched.where(
@@ -247,7 +244,6 @@ def size_adjusted(
         combined,
         "company",
         {"volume": -F.col("total_complaints"), "size": -F.col("complaints_per_1b_assets")},
-        small,
     )
     gap = at["volume"].rank() - at["size"].rank()
     verdict = (

@@ -10,7 +10,7 @@ so words that most names carry are hardly ever join keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaintide.functions import names
@@ -23,9 +23,12 @@ AUTO_ACCEPT = 92.0
 REVIEW_FLOOR = 75.0
 MIN_JACCARD = 0.6
 MIN_SHARED = 2
-# A token carried by more candidates than this is a join key only inside the
-# prefixes that MIN_JACCARD needs. It bounds near-miss reporting, never matches.
-COMMON_TOKEN = 200
+# Near misses are reported from this token overlap on. It is a property of the two
+# names alone; what lies below it is ``no_match``.
+NEAR_JACCARD = 0.5
+# A token of the candidates is repeated this often, so that the companies that
+# carry a frequent one spread over as many tasks.
+TOKEN_SALTS = 8
 IMPLAUSIBLE_PER_BILLION = 300
 
 # Curated company -> exact charter name.
@@ -180,38 +183,32 @@ def _override_groups(institutions: DataFrame) -> DataFrame:
 
 
 def _by_rarity(df: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
-    """Exploded tokens of each row with candidate frequency and prefix membership."""
+    """The tokens of each row that are join keys: those of its prefix, from rare to common."""
     tokens = df.select(key, F.explode("sig").alias("token")).join(frequency, "token", "left")
     carried = F.coalesce(F.col("df"), F.lit(0).cast("long"))
     ordered = tokens.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(carried.alias("df"), F.col("token")))).alias("_tokens")
     )
     size = F.size("_tokens")
-    prefix = size - F.ceil(size * F.lit(MIN_JACCARD)).cast("int") + 1
-    return ordered.select(key, prefix.alias("_prefix"), F.posexplode("_tokens").alias("_at", "_t")).select(
-        key, "_t.token", "_t.df", (F.col("_at") < F.col("_prefix")).alias("in_prefix")
-    )
+    prefix = size - F.ceil(size * F.lit(NEAR_JACCARD)).cast("int") + 1
+    placed = ordered.select(key, prefix.alias("_prefix"), F.posexplode("_tokens").alias("_at", "_t"))
+    return placed.where((F.col("_at") < F.col("_prefix")) & (F.col("_t.df") > 0)).select(key, "_t.token")
 
 
 def candidate_pairs(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pairs worth scoring: (company, norm, sig) x (cand_norm, cand_sig) with their overlap.
 
-    Complete for every pair with ``MIN_JACCARD`` overlap; further near misses
-    are included where they share a token that is not common.
+    Complete for every pair with ``NEAR_JACCARD`` overlap, and holds no other.
     """
     frequency = candidates.select(F.explode("sig").alias("token")).groupBy("token").agg(
         F.count("*").alias("df")
     )
-    usable = (F.col("df") > 0) & ((F.col("df") <= COMMON_TOKEN) | F.col("in_prefix"))
-    left = _by_rarity(companies, "company", frequency).where(usable)
-    right = _by_rarity(candidates, "norm", frequency).where(usable)
-    right = right.select("token", F.col("norm").alias("cand_norm"), F.col("in_prefix").alias("_both"))
-    keys = (
-        left.join(right, "token")
-        .where((F.col("df") <= COMMON_TOKEN) | (F.col("in_prefix") & F.col("_both")))
-        .select("company", "cand_norm")
-        .distinct()
+    salt = F.pmod(F.xxhash64("company"), F.lit(TOKEN_SALTS)).cast("int")
+    left = _by_rarity(companies, "company", frequency).withColumn("salt", salt)
+    right = _by_rarity(candidates, "norm", frequency).select(
+        "token", F.col("norm").alias("cand_norm"), F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt")
     )
+    keys = left.join(right, ["token", "salt"]).select("company", "cand_norm").distinct()
     return (
         keys.join(companies.select("company", "norm", "sig"), "company")
         .join(
@@ -222,6 +219,7 @@ def candidate_pairs(companies: DataFrame, candidates: DataFrame) -> DataFrame:
         )
         .withColumn("shared", names.shared_count(F.col("sig"), F.col("cand_sig")))
         .withColumn("jaccard", names.jaccard(F.col("sig"), F.col("cand_sig")))
+        .where(F.col("jaccard") >= NEAR_JACCARD)
     )
 
 
@@ -235,7 +233,7 @@ def _verdict() -> Column:
     )
     return (
         F.when(F.col("norm").isin("") | F.col("norm").isNull(), "no_candidate")
-        .when(F.col("best").isNull() & (F.col("carried") > 0), "rejected_common_token_only")
+        .when(F.col("best").isNull() & (F.col("carried") > 0), "no_match")
         .when(F.col("best").isNull(), "no_shared_token")
         .when(same_set, "token_set_identical")
         .when(fuzzy, "fuzzy_auto")
@@ -285,9 +283,11 @@ def _decided(companies: DataFrame, institutions: DataFrame, candidates: DataFram
 
 def _best_fuzzy(undecided: DataFrame, candidates: DataFrame) -> DataFrame:
     """Verdict for companies no exact rule decided."""
-    pairs = candidate_pairs(undecided, candidates).withColumn(
-        "score", pair_score(F.col("norm"), F.col("cand_norm"))
-    )
+    pairs = candidate_pairs(undecided, candidates)
+    # The score only tells apart candidates of equal overlap, so only those are scored.
+    most = Window.partitionBy("company").orderBy(F.desc("jaccard"))
+    pairs = pairs.withColumn("_place", F.rank().over(most)).where("_place = 1")
+    pairs = pairs.withColumn("score", pair_score(F.col("norm"), F.col("cand_norm")))
     best = pairs.groupBy("company").agg(
         F.min_by(
             F.struct("cand_norm", "cand_sig", "group_key", "shared", "jaccard", "score"),

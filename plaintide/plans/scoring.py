@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.functions.numbers import banded, percent_of, rounded
-from plaintide.operators.ranking import Position, fits_one_task, with_positions
+from plaintide.operators.ranking import Position, with_positions
 from plaintide.session import settle
 
 # Component weights and tier bounds.
@@ -32,17 +32,16 @@ def risk_tier(score: Column) -> Column:
     return banded(score, TIERS, TOP_TIER, closed=True)
 
 
-def risk_profile(rates: DataFrame, floor: int = 500, small: bool | None = None) -> DataFrame:
+def risk_profile(rates: DataFrame, floor: int = 500) -> DataFrame:
     """Rates plus percentiles, both scores and the tier.
 
     Companies under the floor are kept without scores. The exposure score ranks
     conduct again inside the matched cohort, so that both parts share peers.
     """
     rates = settle(rates)
-    small = fits_one_task(rates) if small is None else small
     scored = F.col("total_complaints") >= floor
     placed, at = with_positions(
-        rates, "company", {m: F.when(scored, F.col(m)) for m in CONDUCT_WEIGHTS}, small
+        rates, "company", {m: F.when(scored, F.col(m)) for m in CONDUCT_WEIGHTS}
     )
     placed = placed.withColumns({f"pctile_{m}": percentile_score(at[m]) for m in CONDUCT_WEIGHTS})
     conduct = sum(
@@ -53,7 +52,7 @@ def risk_profile(rates: DataFrame, floor: int = 500, small: bool | None = None)
     )
     cohort = scored & F.col("matched") & F.col("complaints_per_1b_assets").isNotNull()
     ranked, at = with_positions(
-        placed, "company", {m: F.when(cohort, F.col(m)) for m in EXPOSURE_WEIGHTS}, small
+        placed, "company", {m: F.when(cohort, F.col(m)) for m in EXPOSURE_WEIGHTS}
     )
     exposure = sum(
         (percentile_score(at[m]) * w for m, w in EXPOSURE_WEIGHTS.items()), start=F.lit(0.0)

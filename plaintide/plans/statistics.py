@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions.numbers import banded, percent_of, ratio, rounded
 from plaintide.operators.chi_tail import chi_square_tail
-from plaintide.operators.ranking import fits_one_task, placed, with_positions
+from plaintide.operators.ranking import placed, with_positions
 from plaintide.session import settle
 
 # Strength bands of Cramer's V.
@@ -33,31 +33,38 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.where(F.col(row).isNotNull()).groupBy(row).agg(*counts)
 
 
-def chi_square(table: DataFrame, values: list[str]) -> DataFrame:
-    """Independence test of a crosstab in a single pass: one row.
+def _with_expected(table: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A settled crosstab with row sums and one expected count per cell, and its column sums.
 
-    With row sums r, column sums c and total n the statistic is
-    n * (sum of o^2 / (r * c) - 1), so each column needs only the sum of its
-    counts and of o^2 / r: no second scan and no join with the totals. No
-    continuity correction is made for 2 x 2 tables.
+    The crosstab has a row per group; it is written once, and so are its sums.
     """
     row_sum = sum((F.col(v) for v in values[1:]), start=F.col(values[0]))
-    parts = table.withColumn("_r", row_sum).where("_r > 0")
-    one = parts.agg(
-        F.count("*").alias("rows"),
-        F.sum("_r").alias("n"),
-        *[F.sum(v).alias(f"_c{i}") for i, v in enumerate(values)],
-        *[F.sum(F.col(v).cast("double") * F.col(v) / F.col("_r")).alias(f"_s{i}") for i, v in enumerate(values)],
-    )
-    share = sum(
-        (
-            F.coalesce(F.try_divide(F.col(f"_s{i}"), F.col(f"_c{i}").cast("double")), F.lit(0.0))
-            for i in range(len(values))
-        ),
-        start=F.lit(0.0),
+    table = settle(table.withColumn("_r", row_sum).where("_r > 0"), "crosstab")
+    sums = settle(
+        table.agg(F.count("*").alias("rows"), F.sum("_r").alias("n"), *[F.sum(v).alias(f"c{i}") for i, v in enumerate(values)]),
+        "crosstab-sums",
     )
-    used = sum((F.when(F.col(f"_c{i}") > 0, 1).otherwise(0) for i in range(len(values))), start=F.lit(0))
-    one = one.withColumn("statistic", F.greatest(F.col("n") * (share - 1.0), F.lit(0.0)))
+    n = sums.select("n").scalar()
+    expected = {
+        f"_e{i}": F.col("_r") * sums.select(f"c{i}").scalar().cast("double") / n for i in range(len(values))
+    }
+    return table.withColumns(expected), sums
+
+
+def chi_square(table: DataFrame, values: list[str]) -> DataFrame:
+    """Independence test of a crosstab: one row.
+
+    Sums (o - e)^2 / e directly, which keeps its digits at any number of rows. No
+    continuity correction is made for 2 x 2 tables.
+    """
+    table, sums = _with_expected(table, values)
+    cells = [
+        F.coalesce(F.try_divide(F.pow(F.col(v) - F.col(f"_e{i}"), 2), F.col(f"_e{i}")), F.lit(0.0))
+        for i, v in enumerate(values)
+    ]
+    parts = table.select(sum(cells[1:], start=cells[0]).alias("part"))
+    used = sum((F.when(F.col(f"c{i}") > 0, 1).otherwise(0) for i in range(len(values))), start=F.lit(0))
+    one = sums.withColumn("statistic", F.coalesce(parts.agg(F.sum("part")).scalar(), F.lit(0.0)))
     one = one.withColumn("dof", ((F.col("rows") - 1) * (used - 1)).cast("long"))
     smaller = F.least(F.col("rows"), used.cast("long")) - 1
     v = F.sqrt(F.try_divide(F.col("statistic"), (F.col("n") * smaller).cast("double")))
@@ -87,19 +94,10 @@ def large_rows(table: DataFrame, values: list[str], floor: int) -> DataFrame:
 
 def residuals(table: DataFrame, row: str, values: list[str]) -> DataFrame:
     """Observed, expected and Pearson residual (o - e) / sqrt(e) of every cell."""
-    table = settle(table)
-    total = sum((F.col(v) for v in values[1:]), start=F.col(values[0]))
-    sums = settle(
-        table.agg(F.sum(total).alias("n"), *[F.sum(v).alias(f"c{i}") for i, v in enumerate(values)])
-    )
-    n = sums.select("n").scalar()
+    table, _ = _with_expected(table, values)
     cells = F.array(
         *[
-            F.struct(
-                F.lit(v).alias("outcome"),
-                F.col(v).alias("observed"),
-                (total * sums.select(f"c{i}").scalar().cast("double") / n).alias("expected"),
-            )
+            F.struct(F.lit(v).alias("outcome"), F.col(v).alias("observed"), F.col(f"_e{i}").alias("expected"))
             for i, v in enumerate(values)
         ]
     )
@@ -145,7 +143,7 @@ def rate_spread(table: DataFrame, row: str) -> DataFrame:
 
 
 def _spearman_pairs(
-    companies: DataFrame, pairs: list[tuple[str, str]], key: str, small: bool | None
+    companies: DataFrame, pairs: list[tuple[str, str]], key: str
 ) -> DataFrame:
     """Long relation (pair, x, y) -> rank correlation of each pair on complete rows."""
     entries = F.array(
@@ -163,42 +161,39 @@ def _spearman_pairs(
     long = companies.select(key, F.inline(entries)).where("x IS NOT NULL AND y IS NOT NULL")
     rank = F.col("rows_before") + (F.col("ties") + 1) / 2
     fields = ["ties", "rows_before", "values_before", "rows_total"]
-    first = placed(long, "x", names, small).withColumn("rank_x", rank).drop(*fields)
-    both = placed(first, "y", names, small).withColumn("rank_y", rank)
+    first = placed(long, "x", names).withColumn("rank_x", rank).drop(*fields)
+    both = placed(first, "y", names).withColumn("rank_y", rank)
     return both.groupBy(*names).agg(
         F.count("*").alias("n"), rounded(F.corr("rank_x", "rank_y"), 6).alias("rho")
     )
 
 
 def spearman_matrix(
-    companies: DataFrame, measures: list[str] = CORRELATED, key: str = "company", small: bool | None = None
+    companies: DataFrame, measures: list[str] = CORRELATED, key: str = "company"
 ) -> DataFrame:
     """Upper triangle of the rank-correlation matrix, pairwise complete."""
     companies = settle(companies.select(key, *measures))
-    small = fits_one_task(companies) if small is None else small
-    return _spearman_pairs(companies, list(combinations_with_replacement(measures, 2)), key, small)
+    return _spearman_pairs(companies, list(combinations_with_replacement(measures, 2)), key)
 
 
 def score_redundancy(
-    companies: DataFrame, first: str, second: str, key: str = "company", small: bool | None = None
+    companies: DataFrame, first: str, second: str, key: str = "company"
 ) -> DataFrame:
     """Rank correlation and mean absolute gap of two candidate score components."""
     companies = settle(companies.select(key, first, second))
-    small = fits_one_task(companies) if small is None else small
     gap = rounded(F.avg(F.abs(F.col(first) - F.col(second))), 4)
-    return _spearman_pairs(companies, [(first, second)], key, small).withColumn(
+    return _spearman_pairs(companies, [(first, second)], key).withColumn(
         "mean_gap", companies.agg(gap.alias("g")).scalar()
     )
 
 
-def rank_contrast(companies: DataFrame, small: bool | None = None) -> DataFrame:
+def rank_contrast(companies: DataFrame) -> DataFrame:
     """Volume rank against rate rank of matched companies and their gap."""
     companies = settle(companies.select("company", "total_complaints", "complaints_per_1b_assets"))
     ranked, at = with_positions(
         companies,
         "company",
         {"volume": -F.col("total_complaints"), "size": -F.col("complaints_per_1b_assets")},
-        small,
     )
     return ranked.select(
         "company",
@@ -252,7 +247,7 @@ def dominant_categories(df: DataFrame, by: list[str], top: int = 4) -> DataFrame
 
 
 def sensitivity(
-    facts: DataFrame, enriched: DataFrame, month: str, floor: int = 500, small: bool | None = None
+    facts: DataFrame, enriched: DataFrame, month: str, floor: int = 500
 ) -> DataFrame:
     """Per-$1B rate and rank of each matched company with and without one month."""
     counts = (
@@ -272,7 +267,7 @@ def sensitivity(
         .withColumn("pct_from_month", percent_of(F.col("n_with") - F.col("n_without"), F.col("n_with"), 1))
     )
     ranked, at = with_positions(
-        rates, "company", {"with": -F.col("rate_with"), "without": -F.col("rate_without")}, small
+        rates, "company", {"with": -F.col("rate_with"), "without": -F.col("rate_without")}
     )
     return ranked.select(
         *rates.columns,

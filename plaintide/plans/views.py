@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions.numbers import percent_of, rounded
 from plaintide.operators.aggregates import lag_mean
-from plaintide.operators.ranking import fits_one_task, with_positions
+from plaintide.operators.ranking import with_positions
 from plaintide.plans.analyses import issue_counts, monthly_by_product, state_totals
 from plaintide.session import settle
 
@@ -28,10 +28,9 @@ _SUMMARY = [
 ]
 
 
-def company_summary(profile: DataFrame, floor: int = 500, small: bool | None = None) -> DataFrame:
+def company_summary(profile: DataFrame, floor: int = 500) -> DataFrame:
     """V1: scored companies. Both headline ranks and their gap use the matched cohort only."""
     rows = settle(profile.where(F.col("total_complaints") >= floor))
-    small = fits_one_task(rows) if small is None else small
     cohort = F.col("matched") & F.col("complaints_per_1b_assets").isNotNull()
     status = F.when(F.col("matched"), STATUS_MATCHED)
     for method, text in STATUS_BY_METHOD.items():
@@ -44,7 +43,6 @@ def company_summary(profile: DataFrame, floor: int = 500, small: bool | None = N
             "volume": F.when(cohort, -F.col("total_complaints")),
             "size": F.when(cohort, -F.col("complaints_per_1b_assets")),
         },
-        small,
     )
     return ranked.select(
         *_SUMMARY,

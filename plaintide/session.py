@@ -64,13 +64,3 @@ def clear_scratch(spark: SparkSession) -> None:
     system, path = fs.FileSystem.from_uri(shared_root(spark))
     if system.get_file_info(path).type == fs.FileType.Directory:
         system.delete_dir(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer splits than cores (a small single file).
-
-    An input with enough splits, which is any large one, is returned as it is:
-    no shuffle is added to a big scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

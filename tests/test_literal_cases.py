@@ -1,12 +1,15 @@
 """Hand-made rows for every scalar rule."""
 
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from plaintide.functions import dates, geography, names, numbers, outcomes, taxonomy
 from plaintide.operators.chi_tail import _gamma_tail
 from plaintide.operators.similarity import common_subsequence, token_set_score
-from plaintide.plans import scoring
+from plaintide.plans import scoring, statistics
 
 
 def one(spark, value, build, schema="x string"):
@@ -204,3 +207,28 @@ def test_chi_square_tail_even_degrees(x, k):
 
     exact = math.fsum(math.exp(-x / 2 + i * math.log(x / 2) - math.lgamma(i + 1)) for i in range(k // 2))
     assert _gamma_tail(k / 2, x / 2) == pytest.approx(exact, rel=1e-9)
+
+
+def test_ties_round_away_from_zero_at_any_size(spark):
+    row = spark.sql("SELECT -0.125D AS a, -0.375D AS b, 1.005D AS c, 1000000000.005D AS d, 0.124999D AS e, CAST(NULL AS double) AS f")
+    got = row.select(*[numbers.rounded(F.col(c), 2).alias(c) for c in row.columns]).first()
+    assert tuple(got) == (-0.13, -0.38, 1.01, 1000000000.01, 0.12, None)
+    share = spark.range(1).select(numbers.percent_of(F.lit(-1), F.lit(800)).alias("a"), numbers.percent_of(F.lit(-3), F.lit(800)).alias("b"))
+    assert tuple(share.first()) == (-0.13, -0.38)
+
+
+def test_chi_square_keeps_its_digits_at_a_hundred_billion_rows(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        n = rng.randint(4 * 10**8, 6 * 10**8)
+        rows.append((i, yes := n // 7 + rng.randint(-9000, 9000), n - yes))
+    total, hits = sum(a + b for _, a, b in rows), sum(a for _, a, _ in rows)
+    exact = Fraction(0)
+    for _, a, b in rows:
+        for o, c in ((a, hits), (b, total - hits)):
+            e = Fraction((a + b) * c, total)
+            exact += (o - e) ** 2 / e
+    table = spark.createDataFrame(rows, "g int, yes bigint, no bigint")
+    got = statistics.chi_square(table, ["yes", "no"]).first()
+    assert got["n"] == total and abs(got["statistic"] - float(exact)) < 1e-6

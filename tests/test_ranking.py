@@ -20,10 +20,9 @@ def values():
     return pd.DataFrame({"id": range(len(base)), "v": base})
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_positions_match_pandas(spark, values, small):
+def test_positions_match_pandas(spark, values):
     df = settle(spark.createDataFrame(values.astype(object).where(values.notna(), None), "id int, v double"))
-    placed, at = ranking.with_positions(df, "id", {"up": F.col("v"), "down": -F.col("v")}, small)
+    placed, at = ranking.with_positions(df, "id", {"up": F.col("v"), "down": -F.col("v")})
     got = (
         placed.select(
             "id", at["up"].rank().alias("rank"), at["up"].dense_rank().alias("dense"),
@@ -46,21 +45,19 @@ def test_positions_match_pandas(spark, values, small):
 def test_documented_percentile_case(spark):
     rows = [(i, v) for i, v in enumerate([5.0, 1.0, 5.0, None, 2.0, 2.0, 2.0, 9.0])]
     df = settle(spark.createDataFrame(rows, "id int, v double"))
-    for small in (True, False):
-        placed, at = ranking.with_positions(df, "id", {"v": F.col("v")}, small)
-        got = [r["p"] for r in placed.select("id", at["v"].percentile().alias("p")).orderBy("id").collect()]
-        assert [None if p is None else round(p, 4) for p in got] == [
-            0.7857, 0.1429, 0.7857, None, 0.4286, 0.4286, 0.4286, 1.0,
-        ]
+    placed, at = ranking.with_positions(df, "id", {"v": F.col("v")})
+    got = [r["p"] for r in placed.select("id", at["v"].percentile().alias("p")).orderBy("id").collect()]
+    assert [None if p is None else round(p, 4) for p in got] == [
+        0.7857, 0.1429, 0.7857, None, 0.4286, 0.4286, 0.4286, 1.0,
+    ]
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
-@pytest.mark.parametrize("small", [True, False])
-def test_row_number_running_total_and_ntile(spark, parts, small):
+def test_row_number_running_total_and_ntile(spark, parts):
     rng = random.Random(5)
     rows = [(f"c{i:04d}", rng.choice([1, 1, 1, 5, 9, 100])) for i in range(503)]
     df = settle(spark.createDataFrame(rows, "name string, n bigint").repartition(parts))
-    line = ranking.global_row_number(df, [F.desc("n"), F.asc("name")], "n", small)
+    line = ranking.global_row_number(df, [F.desc("n"), F.asc("name")], "n")
     got = line.withColumn("q", ranking.ntile(4, F.col("row_number"), F.col("rows_total"))).orderBy("row_number").collect()
     expected = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert [(r["name"], r["n"]) for r in got] == expected
@@ -77,28 +74,6 @@ def test_ntile_with_fewer_rows_than_tiles(spark):
     assert [r[0] for r in spark.range(3).select(tile).collect()] == [1, 2, 3]
 
 
-def test_order_bucket_never_decreases(spark):
-    numbers = sorted([0.0, 1e-300, 5e-324, 1.0, 2.0, 4.0, 1023.9999999, 1024.0, 1e300]
-                     + [2.0**k * (1 + d) for k in range(-20, 40) for d in (-1e-16, 0, 1e-15, 0.5)])
-    numbers = [-x for x in reversed(numbers)] + numbers
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
-    buckets = [r["b"] for r in df.select("i", ranking.order_bucket(F.col("x")).alias("b")).orderBy("i").collect()]
-    assert buckets == sorted(buckets)
-
-
-@pytest.mark.parametrize("report", ["q01_company_ranking", "q03_resolution", "q04_size_adjusted", "risk_profile",
-                                    "v_company_summary", "spearman_matrix", "sensitivity", "volume_quartile"])
-def test_reports_do_not_depend_on_the_path(spark, sf_dir, duck, report, monkeypatch):
-    """The distributed path alone gives the same rows as SQL."""
-    import compare
-
-    from plaintide.bindings.oracles import ORACLES
-    from plaintide.bindings.queries import QUERIES
-
-    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", -1)
-    assert compare.differences(QUERIES[report](spark, sf_dir), duck, ORACLES[report]) == []
-
-
 def test_below_floor_companies_keep_null_scores(spark):
     columns = ["pct_no_relief", "untimely_rate", "disputes_facts_rate", "avg_days_to_company"]
     rows = [(f"c{i}", 1000 if i else 1, True, float(i), *[float(i)] * 4) for i in range(4)]
