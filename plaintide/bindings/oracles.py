@@ -35,13 +35,18 @@ def as_map(table: dict[str, str]) -> str:
     return f"map([{quoted(table)}], [{quoted(table.values())}])"
 
 
+# Suppliers with the parts of their names. The trade words and numbers hold no blanks.
+_NAMES = """(SELECT s_suppkey, p_name, n_name, s_acctbal, 'K' || lpad(s_suppkey::VARCHAR, 6, '0') AS k,
+  split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2
+FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
+
 CASES = f"""cases AS (
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS complaint_id,
   o_orderdate::DATE AS date_received, l_shipdate::DATE AS date_sent,
   year(o_orderdate)::INTEGER AS "year", month(o_orderdate)::INTEGER AS "month",
   strftime(o_orderdate, '%Y-%m') AS year_month,
   round((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE, 3) AS days,
-  p_type AS product, p_type AS product_short, p_brand AS issue, s_name AS company,
+  p_type AS product, p_type AS product_short, p_brand AS issue, company_name AS company,
   c_mktsegment AS sub_product, l_linestatus AS sub_issue, n_name AS state,
   CASE n_regionkey WHEN 3 THEN 'territory' WHEN 4 THEN 'military' ELSE 'state' END AS state_type,
   CASE WHEN c_custkey % 5 = 0 THEN lpad(((c_custkey % 100000) // 100)::VARCHAR, 3, '0') || 'XX'
@@ -59,7 +64,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS complai
     WHEN l_returnflag = 'A' THEN 'Closed with non-monetary relief' ELSE 'Closed with explanation' END AS response,
   o_orderdate::DATE <= DATE '{TREND_END}' AS in_window
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
-JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey
+JOIN (SELECT s_suppkey, {COMPANY_VARIANTS} AS company_name FROM {_NAMES}) ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey
 JOIN nation ON n_nationkey = c_nationkey)"""
 
 RAW = f"""raw AS (
@@ -153,22 +158,110 @@ SELECT group_key, any_value(group_name) AS group_name, sum(asset)::DECIMAL(20,2)
   count(*) AS n_charters, any_value(has_parent) AS has_holding_company,
   round((sum(asset)::DOUBLE / 1e6)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS total_assets_b FROM inst GROUP BY group_key)"""
 
-ENRICHED = f"""{CASES}, {INSTITUTIONS}, enriched AS (
+# Names on both sides of the match.
+NAMED = f"""named AS (SELECT * FROM {_NAMES}), companies AS (
+SELECT {COMPANY_VARIANTS} AS company, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n_complaints
+FROM named WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)), charters AS (
+SELECT CASE WHEN s_suppkey = 8 THEN 'Citibank, National Association'
+  ELSE p_name || ' ' || n_name || ' ' || k || ' Bank, National Association' END AS name, s_suppkey AS cert,
+  (s_acctbal * 1000)::DECIMAL(20,2) AS asset,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'CERT:' || s_suppkey ELSE n_name END AS group_key, s_suppkey % 7 <> 0 AS has_parent
+FROM named WHERE s_acctbal > 0), groups AS (
+SELECT group_key, CASE WHEN any_value(has_parent) THEN group_key ELSE any_value(name) END AS group_name,
+  sum(asset)::DECIMAL(20,2) AS total_k, count(*) AS n_charters FROM charters GROUP BY group_key)"""
+
+
+def _norm(name: str) -> str:
+    text = f"replace(upper({name}), '&', ' AND ')"
+    text = f"regexp_replace({text}, '\\bN\\.\\s*A\\.', ' NATIONAL ASSOCIATION ', 'g')"
+    text = f"trim(regexp_replace({text}, '[^A-Z0-9]+', ' ', 'g'))"
+    text = f"regexp_replace({text}, '\\bN A\\b', ' NATIONAL ASSOCIATION ', 'g')"
+    text = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    text = f"regexp_replace(regexp_replace({text}, '^THE ', ''), ' THE$', '')"
+    words = f"list_transform(string_split({text}, ' '), lambda w: coalesce({as_map(ABBREVIATIONS)}[w], w))"
+    return f"array_to_string(list_filter({words}, lambda w: w NOT IN ({quoted(DROPPED_TOKENS)})), ' ')"
+
+
+def _sig(norm: str) -> str:
+    kept = f"list_filter(string_split({norm}, ' '), lambda w: length(w) >= 3 AND w NOT IN ({quoted(GENERIC_TOKENS)}))"
+    return f"list_sort(list_distinct({kept}))"
+
+
+CANDIDATES = f"""{NAMED}, candidates AS (
+SELECT norm, arg_min(group_key, place) AS group_key, arg_min(source, place) AS source FROM (
+  SELECT {_norm('group_name')} AS norm, group_key, 'holding_company' AS source,
+    (0, -total_k::DOUBLE, 0, group_key) AS place FROM groups UNION ALL
+  SELECT {_norm('name')}, group_key, 'charter', (1, 0.0::DOUBLE, cert, group_key) FROM charters)
+WHERE length(norm) > 2 GROUP BY norm)"""
+
+_DECLARED = (
+    "CASE "
+    + " ".join(f"WHEN regexp_matches(norm, '^{key}( |$)') THEN 'known_non_bank'" for key in NON_BANKS)
+    + f" WHEN upper(company) IN ({quoted(INACTIVE_CHARTERS)}) THEN 'inactive_charter'"
+    " WHEN upper(company) LIKE '%CREDIT UNION%' OR upper(company) LIKE '% FCU%' THEN 'ncua_credit_union' END"
+)
+
+# Longest common subsequence: one row of the usual table per letter of the left text.
+_LCS = """list_max(list_reduce(
+  list_transform(string_split(ra, ''), lambda ch: [ord(ch)]),
+  lambda acc, x: list_transform(range(1, length(rb) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda i: greatest(acc[i], CASE WHEN ord(rb[i]) = x[1] THEN 1 + CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END ELSE 0 END)))),
+  list_transform(range(1, length(rb) + 1), lambda j: 0)))"""
+
+MATCHES = f"""{CANDIDATES}, left_side AS (
+SELECT company, n_complaints, norm, {_sig('norm')} AS sig, {_DECLARED} AS declared
+FROM (SELECT *, {_norm('company')} AS norm FROM companies)), right_side AS (
+SELECT norm AS cand, group_key, {_sig('norm')} AS cand_sig FROM candidates), decided AS (
+SELECT l.*, CASE WHEN declared IS NOT NULL THEN declared WHEN upper(company) = 'CITIBANK, N.A.' AND o.group_key IS NOT NULL
+    THEN 'manual_override' WHEN r.group_key IS NOT NULL THEN 'exact_normalised' END AS method,
+  CASE WHEN declared IS NOT NULL THEN NULL WHEN upper(company) = 'CITIBANK, N.A.' AND o.group_key IS NOT NULL
+    THEN o.group_key ELSE r.group_key END AS group_key
+FROM left_side l LEFT JOIN right_side r ON r.cand = l.norm
+LEFT JOIN (SELECT group_key FROM charters WHERE name = 'Citibank, National Association') o ON true), frequency AS (
+SELECT DISTINCT unnest(cand_sig) AS token FROM right_side), pairs AS (
+SELECT d.company, d.norm, d.sig, r.cand, r.cand_sig, r.group_key, len(list_intersect(d.sig, r.cand_sig)) AS shared,
+  len(list_distinct(list_concat(d.sig, r.cand_sig))) AS either
+FROM decided d JOIN right_side r ON list_has_any(d.sig, r.cand_sig) WHERE d.method IS NULL), near AS (
+SELECT *, shared::DOUBLE / either AS jaccard FROM pairs p WHERE 2 * shared >= either), name_parts AS (
+SELECT *, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS common,
+  array_to_string(list_sort(list_distinct(list_filter(a, lambda w: NOT list_contains(b, w)))), ' ') AS ra,
+  array_to_string(list_sort(list_distinct(list_filter(b, lambda w: NOT list_contains(a, w)))), ' ') AS rb
+FROM (SELECT *, string_split(norm, ' ') AS a, string_split(cand, ' ') AS b FROM near)), name_lengths AS (
+SELECT *, length(common) AS lc, CASE WHEN common = '' THEN 0 ELSE 1 END AS gap, length(ra) AS la, length(rb) AS lb,
+  CASE WHEN ra <> '' AND rb <> '' THEN {_LCS} ELSE 0 END AS lcs FROM name_parts), name_scores AS (
+SELECT *, CASE WHEN lc > 0 AND (la = 0 OR lb = 0) THEN 100.0::DOUBLE ELSE greatest(
+  100.0::DOUBLE - 100.0::DOUBLE * (la + lb - 2 * lcs) / (2 * lc + 2 * gap + la + lb),
+  CASE WHEN lc > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + la) / (2 * lc + gap + la) ELSE 0 END,
+  CASE WHEN lc > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + lb) / (2 * lc + gap + lb) ELSE 0 END) END AS score
+FROM name_lengths), best_pairs AS (
+SELECT * FROM name_scores QUALIFY row_number() OVER (PARTITION BY company ORDER BY jaccard DESC, score DESC, cand) = 1), verdicts AS (
+SELECT d.company, d.n_complaints, CASE WHEN d.method IS NOT NULL THEN d.method
+    WHEN b.company IS NULL AND EXISTS (SELECT 1 FROM frequency f WHERE list_contains(d.sig, f.token))
+      THEN 'no_match'
+    WHEN b.company IS NULL THEN 'no_shared_token'
+    WHEN len(d.sig) >= 2 AND b.sig = b.cand_sig THEN 'token_set_identical'
+    WHEN score >= 92 AND shared >= 2 AND jaccard >= 0.6 THEN 'fuzzy_auto'
+    WHEN score >= 92 THEN 'rejected_weak_token_overlap' WHEN score >= 75 THEN 'below_threshold'
+    ELSE 'no_match' END AS method, d.group_key AS known, b.group_key AS found, b.score, d.method AS early
+FROM decided d LEFT JOIN best_pairs b ON b.company = d.company), matches AS (
+SELECT company, n_complaints, method IN ('manual_override', 'exact_normalised', 'token_set_identical', 'fuzzy_auto') AS matched,
+  v.group_key, group_name AS fdic_name, round((total_k::DOUBLE / 1e6)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS total_assets_b, n_charters,
+  CASE WHEN early IN ('manual_override', 'exact_normalised') THEN 100.0::DOUBLE ELSE round((score)::DOUBLE::DECIMAL(38, 12), 1)::DOUBLE END AS match_score,
+  method AS match_method
+FROM (SELECT *, CASE WHEN early IS NOT NULL THEN known WHEN method IN ('token_set_identical', 'fuzzy_auto') THEN found END
+  AS group_key FROM verdicts) v LEFT JOIN groups USING (group_key))"""
+
+ENRICHED = f"""{CASES}, {MATCHES}, enriched AS (
 SELECT company, total_complaints, complaints_in_trend_window, avg_days_to_company,
   nullif(r, 0) AS resolved_complaints, CASE WHEN r > 0 THEN m END AS monetary_relief_n,
   CASE WHEN r > 0 THEN u END AS untimely_n, {pct('m', 'r', 3)} AS monetary_relief_rate,
-  {pct('u', 'r', 3)} AS untimely_rate, group_key IS NOT NULL AS matched, group_name AS fdic_name, group_key,
-  total_assets_b, n_charters, CASE WHEN group_key IS NOT NULL THEN 100.0::DOUBLE END AS match_score,
-  CASE WHEN group_key IS NULL THEN 'no_match' ELSE 'exact_normalised' END AS match_method,
-  {div('total_complaints', 'total_assets_b', 3)} AS complaints_per_1b_assets
+  {pct('u', 'r', 3)} AS untimely_rate, coalesce(matched, false) AS matched, fdic_name, group_key,
+  total_assets_b, n_charters, match_score, match_method,
+  CASE WHEN matched THEN {div('total_complaints', 'total_assets_b', 3)} END AS complaints_per_1b_assets
 FROM (SELECT company, count(*) AS total_complaints, count(*) FILTER (in_window) AS complaints_in_trend_window,
   {rnd('avg(days)', 3)} AS avg_days_to_company, count(*) FILTER (resolved) AS r,
   count(*) FILTER (resolved AND monetary) AS m, count(*) FILTER (resolved AND untimely) AS u
-  FROM cases GROUP BY company)
-LEFT JOIN (SELECT name AS company, group_key, group_name, total_assets_b, n_charters
-  FROM inst JOIN (SELECT group_key, group_name AS gname, total_assets_b, n_charters FROM grp) USING (group_key)
-) USING (company))"""
-ENRICHED = ENRICHED.replace("SELECT name AS company, group_key, group_name,", "SELECT name AS company, group_key, gname AS group_name,")
+  FROM cases GROUP BY company) LEFT JOIN matches USING (company))"""
 
 RATES = f"""{ENRICHED}, base AS (
 SELECT company, count(*) AS total_complaints, count(DISTINCT product) AS products_touched,
@@ -230,7 +323,9 @@ SELECT company, total_complaints, resolved_complaints, products_touched, states_
   disputes_facts_rate, avg_days_to_company, median_days_to_company, p90_days_to_company, pct_servicemember,
   pct_older_american, matched AS is_fdic_matched, fdic_name, total_assets_b, n_charters, complaints_per_1b_assets,
   conduct_risk_score, exposure_risk_score, risk_tier,
-  CASE WHEN matched THEN 'FDIC-insured depository' ELSE 'No confident FDIC match' END AS fdic_status,
+  CASE WHEN matched THEN 'FDIC-insured depository' ELSE coalesce(map(['known_non_bank', 'ncua_credit_union', 'inactive_charter'],
+    ['Non-bank: no FDIC charter', 'Credit union: NCUA-insured, not in FDIC data', 'Charter no longer active (merged/acquired)'])[match_method],
+    'No confident FDIC match') END AS fdic_status,
   rank() OVER (ORDER BY total_complaints DESC) AS overall_volume_rank,
   CASE WHEN {_COHORT} THEN rank() OVER (PARTITION BY {_COHORT} ORDER BY total_complaints DESC) END AS volume_rank,
   CASE WHEN {_COHORT} THEN rank() OVER (PARTITION BY {_COHORT} ORDER BY complaints_per_1b_assets DESC) END
@@ -277,102 +372,6 @@ SELECT round((chi)::DOUBLE::DECIMAL(38, 12), 6)::DOUBLE AS statistic, dof, n, ro
     WHEN sqrt(chi / n) < 0.30 THEN 'moderate' ELSE 'strong' END AS strength FROM one"""
 
 
-# Names on both sides of the match. The trade words and numbers hold no blanks.
-NAMED = f"""named AS (
-SELECT s_suppkey, p_name, n_name, s_acctbal, 'K' || lpad(s_suppkey::VARCHAR, 6, '0') AS k,
-  split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2
-FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey), companies AS (
-SELECT {COMPANY_VARIANTS} AS company, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n_complaints
-FROM named WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)), charters AS (
-SELECT CASE WHEN s_suppkey = 8 THEN 'Citibank, National Association'
-  ELSE p_name || ' ' || n_name || ' ' || k || ' Bank, National Association' END AS name, s_suppkey AS cert,
-  (s_acctbal * 1000)::DECIMAL(20,2) AS asset,
-  CASE WHEN s_suppkey % 7 = 0 THEN 'CERT:' || s_suppkey ELSE n_name END AS group_key, s_suppkey % 7 <> 0 AS has_parent
-FROM named WHERE s_acctbal > 0), groups AS (
-SELECT group_key, CASE WHEN any_value(has_parent) THEN group_key ELSE any_value(name) END AS group_name,
-  sum(asset)::DECIMAL(20,2) AS total_k, count(*) AS n_charters FROM charters GROUP BY group_key)"""
-
-
-def _norm(name: str) -> str:
-    text = f"replace(upper({name}), '&', ' AND ')"
-    text = f"regexp_replace({text}, '\\bN\\.\\s*A\\.', ' NATIONAL ASSOCIATION ', 'g')"
-    text = f"trim(regexp_replace({text}, '[^A-Z0-9]+', ' ', 'g'))"
-    text = f"regexp_replace({text}, '\\bN A\\b', ' NATIONAL ASSOCIATION ', 'g')"
-    text = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
-    text = f"regexp_replace(regexp_replace({text}, '^THE ', ''), ' THE$', '')"
-    words = f"list_transform(string_split({text}, ' '), lambda w: coalesce({as_map(ABBREVIATIONS)}[w], w))"
-    return f"array_to_string(list_filter({words}, lambda w: w NOT IN ({quoted(DROPPED_TOKENS)})), ' ')"
-
-
-def _sig(norm: str) -> str:
-    kept = f"list_filter(string_split({norm}, ' '), lambda w: length(w) >= 3 AND w NOT IN ({quoted(GENERIC_TOKENS)}))"
-    return f"list_sort(list_distinct({kept}))"
-
-
-CANDIDATES = f"""{NAMED}, candidates AS (
-SELECT norm, arg_min(group_key, place) AS group_key, arg_min(source, place) AS source FROM (
-  SELECT {_norm('group_name')} AS norm, group_key, 'holding_company' AS source,
-    (0, -total_k::DOUBLE, 0, group_key) AS place FROM groups UNION ALL
-  SELECT {_norm('name')}, group_key, 'charter', (1, 0.0::DOUBLE, cert, group_key) FROM charters)
-WHERE length(norm) > 2 GROUP BY norm)"""
-
-_DECLARED = (
-    "CASE "
-    + " ".join(f"WHEN regexp_matches(norm, '^{key}( |$)') THEN 'known_non_bank'" for key in NON_BANKS)
-    + f" WHEN upper(company) IN ({quoted(INACTIVE_CHARTERS)}) THEN 'inactive_charter'"
-    " WHEN upper(company) LIKE '%CREDIT UNION%' OR upper(company) LIKE '% FCU%' THEN 'ncua_credit_union' END"
-)
-
-# Longest common subsequence: one row of the usual table per letter of the left text.
-_LCS = """list_max(list_reduce(
-  list_transform(string_split(ra, ''), lambda ch: [ord(ch)]),
-  lambda acc, x: list_transform(range(1, length(rb) + 1), lambda j: list_max(list_transform(range(1, j + 1),
-    lambda i: greatest(acc[i], CASE WHEN ord(rb[i]) = x[1] THEN 1 + CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END ELSE 0 END)))),
-  list_transform(range(1, length(rb) + 1), lambda j: 0)))"""
-
-MATCHES = f"""{CANDIDATES}, left_side AS (
-SELECT company, n_complaints, norm, {_sig('norm')} AS sig, {_DECLARED} AS declared
-FROM (SELECT *, {_norm('company')} AS norm FROM companies)), right_side AS (
-SELECT norm AS cand, group_key, {_sig('norm')} AS cand_sig FROM candidates), decided AS (
-SELECT l.*, CASE WHEN declared IS NOT NULL THEN declared WHEN upper(company) = 'CITIBANK, N.A.' AND o.group_key IS NOT NULL
-    THEN 'manual_override' WHEN r.group_key IS NOT NULL THEN 'exact_normalised' END AS method,
-  CASE WHEN declared IS NOT NULL THEN NULL WHEN upper(company) = 'CITIBANK, N.A.' AND o.group_key IS NOT NULL
-    THEN o.group_key ELSE r.group_key END AS group_key
-FROM left_side l LEFT JOIN right_side r ON r.cand = l.norm
-LEFT JOIN (SELECT group_key FROM charters WHERE name = 'Citibank, National Association') o ON true), frequency AS (
-SELECT DISTINCT unnest(cand_sig) AS token FROM right_side), pairs AS (
-SELECT d.company, d.norm, d.sig, r.cand, r.cand_sig, r.group_key, len(list_intersect(d.sig, r.cand_sig)) AS shared,
-  len(list_distinct(list_concat(d.sig, r.cand_sig))) AS either
-FROM decided d JOIN right_side r ON list_has_any(d.sig, r.cand_sig) WHERE d.method IS NULL), near AS (
-SELECT *, shared::DOUBLE / either AS jaccard FROM pairs p WHERE 2 * shared >= either), parts AS (
-SELECT *, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS common,
-  array_to_string(list_sort(list_distinct(list_filter(a, lambda w: NOT list_contains(b, w)))), ' ') AS ra,
-  array_to_string(list_sort(list_distinct(list_filter(b, lambda w: NOT list_contains(a, w)))), ' ') AS rb
-FROM (SELECT *, string_split(norm, ' ') AS a, string_split(cand, ' ') AS b FROM near)), lengths AS (
-SELECT *, length(common) AS lc, CASE WHEN common = '' THEN 0 ELSE 1 END AS gap, length(ra) AS la, length(rb) AS lb,
-  CASE WHEN ra <> '' AND rb <> '' THEN {_LCS} ELSE 0 END AS lcs FROM parts), scored AS (
-SELECT *, CASE WHEN lc > 0 AND (la = 0 OR lb = 0) THEN 100.0::DOUBLE ELSE greatest(
-  100.0::DOUBLE - 100.0::DOUBLE * (la + lb - 2 * lcs) / (2 * lc + 2 * gap + la + lb),
-  CASE WHEN lc > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + la) / (2 * lc + gap + la) ELSE 0 END,
-  CASE WHEN lc > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + lb) / (2 * lc + gap + lb) ELSE 0 END) END AS score
-FROM lengths), best AS (
-SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY company ORDER BY jaccard DESC, score DESC, cand) = 1), verdicts AS (
-SELECT d.company, d.n_complaints, CASE WHEN d.method IS NOT NULL THEN d.method
-    WHEN b.company IS NULL AND EXISTS (SELECT 1 FROM frequency f WHERE list_contains(d.sig, f.token))
-      THEN 'no_match'
-    WHEN b.company IS NULL THEN 'no_shared_token'
-    WHEN len(d.sig) >= 2 AND b.sig = b.cand_sig THEN 'token_set_identical'
-    WHEN score >= 92 AND shared >= 2 AND jaccard >= 0.6 THEN 'fuzzy_auto'
-    WHEN score >= 92 THEN 'rejected_weak_token_overlap' WHEN score >= 75 THEN 'below_threshold'
-    ELSE 'no_match' END AS method, d.group_key AS known, b.group_key AS found, b.score, d.method AS early
-FROM decided d LEFT JOIN best b ON b.company = d.company), matches AS (
-SELECT company, n_complaints, method IN ('manual_override', 'exact_normalised', 'token_set_identical', 'fuzzy_auto') AS matched,
-  v.group_key, group_name AS fdic_name, round((total_k::DOUBLE / 1e6)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS total_assets_b, n_charters,
-  CASE WHEN early IN ('manual_override', 'exact_normalised') THEN 100.0::DOUBLE ELSE round((score)::DOUBLE::DECIMAL(38, 12), 1)::DOUBLE END AS match_score,
-  method AS match_method
-FROM (SELECT *, CASE WHEN early IS NOT NULL THEN known WHEN method IN ('token_set_identical', 'fuzzy_auto') THEN found END
-  AS group_key FROM verdicts) v LEFT JOIN groups USING (group_key))"""
-
 _PAIR_MEASURES = [
     "total_complaints", "total_assets_b", "complaints_per_1b_assets", "monetary_relief_rate", "untimely_rate",
     "avg_days_to_company",

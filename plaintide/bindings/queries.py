@@ -52,7 +52,7 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "company", "in_trend_window", "days_to_company", "is_resolved",
         "got_monetary_relief", "is_untimely",
     )
-    return enrichment.enrich(facts, _institutions(spark, sf_dir), fuzzy=False)
+    return enrichment.enrich(facts, t.named_institutions(spark, sf_dir))
 
 
 _BASE_COLUMNS = [

@@ -52,9 +52,11 @@ def _joined(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
     """Lines with the needed sides."""
     df = table(spark, sf_dir, "lineitem")
     for name, (key, foreign, via) in _JOINS.items():
-        if name in needed or any(name in _JOINS[other][2] for other in needed):
+        if name in needed or any(name in _JOINS[other][2] for other in needed & set(_JOINS)):
             side = table(spark, sf_dir, name)
             df = df.join(side, F.col(foreign) == F.col(key))
+    if "company" in needed:
+        df = df.join(company_names(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
     return df
 
 
@@ -110,7 +112,7 @@ _FACTS = {
     "sub_product": ("customer", lambda: F.col("c_mktsegment")),
     "issue": ("part", lambda: F.col("p_brand")),
     "sub_issue": ("", lambda: F.col("l_linestatus")),
-    "company": ("supplier", lambda: F.col("s_name")),
+    "company": ("company", lambda: F.col("company_name")),
     "state": ("nation", lambda: F.col("n_name")),
     "state_type": (
         "nation",
@@ -142,7 +144,7 @@ def facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     chosen = columns or tuple(_FACTS)
     needed = {_FACTS[c][0] for c in chosen} - {""}
     df = _joined(spark, sf_dir, needed)
-    present = {"", *needed, *(via for name in needed for via in _JOINS[name][2])}
+    present = {"", *needed, *(via for name in needed & set(_JOINS) for via in _JOINS[name][2])}
     shared = {name: F.expr(sql) for name, (source, sql) in _SHARED.items() if source in present}
     return df.withColumns(shared).select(*[_FACTS[c][1]().alias(c) for c in chosen])
 
@@ -249,6 +251,11 @@ COMPANY_VARIANTS = """CASE s_suppkey % 10
     ELSE concat(w1, ' & ', w2, ' ', n_name, ' ', k, ' Bk Natl Assn') END"""
 
 
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name under which the facts of each supplier are filed."""
+    return _named(spark, sf_dir).select("s_suppkey", F.expr(COMPANY_VARIANTS).alias("company_name"))
+
+
 def named_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies named after the institutions with the variations a match must handle."""
     counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n_complaints"))
