@@ -482,8 +482,9 @@ WHERE date_received BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND product
     "institution_scan": """SELECT s_name AS name, s_suppkey::VARCHAR AS cert, n_name AS city, 'S' || s_nationkey AS stalp,
   CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE n_name END AS namehcr
 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0""",
-    "ingest_dedupe": """SELECT DISTINCT l_orderkey AS complaint_id FROM lineitem WHERE l_quantity > 1
-AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')""",
+    "ingest_dedupe": """SELECT l_orderkey AS complaint_id, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
+WHERE l_quantity > 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) = 1""",
     "ingest_incremental": """SELECT o_orderkey::VARCHAR AS complaint_id, strftime(o_orderdate, '%Y-%m-%d') AS date_received,
   o_orderpriority AS submitted_via FROM orders""",
     "narrative_split": """SELECT doc_id AS complaint_id, md5(t) AS text_md5, length(t) AS chars
@@ -773,7 +774,20 @@ SELECT company, total_complaints, monetary_relief_rate, untimely_rate, {rnd('mr'
     "integrity_checks": f"""WITH {CASES} SELECT 'row_count' AS check_name, count(*) = (SELECT count(*) FROM lineitem) AS passed FROM cases
 UNION ALL SELECT 'complaint_id_unique', count(*) = count(DISTINCT complaint_id) FROM cases
 UNION ALL SELECT 'zip3_keeps_leading_zeros', count(*) > 0 FROM cases WHERE zip_code LIKE '0%'
-UNION ALL SELECT 'dates_are_dates', true UNION ALL SELECT 'flags_are_booleans', true
+UNION ALL SELECT 'dates_are_dates', bool_and(typeof(date_received) = 'DATE') FROM cases
+UNION ALL SELECT 'flags_are_booleans', bool_and(typeof(monetary) = 'BOOLEAN') FROM cases
 UNION ALL SELECT 'dates_inside_window', count(*) = 0 FROM cases WHERE date_received < DATE '1995-01-01' OR date_received > DATE '{TREND_END}'
-UNION ALL SELECT 'every_company_known', true""",
+UNION ALL SELECT 'every_company_known', count(*) = 0 FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""",
+    "cross_filter_facts": f"""WITH {CASES} SELECT complaint_id, product_short, state, year_month, company FROM cases
+WHERE product IN ('ECONOMY', 'PROMO') AND state IN (SELECT n_name FROM nation WHERE n_nationkey < 5)
+  AND year_month BETWEEN '1996-02' AND '1997-05'""",
+    "cross_filter_company": f"""WITH {CASES} SELECT complaint_id, year_month, company FROM cases WHERE company = 'CITIBANK, N.A.'""",
+    "sample_extract": """SELECT o_orderkey::VARCHAR AS complaint_id, o_orderpriority, o_orderstatus FROM orders
+ORDER BY o_orderkey LIMIT 1000""",
+    "replace_table": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus",
+    "named_views": f"""WITH {CASES} SELECT (SELECT count(DISTINCT year_month) FROM cases WHERE in_window) AS months,
+  (SELECT count(DISTINCT state) FROM cases WHERE in_window AND state_type = 'state') AS states""",
+    "query_runner": f"""WITH {CASES} SELECT 'national_baseline' AS name, count(DISTINCT product) AS row_count, NULL::VARCHAR AS failure
+FROM cases WHERE in_window AND resolved UNION ALL SELECT 'monthly_overall', count(DISTINCT year_month), NULL FROM cases WHERE in_window
+UNION ALL SELECT 'failing', 0, 'no such report'""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,7 @@ from plaintide.plans import (
 from plaintide.schemas import all_strings
 from plaintide.session import settle, shared_folder
 from plaintide.sources import bulk, pages
+from plaintide.sources import tables as files
 from plaintide.sources.tables import typed, write_csv
 from plaintide.streaming import ingest
 
@@ -63,13 +66,16 @@ _BASE_COLUMNS = [
 ]
 
 
-def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = enrichment.company_base(t.facts(spark, sf_dir, *_BASE_COLUMNS))
-    return enrichment.company_rates(base, _enriched(spark, sf_dir))
+def _rates(spark: SparkSession, sf_dir: str, percentiles: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Company rates and the enriched table, both from the same cells."""
+    facts = t.facts(spark, sf_dir, *_BASE_COLUMNS)
+    cells = enrichment.company_cells(facts)
+    enriched = settle(enrichment.enrich_totals(enrichment.totals_of(cells), t.named_institutions(spark, sf_dir)), "enriched")
+    return enrichment.company_rates(enrichment.company_base(facts, cells, percentiles), enriched), enriched
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.risk_profile(_rates(spark, sf_dir), floor=t.VOLUME_FLOOR)
+    return scoring.risk_profile(_rates(spark, sf_dir)[0], floor=t.VOLUME_FLOOR)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +96,7 @@ def scan_strings(spark, sf_dir):
 
 @query
 def bulk_scope_filter(spark, sf_dir):
-    """Bulk export with its own headers, narrowed to a date range and two products."""
+    """Bulk export with its own headers, landed as files, narrowed to a date range and two products."""
     export = (
         t.table(spark, sf_dir, "lineitem")
         .join(t.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -105,7 +111,9 @@ def bulk_scope_filter(spark, sf_dir):
             F.col("p_name").alias("Consumer complaint narrative"),
         )
     )
-    kept = bulk.bulk_extract(export, "1996-01-01", "1997-12-31", ["ECONOMY", "PROMO"])
+    path = shared_folder(spark, "bulk")
+    write_csv(export, path)
+    kept = bulk.bulk_extract(bulk.scan_bulk(spark, path), "1996-01-01", "1997-12-31", ["ECONOMY", "PROMO"])
     return kept.select(
         "complaint_id", "date_received", "product", "issue", "timely", "submitted_via", "state",
         "complaint_what_happened",
@@ -153,13 +161,14 @@ def institution_scan(spark, sf_dir):
 
 @query
 def ingest_dedupe(spark, sf_dir):
-    """Order ids of all lines that no earlier run (orders before 1998) has stored."""
+    """The first line of every order that no earlier run (orders before 1998) has stored."""
     orders = t.table(spark, sf_dir, "orders")
     stored = orders.where("o_orderdate < '1998-01-01'").select(F.col("o_orderkey").alias("complaint_id"))
     new = t.table(spark, sf_dir, "lineitem").select(
-        F.expr("CASE WHEN l_quantity > 1 THEN l_orderkey END").alias("complaint_id")
-    )
-    return pages.first_seen(new, "complaint_id", stored)
+        F.expr("CASE WHEN l_quantity > 1 THEN l_orderkey END").alias("complaint_id"),
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+    )
+    return pages.first_seen(new, "complaint_id", ["l_linenumber"], stored)
 
 
 @query
@@ -661,7 +670,7 @@ def sensitivity_summary(spark, sf_dir):
 
 @query
 def score_redundancy(spark, sf_dir):
-    scored = _rates(spark, sf_dir).where(F.col("total_complaints") >= t.VOLUME_FLOOR)
+    scored = _rates(spark, sf_dir)[0].where(F.col("total_complaints") >= t.VOLUME_FLOOR)
     return statistics.score_redundancy(scored, "pct_no_relief", "explanation_only_rate")
 
 
@@ -737,7 +746,7 @@ def company_outcomes(spark, sf_dir):
 
 @query
 def company_rates(spark, sf_dir):
-    return _rates(spark, sf_dir).select(
+    return _rates(spark, sf_dir)[0].select(
         "company", "matched", "monetary_relief_rate", "any_relief_rate", "pct_no_relief",
         "explanation_only_rate", "untimely_rate", "disputes_facts_rate", "pct_servicemember",
         "pct_older_american", "complaints_per_1b_assets",
@@ -776,7 +785,7 @@ def tier_distribution(spark, sf_dir):
 
 @query
 def component_spread(spark, sf_dir):
-    return scoring.component_spread(_rates(spark, sf_dir), t.VOLUME_FLOOR)
+    return scoring.component_spread(_rates(spark, sf_dir)[0], t.VOLUME_FLOOR)
 
 
 # --- reports and views ------------------------------------------------------------------------
@@ -851,9 +860,8 @@ def v_company_summary(spark, sf_dir):
 
 @query
 def v_complaints_enriched(spark, sf_dir):
-    enriched = settle(_enriched(spark, sf_dir))
-    base = enrichment.company_base(t.facts(spark, sf_dir, *_BASE_COLUMNS))
-    profile = scoring.risk_profile(enrichment.company_rates(base, enriched), t.VOLUME_FLOOR)
+    rates, enriched = _rates(spark, sf_dir, percentiles=False)
+    profile = settle(scoring.risk_profile(rates, t.VOLUME_FLOOR), "profile")
     return views.complaints_enriched(t.facts(spark, sf_dir), enriched, profile)
 
 
@@ -885,7 +893,74 @@ def resolution_quadrant(spark, sf_dir):
 
 @query
 def integrity_checks(spark, sf_dir):
+    """Facts against the register of active companies, which lacks some: that check fails."""
     facts = t.facts(spark, sf_dir, "complaint_id", "company", "date_received", "zip3", "got_monetary_relief")
-    companies = enrichment.company_counts(t.facts(spark, sf_dir, "company"))
-    rows = t.table(spark, sf_dir, "lineitem").count()
-    return checks.integrity_checks(facts, companies, rows, "1995-01-01", t.TREND_END)
+    active = t.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    companies = t.company_names(spark, sf_dir).join(active, "s_suppkey").select(F.col("company_name").alias("company"))
+    expected = t.table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n")).scalar()
+    return checks.integrity_checks(facts, companies, expected, "1995-01-01", t.TREND_END)
+
+
+@query
+def cross_filter_facts(spark, sf_dir):
+    """Facts narrowed by product, state and months at once."""
+    facts = t.facts(spark, sf_dir, "complaint_id", "product_short", "state", "year_month", "company")
+    states = [r.n_name for r in t.table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_name").collect()]
+    return views.cross_filter(facts, products=["ECONOMY", "PROMO"], states=states, months=("1996-02", "1997-05"))
+
+
+@query
+def cross_filter_company(spark, sf_dir):
+    """Facts of one company."""
+    facts = t.facts(spark, sf_dir, "complaint_id", "year_month", "company")
+    return views.cross_filter(facts, company="CITIBANK, N.A.")
+
+
+# --- sinks and runner ------------------------------------------------------------------------
+
+
+@query
+def sample_extract(spark, sf_dir):
+    """The first thousand orders by key, written as a file and read back."""
+    path = shared_folder(spark, "sample")
+    orders = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("complaint_id"), "o_orderpriority", "o_orderstatus")
+    files.sample_extract(orders, path)
+    return bulk.scan_strings(spark, path, all_strings(orders.columns))
+
+
+@query
+def replace_table(spark, sf_dir):
+    """A table that is written twice holds what was written last."""
+    name = f"replaced_{uuid.uuid4().hex}"
+    orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    files.replace_table(orders, name)
+    files.replace_table(orders.where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n")), name)
+    return spark.table(name)
+
+
+@query
+def named_views(spark, sf_dir):
+    """Reports registered as views and combined in SQL."""
+    files.register_views({"trend": _monthly(spark, sf_dir), "states": views.state_view(t.facts(spark, sf_dir, *_STATE_COLUMNS))})
+    return spark.sql("SELECT (SELECT count(*) FROM trend) AS months, (SELECT count(*) FROM states) AS states")
+
+
+@query
+def query_runner(spark, sf_dir):
+    """Named queries exported one after the other; a failing one is reported and stops nothing."""
+    target = shared_folder(spark, "runner")
+
+    def failing(_spark, _source):
+        raise ValueError("no such report")
+
+    chosen = {name: QUERIES[name] for name in ("national_baseline", "monthly_overall")} | {"failing": failing}
+    failures = files.run_named(spark, chosen, sf_dir, target)
+    rows = [
+        spark.read.option("header", True).csv(f"{target}/{name}").agg(F.count("*").alias("row_count")).select(
+            F.lit(name).alias("name"), "row_count", F.lit(None).cast("string").alias("failure")
+        )
+        for name in chosen
+        if name not in failures
+    ]
+    failed = spark.createDataFrame([(n, 0, f) for n, f in failures.items()], "name string, row_count bigint, failure string")
+    return functools.reduce(DataFrame.unionByName, rows, failed)

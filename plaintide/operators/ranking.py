@@ -175,6 +175,25 @@ def global_row_number(df: DataFrame, order: list[Column], total: str | None = No
     return numbered.drop("_part", "_local", "_running", "_n_base", "_t_base")
 
 
+def quantiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
+    """One row: exact interpolated quantiles, read off the two neighbours of each.
+
+    ``points`` maps names to shares. No task holds more than a range of the distinct values.
+    """
+    at = value_positions(df.select(F.col(value).cast("double").alias(value)), value)
+
+    def neighbour(place: Column) -> Column:
+        holds = (F.col("rows_before") <= place) & (place < F.col("rows_before") + F.col("ties"))
+        return F.max(F.when(holds, F.col(value)))
+
+    columns = []
+    for name, share in points.items():
+        place = F.lit(share) * (F.col("rows_total") - 1)
+        low, high = neighbour(F.floor(place)), neighbour(F.ceil(place))
+        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return at.agg(*columns)
+
+
 def ntile(tiles: int, row_number: Column, rows_total: Column) -> Column:
     """SQL NTILE from a row number: the first ``rows % tiles`` tiles get one row more."""
     size = F.floor(rows_total / tiles)

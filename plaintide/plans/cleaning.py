@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import dates, geography, names, outcomes, taxonomy
 from plaintide.functions.numbers import flag, rounded
+from plaintide.operators.ranking import quantiles
 from plaintide.schemas import CLEAN_COLUMNS, RAW_COLUMNS
+from plaintide.session import settle
 
 TREND_END = "2025-12-31"
 BUSINESS_KEY = [
@@ -94,11 +96,12 @@ def canonical_names(df: DataFrame) -> DataFrame:
 def canonicalise_companies(df: DataFrame) -> DataFrame:
     """Replace ``company`` by the canonical name of its key and keep text and key.
 
-    The name side has one row per distinct text. The planner broadcasts it while
-    it is small by measured size; otherwise the join shuffles and adaptive
-    execution splits the partition of a text that a large part of the rows hold.
+    The name side has one row per distinct text and is written first, so that the planner
+    knows its size: small, it is broadcast and the facts stay where they are; otherwise the
+    join shuffles and adaptive execution splits the partition of a frequent text.
     """
     known = _canonical(_spellings(df)).select("company", "company_raw", "company_key", "company_clean")
+    known = settle(known, "spellings")  # the planner broadcasts by its measured size
     joined = df.join(known, "company", "left")
     return joined.withColumn("company", F.col("company_clean")).drop("company_clean")
 
@@ -185,9 +188,10 @@ def clean(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
 
 
 def clean_metrics(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
-    """Counters of the cleaning stage before the dedupe, as (metric, value), in one pass."""
+    """Counters of the cleaning stage before the dedupe, as (metric, value)."""
     typed = fill_and_flag(classify_geography(repair_taxonomy(type_dates(raw))), trend_end)
     lag = F.col("days_to_company")
+    lags = settle(quantiles(typed, "days_to_company", {"median": 0.5, "p95": 0.95}), "lags")
     legacy_card = F.col("product_raw") == taxonomy.LEGACY_CARD_LABEL
     target = taxonomy.split_target(F.col("product_raw"), F.col("sub_product"))
     metrics = {
@@ -195,9 +199,9 @@ def clean_metrics(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
         "unparsed_date_received": F.count_if(F.col("date_received_ts").isNull()),
         "sent_before_received": F.count_if(lag < 0),
         "lag_over_365_days": F.count_if("dq_long_routing_lag"),
-        # The lag has three decimals: the percentile map is bounded by its range.
-        "median_lag": rounded(F.percentile(lag, F.lit(0.5)), 2),
-        "p95_lag": rounded(F.percentile(lag, F.lit(0.95)), 2),
+        # Read off the ranked lag values; a further scan of two columns.
+        "median_lag": F.max(rounded(lags.select("median").scalar(), 2)),
+        "p95_lag": F.max(rounded(lags.select("p95").scalar(), 2)),
         "legacy_card_rows": F.count_if(legacy_card),
         "legacy_card_to_credit": F.count_if(target == "Credit card"),
         "legacy_card_to_prepaid": F.count_if(target == "Prepaid card"),

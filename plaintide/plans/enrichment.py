@@ -38,19 +38,24 @@ def company_totals(facts: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("total_complaints"),
             *counted(complaints_in_trend_window="in_trend_window"),
-            rounded(F.avg("days_to_company"), 3).alias("avg_days_to_company"),
+            F.sum("days_to_company").alias("_lag"),
+            F.count("days_to_company").alias("_lags"),
             F.count_if(resolved).alias("_resolved"),
             F.count_if(resolved & F.col("got_monetary_relief")).alias("_relief"),
             F.count_if(resolved & F.col("is_untimely")).alias("_untimely"),
         )
     )
+    return _finished_totals(totals)
+
+
+def _finished_totals(totals: DataFrame) -> DataFrame:
     # A company without resolved complaints has unknown, not zero, outcomes.
     any_resolved = F.col("_resolved") > 0
     return totals.select(
         "company",
         "total_complaints",
         "complaints_in_trend_window",
-        "avg_days_to_company",
+        ratio(F.col("_lag"), F.col("_lags"), 3).alias("avg_days_to_company"),
         F.when(any_resolved, F.col("_resolved")).alias("resolved_complaints"),
         F.when(any_resolved, F.col("_relief")).alias("monetary_relief_n"),
         F.when(any_resolved, F.col("_untimely")).alias("untimely_n"),
@@ -59,6 +64,21 @@ def company_totals(facts: DataFrame) -> DataFrame:
     )
 
 
+def totals_of(cells: DataFrame) -> DataFrame:
+    """The totals, from the cells of ``company_cells``."""
+    inside = F.when(F.col("in_trend_window"), F.col("total_complaints"))
+    totals = cells.groupBy("company").agg(
+        F.sum("total_complaints").alias("total_complaints"),
+        F.coalesce(F.sum(inside), F.lit(0)).alias("complaints_in_trend_window"),
+        F.sum("all_lag_sum").alias("_lag"),
+        F.sum("all_lag_n").alias("_lags"),
+        F.sum("resolved_complaints").alias("_resolved"),
+        F.sum("monetary_relief_n").alias("_relief"),
+        F.sum("untimely_n").alias("_untimely"),
+    )
+    return _finished_totals(totals)
+
+
 def company_enriched(totals: DataFrame, matches: DataFrame) -> DataFrame:
     """Company totals with the institution group each company was matched to."""
     matched = F.coalesce("matched", F.lit(False))
@@ -83,7 +103,12 @@ def company_enriched(totals: DataFrame, matches: DataFrame) -> DataFrame:
 
 def enrich(facts: DataFrame, institutions: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Totals, match and enriched table with one scan of the facts."""
-    totals = settle(company_totals(facts))
+    return enrich_totals(company_totals(facts), institutions, fuzzy)
+
+
+def enrich_totals(totals: DataFrame, institutions: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Match and enriched table of company totals."""
+    totals = settle(totals, "totals")
     companies = totals.select("company", F.col("total_complaints").alias("n_complaints"))
     return company_enriched(totals, resolve(companies, institutions, fuzzy=fuzzy))
 
@@ -109,22 +134,16 @@ def _resolved_outcomes():
     ]
 
 
-def company_base(facts: DataFrame) -> DataFrame:
-    """Features and resolved outcomes of each company in the trend window.
+def company_cells(facts: DataFrame) -> DataFrame:
+    """Counts per (company, product, home state, inside the window), written once.
 
-    Counts and breadth come from (company, product, home state) cells, the lag
-    percentiles from (company, lag) cells of three narrow columns. Both sides end
-    up partitioned by company, so that their join moves no further rows.
+    Totals, features and outcomes of companies are sums of these cells, so that the facts
+    are read once for all of them.
     """
-    scope = facts.where("in_trend_window AND company IS NOT NULL")
-    outcome_names = ["resolved_complaints", *_OUTCOMES]
-    counts = [
-        "total_complaints", "servicemember_complaints", "older_american_complaints", "with_narrative",
-        *outcome_names, "lag_sum", "lag_n",
-    ]
     cells = (
-        scope.withColumn("home_state", F.when(F.col("state_type") == "state", F.col("state")))
-        .groupBy("company", "product", "home_state")
+        facts.where(F.col("company").isNotNull())
+        .withColumn("home_state", F.when(F.col("state_type") == "state", F.col("state")))
+        .groupBy("company", "product", "home_state", "in_trend_window")
         .agg(
             F.count("*").alias("total_complaints"),
             *counted(
@@ -134,24 +153,47 @@ def company_base(facts: DataFrame) -> DataFrame:
             ),
             *_resolved_outcomes(),
             *lag_parts(),
+            F.sum("days_to_company").alias("all_lag_sum"),
+            F.count("days_to_company").alias("all_lag_n"),
             F.min("date_received").alias("first_complaint"),
             F.max("date_received").alias("last_complaint"),
         )
     )
-    breadth = cells.groupBy("company").agg(
-        *summed(*counts),
-        F.countDistinct("product").alias("products_touched"),
-        F.countDistinct("home_state").alias("states_touched"),
-        F.min("first_complaint").alias("first_complaint"),
-        F.max("last_complaint").alias("last_complaint"),
+    return settle(cells, "company-cells")
+
+
+def company_base(facts: DataFrame, cells: DataFrame | None = None, percentiles: bool = True) -> DataFrame:
+    """Features and resolved outcomes of each company in the trend window.
+
+    Counts and breadth come from the cells, the lag percentiles from (company, lag) counts
+    of three narrow columns; without ``percentiles`` these stay null and the facts are
+    not read again.
+    """
+    cells = company_cells(facts) if cells is None else cells
+    outcome_names = ["resolved_complaints", *_OUTCOMES]
+    counts = [
+        "total_complaints", "servicemember_complaints", "older_american_complaints", "with_narrative",
+        *outcome_names, "lag_sum", "lag_n",
+    ]
+    breadth = (
+        cells.where("in_trend_window")
+        .groupBy("company")
+        .agg(
+            *summed(*counts),
+            F.countDistinct("product").alias("products_touched"),
+            F.countDistinct("home_state").alias("states_touched"),
+            F.min("first_complaint").alias("first_complaint"),
+            F.max("last_complaint").alias("last_complaint"),
+        )
+        .withColumn("avg_days_to_company", lag_mean(3))
     )
     points = {"median_days_to_company": 0.5, "p90_days_to_company": 0.9}
-    lags = group_percentiles(scope, ["company"], "days_to_company", points)
-    return (
-        breadth.withColumn("avg_days_to_company", lag_mean(3))
-        .join(lags, "company", "left")
-        .select(*FEATURES, *outcome_names)
-    )
+    if percentiles:
+        scope = facts.where("in_trend_window AND company IS NOT NULL")
+        breadth = breadth.join(group_percentiles(scope, ["company"], "days_to_company", points), "company", "left")
+    else:
+        breadth = breadth.withColumns({name: F.lit(None).cast("double") for name in points})
+    return breadth.select(*FEATURES, *outcome_names)
 
 
 def company_features(facts: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def with_p_value(test: DataFrame) -> DataFrame:
 def large_groups(df: DataFrame, key: str, floor: int) -> DataFrame:
     """Rows of groups with at least ``floor`` rows (semi-join on the qualifying keys)."""
     keys = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= floor).select(key)
-    return df.join(keys, key, "left_semi")
+    return df.join(settle(keys, "large-groups"), key, "left_semi")
 
 
 def large_rows(table: DataFrame, values: list[str], floor: int) -> DataFrame:

@@ -31,10 +31,20 @@ def scan_strings(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def scan_bulk(spark: SparkSession, path: str) -> DataFrame:
-    """Bulk export with its own header names, as text."""
+    """Bulk export with its own header names, as text.
+
+    Quoted line breaks keep a file in one piece, so a file is one task: an export is landed as
+    a folder of files, or passes through ``land_bulk`` once.
+    """
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def land_bulk(spark: SparkSession, path: str, target: str, pieces: int) -> DataFrame:
+    """Convert an export to Parquet in ``pieces`` files, once; later scans split and prune it."""
+    scan_bulk(spark, path).repartition(pieces).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
 def normalise_header(df: DataFrame) -> DataFrame:
     """Lower-case names with ``_`` for blanks and dashes, aliases renamed."""
     plain = [re.sub(r"[ -]", "_", name.strip().lower()) for name in df.columns]

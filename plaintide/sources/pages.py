@@ -14,9 +14,16 @@ def read_pages(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def search_hits(pages: DataFrame) -> DataFrame:
-    """Records of search pages, one row per hit."""
-    return pages.select(F.explode("hits.hits").alias("hit")).select("hit._source.*")
+def search_hits(pages: DataFrame, place: str | None = None) -> DataFrame:
+    """Records of search pages, one row per hit.
+
+    ``place`` names a column to add: the page file and the position of the hit in it, which
+    order the records as they were landed.
+    """
+    if place is None:
+        return pages.select(F.explode("hits.hits").alias("hit")).select("hit._source.*")
+    rows = pages.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("hits.hits").alias("_at", "hit"))
+    return rows.select("hit._source.*", F.struct("_file", "_at").alias(place))
 
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -30,9 +37,15 @@ def read_institution_pages(spark: SparkSession, path: str, active_only: bool = T
     return rows.where(F.col("ACTIVE") == "1") if active_only else rows
 
 
-def first_seen(new: DataFrame, key: str, history: DataFrame | None = None) -> DataFrame:
-    """New rows with a key, one per key, that earlier runs have not stored."""
-    fresh = new.where(F.col(key).isNotNull()).dropDuplicates([key])
+def first_seen(new: DataFrame, key: str, place: list[str], history: DataFrame | None = None) -> DataFrame:
+    """New records with a key, the first by ``place`` of each key, that earlier runs have not stored.
+
+    Records of equal place are told apart by their other columns, so the survivor is
+    the same in every run. Map tasks send one record per key.
+    """
+    others = [c for c in new.columns if c not in place]
+    first = F.min_by(F.struct(*new.columns), F.struct(*place, *others))
+    fresh = new.where(F.col(key).isNotNull()).groupBy(key).agg(first.alias("_first")).select("_first.*")
     return fresh if history is None else fresh.join(history.select(key), key, "left_anti")
 
 

@@ -43,12 +43,9 @@ class ScopeChanged(ValueError):
 def guard_scope(spark: SparkSession, root: str, scope: dict) -> None:
     """Store the scope on the first run; refuse to continue under another one."""
     path, wanted = f"{root}/scope", json.dumps(scope, sort_keys=True)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop_path):
-        spark.range(1).select(F.lit(wanted).alias("value")).coalesce(1).write.text(path)
-        return
-    stored = spark.read.text(path).first()["value"]
+    # A write that leaves an existing table alone needs no look at the file system first.
+    spark.range(1).select(F.lit(wanted).alias("value")).coalesce(1).write.mode("ignore").parquet(path)
+    stored = spark.read.schema("value string").parquet(path).first()["value"]
     if stored != wanted:
         raise ScopeChanged(f"stored scope {stored} differs from {wanted}; start afresh in a new folder")
 

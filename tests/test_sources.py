@@ -82,7 +82,25 @@ def test_replace_table(spark):
 def test_first_seen_skips_null_and_known_ids(spark):
     new = spark.createDataFrame([("1", "a"), ("1", "b"), (None, "c"), ("2", "d")], "id string, v string")
     old = spark.createDataFrame([("2",)], "id string")
-    assert [r["id"] for r in pages.first_seen(new, "id", old).collect()] == ["1"]
+    got = pages.first_seen(new, "id", ["v"], old).collect()
+    assert [tuple(r) for r in got] == [("1", "a")]
+
+
+def test_hits_keep_the_order_they_landed_in(spark, tmp_path):
+    """Of records that repeat an id the first in page order stays, whatever else they hold."""
+    for name, values in (("a", ["9", "1"]), ("b", ["0"])):
+        hits = [{"_source": {"complaint_id": "7", "issue": v}} for v in values]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"hits": {"hits": hits}}))
+    rows = pages.search_hits(pages.read_pages(spark, str(tmp_path), schemas.SEARCH_PAGE), place="place")
+    assert pages.first_seen(rows, "complaint_id", ["place"]).first()["issue"] == "9"
+
+
+def test_bulk_export_lands_in_pieces(spark, tmp_path):
+    source = str(tmp_path / "in")
+    text = spark.createDataFrame([(str(i), "two\nlines") for i in range(40)], "Complaint_ID string, Issue string")
+    tables.write_csv(text.coalesce(1), source)
+    landed = bulk.land_bulk(spark, source, str(tmp_path / "out"), 4)
+    assert landed.count() == 40 and landed.where("Issue = 'two\\nlines'").count() == 40
 
 
 def test_narratives_split_and_rejoin(spark):
