@@ -115,15 +115,46 @@ def candidates(n_words: int, low: np.ndarray, high: np.ndarray, window: int = WI
     return starts[latest[starts + window] < starts]
 
 
-def _judged(window: int, rounds: int):
-    """Texts with their unique symbols to (k1, k2, copies, z, starts of candidates)."""
+def _ends(starts: np.ndarray) -> np.ndarray:
+    """Sorted numbers as runs: first and last of each, one after the other."""
+    if not len(starts):
+        return np.empty(0, np.int32)
+    cut = np.flatnonzero(np.diff(starts) > 1)
+    first, last = starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))]
+    return np.stack((first, last), axis=1).astype(np.int32).ravel()
+
+
+def _starts(ends: np.ndarray) -> np.ndarray:
+    """The numbers of such runs."""
+    first, size = ends[::2].astype(np.int64), (ends[1::2] - ends[::2] + 1).astype(np.int64)
+    return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+def _answer(words: list[bytes], starts: np.ndarray, window: int, with_text: bool) -> tuple[int, str, str | None]:
+    """Number of removed words, hash and text of the kept ones."""
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + window, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+    return int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None
+
+
+def _judged(window: int, rounds: int, with_text: bool):
+    """Texts with their unique symbols to their candidates, or to the answer where there is none to settle.
+
+    A text that occurs twice loses all its words, and one without candidates none. The
+    compressed text goes on only with candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
+        none = np.empty(0, np.int64)
         for batch in batches:
-            words = [word_hashes(expand(z)) for z in batch.column("z").to_pylist()]
-            unique = batch.column("unique")
-            found: list[np.ndarray] = []
+            packed = batch.column("z").to_pylist()
+            words = [word_hashes(expand(z)) for z in packed]
+            unique, copies = batch.column("unique"), batch.column("copies").to_pylist()
+            ends, kept_z, answers = [], [], []
             for a, b in _parts(words):
                 name, text, start, low, high, inside = _parsed(words[a:b], rounds)
                 edges = np.searchsorted(text, np.arange(b - a + 1))
@@ -131,29 +162,40 @@ def _judged(window: int, rounds: int):
                     own = slice(edges[i - a], edges[i - a + 1])
                     once = unique[i].values
                     mark = np.isin(start[own], once.to_numpy()) & inside[own] if once is not None else np.zeros(own.stop - own.start, bool)
-                    found.append(candidates(len(words[i]), low[own][mark], high[own][mark], window).astype(np.int32))
-            counts = pa.array([len(w) for w in words], pa.int64())
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32), pa.array(np.concatenate([*found, np.empty(0, np.int32)]), pa.int32()))
+                    found = candidates(len(words[i]), low[own][mark], high[own][mark], window)
+                    ends.append(_ends(found))
+                    kept_z.append(packed[i] if len(found) else None)
+                    if copies[i] > 1 and len(words[i]) >= window:
+                        answers.append((len(words[i]), hashlib.sha256(b"").hexdigest(), "" if with_text else None))
+                    elif len(found):
+                        answers.append((None, None, None))
+                    else:
+                        answers.append(_answer(expand(packed[i]).split(), none, window, with_text))
+            removed, digests, texts = zip(*answers) if answers else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), batch.column("copies"), counts, batch.column("z"), lists],
-                names=["k1", "k2", "copies", "n_words", "z", "starts"],
-            )
+                [
+                    batch.column("k1"), batch.column("k2"), batch.column("copies"), pa.array([len(w) for w in words], pa.int64()),
+                    pa.array(kept_z, pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array(removed, pa.int64()),
+                    pa.array(digests, pa.string()), pa.array(texts, pa.string()),
+                ],
+                names=["k1", "k2", "copies", "n_words", "z", "ends", "n_removed", "kept_sha256", "kept_text"],
+            )
 
     return run
 
 
 def _windows(window: int):
-    """Candidate windows: two hashes of the words, the copies of the text and where it is."""
+    """Candidate windows: two hashes of the words, the copies of the text, its number and the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         odd = [np.random.default_rng(seed).integers(0, 2**63, window, np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
         for batch in batches:
-            k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            rid, copies = batch.column("rid").to_numpy(), batch.column("copies").to_numpy()
+            out: list[list[np.ndarray]] = [[] for _ in _NAMES]
             held = 0
             for i, z in enumerate(batch.column("z").to_pylist()):
-                starts = batch.column("starts")[i].values.to_numpy()
+                starts = _starts(batch.column("ends")[i].values.to_numpy())
                 words = word_hashes(expand(z))
                 first, second = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
                 for k in range(window):
@@ -161,68 +203,68 @@ def _windows(window: int):
                     first += w * odd[0][k]
                     second += (w ^ (w >> np.uint64(29))) * odd[1][k]
                 n = len(starts)
-                values = (mixed(first).view(np.int64), (mixed(second) >> np.uint64(33)).astype(np.int32), np.full(n, copies[i]), np.full(n, k1[i]), np.full(n, k2[i]), starts)
+                values = (mixed(first).view(np.int64), (mixed(second) >> np.uint64(33)).astype(np.int32), np.full(n, copies[i]), np.full(n, rid[i]), starts.astype(np.int32))
                 for to, v in zip(out, values):
                     to.append(v)
                 held += n
                 if held >= _BATCH:
                     yield from _emit(out, _NAMES, _TYPES)
-                    out, held = [[] for _ in range(6)], 0
+                    out, held = [[] for _ in _NAMES], 0
             yield from _emit(out, _NAMES, _TYPES)
 
     return run
 
 
-_NAMES = ["h1", "h2", "copies", "k1", "k2", "start"]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_NAMES = ["h1", "h2", "copies", "rid", "start"]
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
 
 def _cut(window: int, with_text: bool):
-    """Judged texts and their single candidates to (k1, k2, n_words, n_removed, kept_sha256, kept)."""
+    """Judged texts and their single candidates to their answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            totals, removed, digests, texts = [], [], [], []
+            answers = []
             for i, z in enumerate(batch.column("z").to_pylist()):
-                words = expand(z).split()
-                starts, single = batch.column("starts")[i].values, batch.column("single")[i].values
-                starts = starts.to_numpy() if starts is not None else np.empty(0, np.int32)
+                starts, single = _starts(batch.column("ends")[i].values.to_numpy()), batch.column("single")[i].values
                 if single is not None:
                     starts = np.setdiff1d(starts, single.to_numpy(), assume_unique=True)
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + window, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                totals.append(len(words))
-                removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode("utf-8", "surrogatepass") if with_text else None)
+                answers.append(_answer(expand(z).split(), starts, window, with_text))
+            removed, digests, texts = zip(*answers) if answers else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                names=["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [batch.column("k1"), batch.column("k2"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+                names=_ANSWER,
             )
 
     return run
 
 
+_ANSWER = ["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept_text"]
+
+
 def dedup_substrings(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless asked for)."""
-    k1, k2 = F.xxhash64("text"), F.xxhash64(F.lit("key"), "text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless asked for).
+
+    Texts are told apart by 80 bits of hash. Numbers of texts (``rid``) are read from the written table.
+    """
+    k1, k2 = F.xxhash64("text"), F.xxhash64(F.lit("key"), "text").bitwiseAND(F.lit(0xFFFF)).cast("int")
     docs = documents.select("doc_id", whole_text().alias("text"))
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
     symbols = keyed.mapInArrow(_symbols(window, rounds), "name bigint, k1 bigint, k2 int, start int")
-    where = [F.min(c).alias(c) for c in ("k1", "k2", "start")]
-    once = symbols.groupBy("name").agg(F.count("*").alias("n"), *where).where("n = 1")
+    once = symbols.groupBy("name").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "start")]).where("n = 1")
     once = once.groupBy("k1", "k2").agg(F.collect_list("start").alias("unique"))
     texts = keyed.mapInArrow(_zip, "k1 bigint, k2 int, z binary").groupBy("k1", "k2").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
-    judged = texts.join(once, ["k1", "k2"], "left").select("k1", "k2", "copies", "z", "unique")
-    judged = settle(judged.mapInArrow(_judged(window, rounds), "k1 bigint, k2 int, copies bigint, n_words bigint, z binary, starts array<int>"), "substrings")
-    windows = judged.where(F.size("starts") > 0).mapInArrow(_windows(window), "h1 bigint, h2 int, copies bigint, k1 bigint, k2 int, start int")
-    counted = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), *where)
-    single = counted.where("n = 1").groupBy("k1", "k2").agg(F.collect_list("start").alias("single"))
-    cut = judged.join(single, ["k1", "k2"], "left").select("k1", "k2", "z", "starts", "single")
-    cut = settle(cut.mapInArrow(_cut(window, with_text), "k1 bigint, k2 int, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"), "substrings-cut")
+    texts = texts.join(once, ["k1", "k2"], "left").select("k1", "k2", "copies", "z", "unique")
+    answer = "n_removed bigint, kept_sha256 string, kept_text string"
+    judged = texts.mapInArrow(_judged(window, rounds, with_text), f"k1 bigint, k2 int, copies bigint, n_words bigint, z binary, ends array<int>, {answer}")
+    judged = settle(judged.withColumn("rid", F.monotonically_increasing_id()), "substrings")
+    windows = judged.where("z IS NOT NULL").select("rid", "copies", "z", "ends")
+    windows = windows.mapInArrow(_windows(window), "h1 bigint, h2 int, copies bigint, rid bigint, start int")
+    counted = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min("rid").alias("rid"), F.min("start").alias("start"))
+    single = counted.where("n = 1").groupBy("rid").agg(F.collect_list("start").alias("single"))
+    open_ = judged.where("n_removed IS NULL").select("rid", "k1", "k2", "n_words", "z", "ends").join(single, "rid", "left")
+    cut = open_.select("k1", "k2", "n_words", "z", "ends", "single").mapInArrow(_cut(window, with_text), f"k1 bigint, k2 int, n_words bigint, {answer}")
+    answers = settle(judged.where("n_removed IS NOT NULL").select(*_ANSWER).union(cut), "substrings-cut")
     ids = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"))
-    return ids.join(cut, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    return ids.join(answers, ["k1", "k2"]).select("doc_id", *_ANSWER[2:])
