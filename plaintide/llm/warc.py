@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaintide.llm.common import same
+from plaintide.llm.common import same, shuffle_tasks
 from plaintide.session import settle, shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no install
@@ -228,7 +228,8 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = True)
     ``with_data=False`` leaves the bytes out for users of lengths and digests alone; they are
     streamed and hashed all the same.
     """
-    archives = manifest.select("archive").repartition(F.col("archive"))
+    # A stated number of tasks: the manifest is tiny, what it names is not.
+    archives = manifest.select("archive").repartition(shuffle_tasks(manifest.sparkSession), "archive")
     return archives.mapInArrow(_reader(chunk, with_data), CHUNKS)
 
 
