@@ -13,8 +13,9 @@ from plaintide.llm import decontaminate, language, lines, mixing, simhash
 from plaintide.llm.common import table
 from plaintide.session import settle
 
-#: Near-duplicate stages on shingles take five words.
+#: Near-duplicate stages on shingles take five words and this similarity.
 SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, words=SHINGLE_WORDS)
+    return simhash.keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

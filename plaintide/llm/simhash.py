@@ -29,6 +29,7 @@ of their own in the result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from itertools import combinations
@@ -54,6 +55,9 @@ CHUNK = 2048
 BLOCK_ROWS = 1 << 18
 #: Shingle hashes that are counted at a time.
 _PART = 1 << 15
+#: Orders of shingles whose first one is a key; two documents of similarity s share none with probability (1 - s)^6.
+_ORDERS = np.random.default_rng(3).integers(0, 2**63, 6, np.uint64) * np.uint64(2) + np.uint64(1)
+SIMILARITY = 0.8
 
 
 # --- fingerprints ------------------------------------------------------------------------------
@@ -61,9 +65,16 @@ _PART = 1 << 15
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The unsigned fingerprint of one text."""
+    return sketch(text, words)[0]
+
+
+def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the least shingle hash under each of a few orders (all zero without words)."""
+    least = np.zeros(len(_ORDERS), np.uint64)
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return 0, least
+    least[:] = np.iinfo(np.uint64).max
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -73,11 +84,13 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     for at in range(0, n, _PART):
         pairs = zip(starts[at : min(n, at + _PART)].tolist(), last[at : at + _PART].tolist())
         hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+        least = np.minimum(least, [(hashes * odd).min() for odd in _ORDERS])
         for shift in range(16):  # four counters of 16 bits to a word
             sums = int(np.bitwise_and(hashes >> np.uint64(shift), np.uint64(0x0001000100010001)).sum())
             for lane in range(4):
                 counts[16 * lane + shift] += (sums >> (16 * lane)) & 0xFFFF
-    return int(np.bitwise_or.reduce(np.where(2 * counts > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))))
+    bits = np.where(2 * counts > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))
+    return int(np.bitwise_or.reduce(bits)), least
 
 
 def with_fingerprint(documents: DataFrame, words: int = WORDS, column: str = "fp") -> DataFrame:
@@ -91,6 +104,11 @@ def with_fingerprint(documents: DataFrame, words: int = WORDS, column: str = "fp
     return documents.withColumn(column, of(F.col("text")))
 
 
+def radius_of(similarity: float) -> int:
+    """Bits in which fingerprints of that shingle similarity (Jaccard) are expected to differ."""
+    return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -259,10 +277,14 @@ def links(vertices: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
 
     ``vertices`` has distinct ids and distinct fingerprints (id, fp).
     """
-    tasks = shuffle_tasks(vertices.sparkSession)
     masks = F.array(*[F.lit(m) for m in block_masks(radius)])
     rows = vertices.select("id", "fp", F.posexplode(masks).alias("mask", "bits"))
-    rows = rows.select("id", "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("bucket"))
+    return links_in_buckets(rows.select("id", "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("bucket")), radius, chunk)
+
+
+def links_in_buckets(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Links that connect what lies within the radius and shares a bucket: rows (id, fp, mask, bucket)."""
+    tasks = shuffle_tasks(rows.sparkSession)
     rows = settle(rows, "simhash-keys")
     sizes = rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["mask", "bucket"])
@@ -311,21 +333,55 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     prints = settle(with_fingerprint(documents.select("doc_id", "text"), words).select("doc_id", "fp"), "simhash")
     vertices = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
     vertices = settle(vertices, "simhash-vertices")
-    roots = components(links(vertices, radius))
+    return _named(prints, vertices, links(vertices, radius))
+
+
+def similar_documents(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The same, and text_hash, for a similarity of shingles, whose radius is too wide for blocks of bits.
+
+    Fingerprints are compared where documents share the first shingle of one of six orders,
+    which similar ones do; then the bit-sliced distance decides, within the radius that the
+    similarity makes one expect.
+    """
+
+    @F.pandas_udf("fp bigint, least array<bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        made = [sketch(t, words) for t in texts]
+        prints = np.fromiter((p for p, _ in made), np.uint64, len(made)).view(np.int64)
+        return pd.DataFrame({"fp": prints, "least": [k.view(np.int64) for _, k in made]})
+
+    hashed = documents.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), of(F.col("text")).alias("s"))
+    prints = hashed.select("doc_id", "text_hash", "s.*")
+    prints = settle(prints, "simhash")
+    vertices = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
+    vertices = settle(vertices, "simhash-vertices")
+    keys = prints.select("fp", F.posexplode("least").alias("mask", "bucket")).distinct().join(vertices, "fp")
+    return _named(prints, vertices, links_in_buckets(keys.select("id", "fp", "mask", "bucket"), radius_of(similarity)))
+
+
+def _named(prints: DataFrame, vertices: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents with the component of their fingerprint."""
+    roots = components(found)
     named = vertices.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     p, n = prints.alias("p"), named.alias("n")
-    return p.join(n, F.col("p.fp") == F.col("n.fp"), "left").select("p.doc_id", "p.fp", "n.component_id")
+    own = [F.col(f"p.{c}") for c in prints.columns if c != "least"]
+    return p.join(n, F.col("p.fp") == F.col("n.fp"), "left").select(*own, "n.component_id")
 
 
-def keep_one(documents: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_one(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay: the smallest id of every component.
 
     Of rows that repeat this id, the one with the smallest text hash stays. A row without an
     id stays unless another such row has its text hash or a named document its fingerprint.
     """
-    classes = near_duplicates(documents, words, radius)
-    kept = classes.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    classes = similar_documents(documents, words, similarity)
+    # Rows without an id are told apart by their text.
+    kept = classes.where(same(F.col("doc_id"), F.col("component_id"))).select(
+        F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("_text")
+    )
     d = documents.withColumn("_hash", F.xxhash64(whole_text())).alias("d")
-    rows = d.join(settle(kept, "kept"), same(F.col("d.doc_id"), F.col("_id")), "left_semi")
+    text = F.when(F.col("d.doc_id").isNull(), F.col("d._hash"))
+    match = same(F.col("d.doc_id"), F.col("_id")) & same(text, F.col("_text"))
+    rows = d.join(settle(kept.distinct(), "kept"), match, "left_semi")
     one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_hash"))).orderBy("_hash")
     return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_hash")

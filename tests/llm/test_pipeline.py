@@ -5,7 +5,7 @@ from plaintide.llm import decontaminate, language, simhash
 from plaintide.llm.common import table
 from plaintide.session import settle
 from test_lines_mixing import brute_lines
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,8 +26,7 @@ def test_stages_one_after_the_other(spark):
     assert {r.doc_id: r.text for r in lined} == expected
     assert all(r.n_chars == len(r.text) for r in lined)
 
-    roots = brute_components([r.doc_id for r in lined], [brute_fingerprint(r.text, corpus_pipeline.SHINGLE_WORDS) for r in lined])
-    assert {r.doc_id for r in single} == set(roots.values())
+    assert {r.doc_id for r in single} == set(similar({r.doc_id: r.text for r in lined}).values())
 
     hit = {r.doc_id for r in decontaminate.contaminated(frames[3], table(spark, SF, "benchmark")).collect()}
     assert hit and {r.doc_id for r in clean} == {r.doc_id for r in single} - hit
@@ -35,7 +34,7 @@ def test_stages_one_after_the_other(spark):
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in clean}
     assert max(r.copy for r in mixed) <= 3 and mixed
     assert len({(r.doc_id, r.copy) for r in mixed}) == len(mixed)
-    assert simhash.keep_one(frames[3], words=corpus_pipeline.SHINGLE_WORDS).count() == len(single)
+    assert simhash.keep_one(frames[3]).count() == len(single)
 
 
 def test_run_gives_the_last_stage(spark):

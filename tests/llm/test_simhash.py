@@ -33,6 +33,50 @@ def brute_components(ids, prints, radius=4):
     return {i: find(i) for i in ids}
 
 
+def similar(texts, similarity=0.8):
+    """Components of documents that share a least shingle and lie within the radius of the similarity."""
+    made = {i: simhash.sketch(t, 5) for i, t in texts.items()}
+    assert all(made[i][0] == brute_fingerprint(t, 5) for i, t in texts.items())
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            near = (made[a][0] ^ made[b][0]).bit_count() <= simhash.radius_of(similarity)
+            if made[a][0] == made[b][0] or near and (made[a][1] == made[b][1]).any():
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_similar_documents(spark):
+    """Near copies of a similarity well above the threshold are found, other texts left alone."""
+    rng = np.random.default_rng(8)
+    rows, j = [], 0
+    for group in range(60):
+        words = [f"w{v}" for v in rng.integers(0, 5000, 300)]
+        for _ in range(1 + group % 3):
+            copy = list(words)
+            for at in rng.integers(0, 300, 1 + group % 2):
+                copy[at] = f"n{j}"
+                j += 1
+            rows.append((len(rows), " ".join(copy), group))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == similar({i: t for i, t, _ in rows})
+    first = {}
+    for i, _, group in rows:
+        first.setdefault(group, i)
+    assert all(rows[root][2] == rows[i][2] for i, root in got.items())
+    assert sum(got[i] == first[g] for i, _, g in rows) >= 0.9 * len(rows)
+    assert simhash.radius_of(0.8) == 9
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet' ORDER BY doc_id").fetchall()
     prints = {i: brute_fingerprint(t) for i, t in rows}
