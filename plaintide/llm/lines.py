@@ -76,7 +76,8 @@ def keep_bitmaps(documents: DataFrame, floor: int = FLOOR, salts: int = SALTS) -
 
 
 def dedup_lines(documents: DataFrame, floor: int = FLOOR) -> DataFrame:
-    """The documents with ``kept_text``, ``n_lines`` (before) and ``n_dropped``."""
+    """The documents with ``kept_text``, ``n_lines`` (before) and ``n_dropped``, which replace columns of that name."""
+    documents = documents.drop("kept_text", "n_lines", "n_dropped")
     bitmaps = settle(keep_bitmaps(documents, floor), "line-bitmaps").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped")
     )

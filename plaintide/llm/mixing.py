@@ -96,8 +96,8 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: every taken document, once per copy, with its copy number.
 
     Rows that repeat a document id are taken together: the copies of the first of
-    them, in the order of the mix, hold for each.
+    them, in the order of the mix, hold for each. A column ``copy`` of the input is replaced.
     """
     taken = mix(documents, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = documents.alias("d").join(taken, same(F.col("d.doc_id"), F.col("_id")) & (F.col("_copies") > 0))
+    rows = documents.drop("copy").alias("d").join(taken, same(F.col("d.doc_id"), F.col("_id")) & (F.col("_copies") > 0))
     return rows.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
