@@ -159,17 +159,22 @@ def drop_double_submissions(
 ) -> DataFrame:
     """One row per business key: the most complete, then the lowest id.
 
-    The rank filter is applied in the map tasks already, so a key shared by a
-    large part of the rows sends one row per task into the shuffle. Null key
-    values are equal to each other. A hash of the key leads the sort, which then
-    rarely compares the texts behind it; equality still rests on all columns.
+    Few rows repeat a key, so the rows are written once, in place, with a hash of their key; the
+    hashes that occur more than once are found from that column alone. Only rows with such
+    a hash are shuffled and decided, on all columns of the key; the others stay as they are.
+    The rank filter is applied in the map tasks already, so a key shared by a large part
+    of the rows sends one row per task. Null key values are equal to each other.
     """
     key = key or BUSINESS_KEY
     best = Window.partitionBy("_hash", *key).orderBy(
         completeness(df.columns).desc(), *[F.asc_nulls_last(c) for c in tie_break or ["complaint_id"]]
     )
-    hashed = df.withColumn("_hash", F.xxhash64(*key))
-    return hashed.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "_hash")
+    hashed = settle(df.withColumn("_hash", F.xxhash64(*key)), "prepared")
+    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
+    repeated = settle(repeated, "repeated-keys")
+    alone = hashed.join(repeated, "_hash", "left_anti")
+    contested = hashed.join(repeated, "_hash", "left_semi").withColumn("_rn", F.row_number().over(best))
+    return alone.unionByName(contested.where("_rn = 1").drop("_rn")).drop("_hash")
 
 
 def repeats(df: DataFrame, key: list[str]) -> DataFrame:
