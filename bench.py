@@ -23,7 +23,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from plaintide.bindings.queries import QUERIES
-    from plaintide.session import build_session
+    from plaintide.session import build_session, clear_scratch
 
     spark = build_session(
         "bench",
@@ -53,6 +53,7 @@ def main() -> None:
             }
         )
     )
+    clear_scratch(spark)
     spark.stop()
 
 

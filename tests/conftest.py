@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from plaintide.session import build_session
+    from plaintide.session import build_session, clear_scratch
 
     session = build_session(
         "tests",
@@ -23,6 +23,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
