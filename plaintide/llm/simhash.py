@@ -65,12 +65,12 @@ SIMILARITY = 0.8
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The unsigned fingerprint of one text."""
-    return sketch(text, words)[0]
+    return sketch(text, words, _ORDERS[:0])[0]
 
 
-def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """The fingerprint, and the least shingle hash under each of a few orders (all zero without words)."""
-    least = np.zeros(len(_ORDERS), np.uint64)
+def sketch(text: str | None, words: int = WORDS, orders: np.ndarray = _ORDERS) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the least shingle hash under each of the orders (all zero without words)."""
+    least = np.zeros(len(orders), np.uint64)
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return 0, least
@@ -84,7 +84,8 @@ def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
     for at in range(0, n, _PART):
         pairs = zip(starts[at : min(n, at + _PART)].tolist(), last[at : at + _PART].tolist())
         hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
-        least = np.minimum(least, [(hashes * odd).min() for odd in _ORDERS])
+        if len(orders):
+            least = np.minimum(least, [(hashes * odd).min() for odd in orders])
         for shift in range(16):  # four counters of 16 bits to a word
             sums = int(np.bitwise_and(hashes >> np.uint64(shift), np.uint64(0x0001000100010001)).sum())
             for lane in range(4):
