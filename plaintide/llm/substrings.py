@@ -79,25 +79,28 @@ def _parsed(words: list[np.ndarray], rounds: int):
 
 
 def _symbols(window: int, rounds: int):
-    """Texts (k1, k2, text) to the symbols that a window can hold: (name, k1, k2, start)."""
+    """Texts (k1, k2, text) to the symbols that a window can hold: (name, k1, place).
+
+    A place is the start and, in its lowest 16 bits, k2: these rows are the bulk of what is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             words = [word_hashes(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], []]
             for a, b in _parts(words):
                 name, text, start, _, _, inside = _parsed(words[a:b], rounds)
                 name, text, start = name[inside], text[inside] + a, start[inside]
-                for held, values in zip(out, (name.view(np.int64), k1[text], k2[text], start.astype(np.int32))):
+                for held, values in zip(out, (name.view(np.int64), k1[text], start << 16 | k2[text])):
                     held.append(values)
-            yield from _emit(out, ["name", "k1", "k2", "start"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+            yield from _emit(out, ["name", "k1", "place"], [pa.int64(), pa.int64(), pa.int64()])
 
     return run
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=6).compress
     for batch in batches:
         texts = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["k1", "k2", "z"])
@@ -251,8 +254,9 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, rounds: int = R
     k1, k2 = F.xxhash64("text"), F.xxhash64(F.lit("key"), "text").bitwiseAND(F.lit(0xFFFF)).cast("int")
     docs = documents.select("doc_id", whole_text().alias("text"))
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
-    symbols = keyed.mapInArrow(_symbols(window, rounds), "name bigint, k1 bigint, k2 int, start int")
-    once = symbols.groupBy("name").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "start")]).where("n = 1")
+    symbols = keyed.mapInArrow(_symbols(window, rounds), "name bigint, k1 bigint, place bigint")
+    once = symbols.groupBy("name").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "place")]).where("n = 1")
+    once = once.select("k1", F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("k2"), F.shiftright("place", 16).cast("int").alias("start"))
     once = once.groupBy("k1", "k2").agg(F.collect_list("start").alias("unique"))
     texts = keyed.mapInArrow(_zip, "k1 bigint, k2 int, z binary").groupBy("k1", "k2").agg(F.first("z").alias("z"), F.count("*").alias("copies"))
     texts = texts.join(once, ["k1", "k2"], "left").select("k1", "k2", "copies", "z", "unique")
