@@ -16,6 +16,10 @@ themselves shifted, and carry-save counters over the planes count the differing
 64 pairs per machine word. Once all pairs of a block have gone beyond the radius, the
 block is abandoned. A unit returns a spanning forest of its links, never all pairs.
 
+Similarity. For a similarity of shingles (Jaccard of their sets) the distance names only
+candidates, with a radius that a pair at the similarity exceeds in a few of 10,000 cases; a
+unit holds the shingles of its rows, and only pairs that have the similarity are merged.
+
 Components. Stars on the smallest id: every vertex links its larger neighbours to its
 smallest one, then its smaller neighbours to the smallest, in turn until nothing changes.
 Each round is a written table; links are never collected.
@@ -42,7 +46,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.llm.common import same, shuffle_tasks, whole_text
+from plaintide.llm.common import WORD, same, shuffle_tasks, whole_text
 from plaintide.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no install
@@ -58,6 +62,12 @@ _PART = 1 << 15
 #: Orders of shingles whose first one is a key; two documents of similarity s share none with probability (1 - s)^6.
 _ORDERS = np.random.default_rng(3).integers(0, 2**63, 6, np.uint64) * np.uint64(2) + np.uint64(1)
 SIMILARITY = 0.8
+#: Share of the pairs at the similarity itself that may lie beyond the radius of candidates.
+MISSED = 0.0005
+#: Sets of fewer shingles are compared whatever their distance, whose spread is wider for them.
+FEW = 64
+#: Bytes of shingles in a chunk, in the rows of a task at a time, and shingles of pairs that are compared at a time.
+CHUNK_BYTES, BLOCK_BYTES, _PAIRED = 8 << 20, 32 << 20, 1 << 21
 
 
 # --- fingerprints ------------------------------------------------------------------------------
@@ -68,32 +78,57 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return sketch(text, words, _ORDERS[:0])[0]
 
 
-def sketch(text: str | None, words: int = WORDS, orders: np.ndarray = _ORDERS) -> tuple[int, np.ndarray]:
-    """The fingerprint, and the least shingle hash under each of the orders (all zero without words)."""
-    least = np.zeros(len(orders), np.uint64)
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, part by part."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0, least
-    least[:] = np.iinfo(np.uint64).max
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     last = ends[min(words, len(tokens)) - 1 :]
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, _PART):
         pairs = zip(starts[at : min(n, at + _PART)].tolist(), last[at : at + _PART].tolist())
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
+
+
+def _summed(parts: Iterator[np.ndarray], orders: np.ndarray) -> tuple[int, np.ndarray]:
+    """The fingerprint of hashes, and the least one under each of the orders (all zero without hashes)."""
+    least = np.full(len(orders), np.iinfo(np.uint64).max, np.uint64)
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
         if len(orders):
             least = np.minimum(least, [(hashes * odd).min() for odd in orders])
         for shift in range(16):  # four counters of 16 bits to a word
             sums = int(np.bitwise_and(hashes >> np.uint64(shift), np.uint64(0x0001000100010001)).sum())
             for lane in range(4):
                 counts[16 * lane + shift] += (sums >> (16 * lane)) & 0xFFFF
+    if not n:
+        return 0, np.zeros(len(orders), np.uint64)
     bits = np.where(2 * counts > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))
     return int(np.bitwise_or.reduce(bits)), least
 
 
+def sketch(text: str | None, words: int = WORDS, orders: np.ndarray = _ORDERS) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the least shingle hash under each of the orders (all zero without words)."""
+    return _summed(_hashes(text, words), orders)
+
+
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the shingles as a set, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, words)]))
+
+
+def set_sketch(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
+    """Of the set of shingles: the fingerprint, a hash of the set, and the least hash under each of the orders."""
+    held = distinct_shingles(text, words)
+    fp, least = _summed((held[at : at + _PART] for at in range(0, len(held), _PART)), _ORDERS)
+    return fp, xxhash.xxh64_intdigest(held.tobytes(), SEED), least
+
+
 def with_fingerprint(documents: DataFrame, words: int = WORDS, column: str = "fp") -> DataFrame:
     """The documents and their fingerprint as a signed 64-bit number."""
 
@@ -110,6 +145,16 @@ def radius_of(similarity: float) -> int:
     return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def candidate_radius(similarity: float, missed: float = MISSED) -> int:
+    """Bits beyond which no more than that share of the pairs of the similarity differ, if bits differ independently."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    beyond, radius = 1.0, -1
+    while beyond > missed and radius < 64:
+        radius += 1
+        beyond -= math.comb(64, radius) * p**radius * (1 - p) ** (64 - radius)
+    return radius
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -193,11 +238,41 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def spanning_links(unit: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+class _Shingles:
+    """The sets of shingles of rows, and which pairs of rows have the similarity."""
+
+    def __init__(self, sets: list[bytes], similarity: float):
+        self.flat = np.frombuffer(b"".join(sets), np.uint32)
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.few = self.sizes < FEW
+        self.similarity = similarity
+
+    def _keys(self, rows: np.ndarray) -> np.ndarray:
+        """The shingles of rows, below the number of the row in the list."""
+        sizes = self.sizes[rows]
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - first, sizes)
+        return np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(32), sizes) | self.flat[at]
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a and b have at least the similarity."""
+        s, x, y = self.similarity, self.sizes[a], self.sizes[b]
+        result = np.minimum(x, y) >= s * np.maximum(x, y) - 1e-9
+        left = np.flatnonzero(result)
+        part = np.cumsum(x[left] + y[left]) // _PAIRED
+        for own in np.split(left, np.flatnonzero(np.diff(part)) + 1):
+            keys = np.sort(np.concatenate((self._keys(a[own]), self._keys(b[own]))), kind="stable")
+            common = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(own))
+            result[own] = common * (1 + s) >= s * (x[own] + y[own]) - 1e-9
+        return result
+
+
+def spanning_links(unit: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int, shingles: _Shingles | None = None) -> np.ndarray:
     """Component label of every row, from links inside its unit.
 
     Rows of a unit stand together. Where ``side`` is 1 and 2 only pairs across the sides
-    count, where it is 0 all pairs do.
+    count, where it is 0 all pairs do. With shingles, pairs must have their similarity too.
     """
     label = np.arange(len(unit))
     starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
@@ -225,26 +300,32 @@ def spanning_links(unit: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
                 packed = np.packbits(pair, bitorder="little")
                 live[: len(packed)] = packed
                 hits = within_radius(planes, by, radius, live.view(np.uint64))
-                found = np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little")[: len(rows)])
+                found = np.unpackbits(hits.view(np.uint8), bitorder="little")[: len(rows)].view(bool)
+                if shingles is not None:
+                    found |= pair & shingles.few[rows] & shingles.few[rows[ahead]]
+                found = np.flatnonzero(found)
+                if shingles is not None and len(found):
+                    found = found[shingles.alike(rows[found], rows[found + by])]
                 if len(found):
                     _merge(label, rows[found], rows[found + by])
         least *= 2
     return label
 
 
-def _link_units(radius: int):
-    """Rows of (bucket, lo, hi, side, fp, id), sorted by unit, to rows of links (a, b)."""
+def _link_units(radius: int, similarity: float | None = None):
+    """Rows of (bucket, lo, hi, side, fp, id), sorted by unit, to rows of links (a, b); with a similarity also of (shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
-        rows = 0
+        rows = size = 0
 
         def links(frame: pd.DataFrame) -> pa.RecordBatch:
             change = np.zeros(len(frame), bool)
             for c in ("mask", "bucket", "lo", "hi"):
                 v = frame[c].to_numpy()
                 change[1:] |= v[1:] != v[:-1]
-            label = spanning_links(np.cumsum(change), frame["side"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), radius)
+            shingles = None if similarity is None else _Shingles(frame["shingles"].tolist(), similarity)
+            label = spanning_links(np.cumsum(change), frame["side"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), radius, shingles)
             ids = frame["id"].to_numpy()
             far = np.flatnonzero(label != np.arange(len(label)))
             a, b = ids[far], ids[label[far]]
@@ -259,14 +340,15 @@ def _link_units(radius: int):
                 continue
             held.append(batch.to_pandas())
             rows += batch.num_rows
-            if rows < BLOCK_ROWS:
+            size += batch.nbytes
+            if rows < BLOCK_ROWS and (similarity is None or size < BLOCK_BYTES):
                 continue
             frame = pd.concat(held, ignore_index=True)
             last = np.ones(len(frame), bool)  # the last unit may go on in the next batch
             for c, v in zip(("mask", "bucket", "lo", "hi"), key(frame, -1)):
                 last &= frame[c].to_numpy() == v
             yield links(frame[~last].reset_index(drop=True))
-            held, rows = [frame[last]], int(last.sum())
+            held, rows, size = [frame[last]], int(last.sum()), 0
         if held:
             yield links(pd.concat(held, ignore_index=True))
 
@@ -288,19 +370,56 @@ def links_in_buckets(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFr
     tasks = shuffle_tasks(rows.sparkSession)
     rows = settle(rows, "simhash-keys")
     sizes = rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["mask", "bucket"])
-    # A bucket beyond a chunk is cut by a hash of the id into k parts; unit (i, j) compares part i with part j.
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    part = F.when(F.col("n") > chunk, F.pmod(F.xxhash64("id"), parts)).otherwise(0).cast("int")
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.join(sizes, ["mask", "bucket"]).withColumn("part", _part(parts)).withColumn("other", _others(parts))
+    ordered = _in_units(rows.select("id", "fp", "mask", "bucket", "part", F.explode("other").alias("other")), tasks, [])
+    return ordered.mapInArrow(_link_units(radius), "a bigint, b bigint").distinct()
+
+
+def _part(parts: Column) -> Column:
+    """A bucket beyond a chunk is cut by a hash of the id into k parts; unit (i, j) compares part i with part j."""
+    return F.when(parts > 1, F.pmod(F.xxhash64("id"), parts)).otherwise(0).cast("int")
+
+
+def _others(parts: Column) -> Column:
+    return F.sequence(F.lit(0), parts - 1)
+
+
+def _in_units(rows: DataFrame, tasks: int, more: list[str]) -> DataFrame:
+    """Rows (id, fp, mask, bucket, part, other) sorted by unit."""
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     rows = rows.select(
         "mask", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
-        side.cast("int").alias("side"), "fp", "id",
+        side.cast("int").alias("side"), "fp", "id", *more,
     )
     unit = ["mask", "bucket", "lo", "hi"]
-    ordered = rows.repartition(tasks, *unit).sortWithinPartitions(*unit, "id")
-    return ordered.mapInArrow(_link_units(radius), "a bigint, b bigint").distinct()
+    return rows.repartition(tasks, *unit).sortWithinPartitions(*unit, "id")
+
+
+def similar_links(documents: DataFrame, vertices: DataFrame, words: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links that connect what has the similarity and shares a least shingle: vertices (id, text_hash, fp, n, least).
+
+    Only where a bucket holds several vertices their texts are read again, for the shingles.
+    """
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(distinct_shingles(t, words).astype(np.uint32)).tobytes() for t in texts])
+
+    tasks = shuffle_tasks(documents.sparkSession)
+    keys = settle(vertices.select("id", "text_hash", "fp", "n", F.posexplode("least").alias("mask", "bucket")), "simhash-keys")
+    sizes = keys.groupBy("mask", "bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("n_all")).where("rows > 1")
+    parts = F.ceil(F.greatest(F.col("rows") / chunk, 4 * F.col("n_all") / CHUNK_BYTES)).cast("int")
+    keys = keys.drop("n").join(sizes, ["mask", "bucket"])
+    keys = keys.select("id", "text_hash", "fp", F.struct("mask", "bucket", _part(parts).alias("part"), parts.alias("parts")).alias("key"))
+    shared = settle(keys.groupBy("id", "text_hash", "fp").agg(F.collect_list("key").alias("keys")), "simhash-shared").alias("v")
+    d = documents.select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text")).alias("d")
+    rows = d.join(shared, (F.col("d.doc_id") == F.col("v.id")) & (F.col("d.text_hash") == F.col("v.text_hash")))
+    rows = rows.select("v.id", "v.text_hash", "fp", "keys", "text").dropDuplicates(["id", "text_hash"])
+    rows = rows.select("id", "fp", "keys", shingles("text").alias("shingles")).select("id", "fp", "shingles", F.inline("keys"))
+    rows = rows.withColumn("other", F.explode(_others(F.col("parts"))))
+    ordered = _in_units(rows, tasks, ["shingles"])
+    return ordered.mapInArrow(_link_units(candidate_radius(similarity), similarity), "a bigint, b bigint").distinct()
 
 
 # --- components ------------------------------------------------------------------------------------
@@ -334,46 +453,48 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     prints = settle(with_fingerprint(documents.select("doc_id", "text"), words).select("doc_id", "fp"), "simhash")
     vertices = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
     vertices = settle(vertices, "simhash-vertices")
-    return _named(prints, vertices, links(vertices, radius))
+    return _named(prints, vertices, links(vertices, radius), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def similar_documents(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The same, and text_hash, for a similarity of shingles, whose radius is too wide for blocks of bits.
+    """The same, and text_hash, for a similarity of shingle sets, whose radius is too wide for blocks of bits.
 
-    Fingerprints are compared where documents share the first shingle of one of six orders,
-    which similar ones do; then the bit-sliced distance decides, within the radius that the
-    similarity makes one expect.
+    Documents of equal sets are one vertex. Others are compared where they share the first
+    shingle of one of six orders, which similar ones do; the bit-sliced distance names the
+    candidates, and their shingles decide.
     """
 
-    @F.pandas_udf("fp bigint, least array<bigint>")
+    @F.pandas_udf("fp bigint, shape bigint, least array<bigint>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        made = [sketch(t, words) for t in texts]
-        prints = np.fromiter((p for p, _ in made), np.uint64, len(made)).view(np.int64)
-        return pd.DataFrame({"fp": prints, "least": [k.view(np.int64) for _, k in made]})
+        made = [set_sketch(t, words) for t in texts]
+        prints, shapes = (np.fromiter((m[i] for m in made), np.uint64, len(made)).view(np.int64) for i in (0, 1))
+        return pd.DataFrame({"fp": prints, "shape": shapes, "least": [m[2].view(np.int64) for m in made]})
 
-    hashed = documents.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), of(F.col("text")).alias("s"))
-    prints = hashed.select("doc_id", "text_hash", "s.*")
-    prints = settle(prints, "simhash")
-    vertices = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
+    n_words = F.regexp_count(F.col("text"), F.lit(WORD))
+    hashed = documents.select("doc_id", whole_text().alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), n_words.cast("bigint").alias("n"), of(F.col("text")).alias("s")
+    )
+    prints = settle(hashed.select("doc_id", "text_hash", "n", "s.*"), "simhash")
+    least = [F.min(F.get("least", F.lit(i))).alias(f"l{i}") for i in range(len(_ORDERS))]
+    first = F.min(F.struct(F.col("doc_id").alias("id"), "text_hash", "n")).alias("first")
+    vertices = prints.where("doc_id IS NOT NULL").groupBy("fp", "shape").agg(first, *least)
+    vertices = vertices.select("fp", "shape", "first.*", F.array(*[f"l{i}" for i in range(len(_ORDERS))]).alias("least"))
     vertices = settle(vertices, "simhash-vertices")
-    keys = prints.select("fp", F.posexplode("least").alias("mask", "bucket")).distinct().join(vertices, "fp")
-    return _named(prints, vertices, links_in_buckets(keys.select("id", "fp", "mask", "bucket"), radius_of(similarity)))
+    return _named(prints.drop("least", "n"), vertices, similar_links(documents, vertices, words, similarity), ["fp", "shape"]).drop("shape")
 
 
-def _named(prints: DataFrame, vertices: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents with the component of their fingerprint."""
+def _named(prints: DataFrame, vertices: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Documents with the component of their vertex."""
     roots = components(found)
-    named = vertices.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    p, n = prints.alias("p"), named.alias("n")
-    own = [F.col(f"p.{c}") for c in prints.columns if c != "least"]
-    return p.join(n, F.col("p.fp") == F.col("n.fp"), "left").select(*own, "n.component_id")
+    named = vertices.join(roots, "id", "left").select(*by, F.coalesce("root", "id").alias("component_id"))
+    return prints.join(named, by, "left")
 
 
 def keep_one(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay: the smallest id of every component.
 
     Of rows that repeat this id, the one with the smallest text hash stays. A row without an
-    id stays unless another such row has its text hash or a named document its fingerprint.
+    id stays unless another such row has its text hash or a named document its shingles.
     """
     classes = similar_documents(documents, words, similarity)
     # Rows without an id are told apart by their text.

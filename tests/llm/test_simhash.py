@@ -130,3 +130,27 @@ def test_edge_cases(spark):
     assert kept == [0, 1, 4, 6]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.fingerprint(long) == brute_fingerprint(long)
+
+
+def test_similar_documents_are_those_of_brute_force_jaccard(spark):
+    """Near copies from 0.80 on are found, clean pairs at 0.7 and below stay apart, short and repeating texts too."""
+    rng = np.random.default_rng(17)
+    rows, truth = [], []
+    for group in range(240):
+        n = int(rng.integers(12, 30) if group % 6 == 0 else rng.integers(150, 400))
+        words = [f"w{v}" for v in rng.integers(0, 50_000, n)]
+        # The copy ends in other words: of n + x - 4 shingles each, n - 4 are common.
+        share = (0.8, 0.83, 0.88, 0.92, 0.7, 0.6)[group // 6 % 6]
+        x = (n - 4) * (1 - share) / (2 * share)
+        x = int(x) if share >= 0.8 else int(np.ceil(x))
+        for side in "ab":
+            rows.append((len(rows), " ".join([*words, *[f"{side}{group}x{i}" for i in range(x)]])))
+        truth.append(share >= 0.8)
+    words = [f"r{v}" for v in range(100)]
+    rows += [(480, " ".join(words)), (481, " ".join(words + words[-6:] * 200)), (482, " ".join(["z"] * 500 + words[:20])), (483, " ".join(["z"] * 500 + words[30:50]))]
+    truth += [True, False]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    assert truth == [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 if truth[i // 2] else i for i, _ in rows}
+    assert simhash.candidate_radius(0.8) == 20
