@@ -8,8 +8,12 @@ subword and language, and a text is scored by looking its subwords up.
 Training uses a sample of labelled documents of bounded size, drawn per language by a hash
 of the id. The executors turn it into sparse counts, whatever the length of the texts;
 the driver runs stochastic gradient descent on them in numpy. A fifth of the sample
-is set aside: on it a temperature is fitted, so that scores are probabilities, and the
-rejection threshold, below which no more than a stated share of these documents falls.
+is set aside: on it a temperature is fitted, so that scores are probabilities. All labelled
+documents that were not fitted on, in the sample or not, are then scored on the executors
+and counted by score: of those whose language is told right no more than a stated share
+falls below the rejection threshold. Where they are too few for one of them to be that
+share, the threshold lies at the least sure of them, and no higher than half way from an
+even guess to certainty.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and rejected;
 a null language or id is never learnt from; without any labelled document everything is
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,8 +44,9 @@ DIMENSIONS = 16
 #: Bounds of the training sample: languages (the most frequent ones) and documents altogether.
 MOST_LANGUAGES = 128
 SAMPLE = 2000
-#: Share of calibration documents that the threshold may reject.
+#: Share of the documents told right that the threshold may reject, and the steps in which scores are counted for it.
 REJECTED_SHARE = 0.001
+STEPS = 100_000
 UNKNOWN = "und"
 _PART = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
@@ -138,11 +143,17 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], ca
 
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
     p = _softmax(logits / temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    rank = int(REJECTED_SHARE * (len(right) + 1))
-    # With too few documents for the share, stay well below the least sure one.
-    threshold = right[rank - 1] if rank else (right[0] / 2 if len(right) else 0.0)
-    return Model(languages, scores, bias.astype(np.float64), float(temperature), float(min(threshold, 0.5)))
+    steps, n = np.unique(np.floor(p.max(axis=1)[p.argmax(axis=1) == truth] * STEPS), return_counts=True)
+    return Model(languages, scores, bias.astype(np.float64), float(temperature), threshold_of(steps, n, k))
+
+
+def threshold_of(steps: np.ndarray, n: np.ndarray, languages: int) -> float:
+    """The highest step below which no more than the share of the scores lies: ``n`` scores in each of the sorted steps."""
+    if not len(steps):
+        return 0.0
+    allowed = int(REJECTED_SHARE * n.sum())
+    at = float(steps[np.flatnonzero(np.cumsum(n) - n <= allowed)[-1]] / STEPS)
+    return at if allowed else min(at, (1 + 1 / languages) / 2)
 
 
 def held_out() -> Column:
@@ -159,8 +170,8 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(v) for lang, n in languages.items() for v in (lang, min(1 << 30, round((1 << 30) * sample / len(languages) / n)))])
-    chosen = labelled.where(draw < F.element_at(share, F.col("lang"))).select("doc_id", "lang", draw.alias("draw"), whole_text().alias("text"))
-    chosen = chosen.where(F.col("draw").isNotNull())
+    drawn = labelled.select("lang", draw.alias("draw"), whole_text().alias("text"), (draw < F.element_at(share, F.col("lang"))).alias("chosen"))
+    chosen = drawn.where("chosen")
 
     def sparse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -185,7 +196,18 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
     for i, (used, n) in enumerate(zip(frame["used"], frame["n"])):
         counts[i, np.frombuffer(used, np.uint16)] = np.frombuffer(n, np.float32)
     labels = np.array([names.index(v) for v in frame["lang"]])
-    return train(counts, labels, names, (frame["draw"].to_numpy() // 7 % 5 == 0))
+    model = train(counts, labels, names, (frame["draw"].to_numpy() // 7 % 5 == 0))
+    return calibrated(model, drawn.where("NOT chosen OR chosen IS NULL OR draw DIV 7 % 5 = 0"))
+
+
+def calibrated(model: Model, unseen: DataFrame) -> Model:
+    """The model with its threshold from labelled documents (lang, text) that it was not fitted on, if there are any."""
+    scored = identified(unseen, model, "_l").where("_l.lang_pred = lang")
+    steps = scored.groupBy(F.floor(F.col("_l.score") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    rows = steps.orderBy("step").toPandas()  # at most STEPS + 1 rows
+    if rows.empty:
+        return model
+    return replace(model, threshold=threshold_of(rows["step"].to_numpy(), rows["n"].to_numpy(), len(model.languages)))
 
 
 def identified(documents: DataFrame, model: Model, column: str = "language") -> DataFrame:

@@ -55,3 +55,31 @@ def test_calibration_rejects_no_more_than_its_share():
     p = language._softmax((shares @ model.scores + model.bias) / model.temperature)
     assert abs(p.max(axis=1).mean() - (p.argmax(axis=1) == labels).mean()) < 0.06
     assert (p.max(axis=1) < model.threshold).mean() <= 0.02
+
+
+def test_junk_and_an_unlearnt_language_are_rejected(spark):
+    """Letters of no language and languages that nothing is learnt of, while the stated share of clean texts goes."""
+    rng = np.random.default_rng(4)
+    junk = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz0123456789 "), 300)) for _ in range(100)]
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs)
+    assert all(model.predict(t)[2] for t in junk + foreign)
+    clean = language.identified(docs.where("lang IS NOT NULL AND length(text) > 0"), model, "_l")
+    assert clean.agg(F.avg(F.col("_l.rejected").cast("double"))).first()[0] <= 1.5 * language.REJECTED_SHARE
+    two = language.learn(docs.where("lang IN ('de', 'en')"))
+    assert np.mean([two.predict(t)[2] for t in junk]) > 0.9
+
+
+def test_threshold_keeps_to_the_share():
+    scores = np.sort(np.random.default_rng(6).random(5000))
+    steps, n = np.unique(np.floor(scores * language.STEPS), return_counts=True)
+    at = language.threshold_of(steps, n, 4)
+    assert 4 <= (scores < at).sum() <= 5
+    few = np.array([70_000.0, 90_000.0]), np.array([1, 9])
+    assert language.threshold_of(*few, 4) == 0.625 and language.threshold_of(*few, 2) == 0.7
+    assert language.threshold_of(few[0][:0], few[1][:0], 4) == 0.0
