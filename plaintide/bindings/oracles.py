@@ -500,8 +500,8 @@ ORDER BY orders.o_orderdate DESC, o_orderkey LIMIT 500""",
     "typed_load": """SELECT o_orderkey AS complaint_id, o_orderdate::DATE AS date_received, nullif(o_orderstatus, 'F') AS status,
   o_totalprice::DECIMAL(14,2) AS amount, o_orderpriority = '1-URGENT' AS urgent FROM orders""",
     "trend_window": f"WITH {CASES} SELECT complaint_id, date_received FROM cases WHERE in_window",
-    "volume_floor": f"""SELECT s_name AS company, count(*) AS n_complaints FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-GROUP BY s_name HAVING count(*) >= {VOLUME_FLOOR}""",
+    "volume_floor": f"""WITH {NAMED} SELECT company, sum(n_complaints)::BIGINT AS n_complaints FROM companies
+GROUP BY company HAVING sum(n_complaints) >= {VOLUME_FLOOR}""",
     "issue_floor": f"""WITH {CASES} SELECT product_short, issue, count(*) AS complaints, count(*) FILTER (monetary) AS monetary_relief,
   {pct('count(*) FILTER (monetary)', 'count(*) FILTER (resolved)')} AS relief_rate
 FROM cases WHERE in_window GROUP BY product_short, issue HAVING count(*) >= {FLOOR}""",
@@ -589,7 +589,7 @@ FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type, ts::DATE)""
     "centred_average": f"""WITH {OVERALL} SELECT year_month, complaints, CASE WHEN count(*) OVER w = 3
   THEN round((avg(complaints) OVER w)::DOUBLE::DECIMAL(38, 12), 4)::DOUBLE END AS centred_avg FROM overall
 WINDOW w AS (ORDER BY year_month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
-    "pct_rank": f"""WITH c AS (SELECT s_name AS company, count(*) AS n_complaints FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+    "pct_rank": f"""WITH {NAMED}, c AS (SELECT company, sum(n_complaints)::BIGINT AS n_complaints FROM companies GROUP BY company),
 r AS (SELECT *, (rank() OVER (ORDER BY n_complaints) + (count(*) OVER (PARTITION BY n_complaints) - 1) / 2.0::DOUBLE)
   / count(*) OVER () AS p FROM c)
 SELECT company, n_complaints, {rnd('100.0::DOUBLE * p', 2)} AS pctile, {rnd('100.0::DOUBLE * (1.0::DOUBLE - p)', 2)} AS pctile_reversed FROM r""",
@@ -599,8 +599,8 @@ SELECT company, n_complaints, {rnd('100.0::DOUBLE * p', 2)} AS pctile, {rnd('100
   CASE WHEN complaints_per_1b_assets IS NOT NULL
     THEN rank() OVER (PARTITION BY complaints_per_1b_assets IS NULL ORDER BY complaints_per_1b_assets DESC) END AS size_rank
   FROM enriched WHERE matched AND {_SCORED}) SELECT *, volume_rank - size_rank AS gap FROM m""",
-    "top_k_global": """SELECT s_name AS company, count(*) AS n_complaints FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-GROUP BY s_name ORDER BY count(*) DESC, s_name LIMIT 15""",
+    "top_k_global": f"""WITH {NAMED} SELECT company, sum(n_complaints)::BIGINT AS n_complaints FROM companies
+GROUP BY company ORDER BY 2 DESC, company LIMIT 15""",
     "peak_period": f"""WITH {OVERALL} SELECT year_month AS peak_period, complaints AS peak_value FROM overall
 ORDER BY complaints DESC, year_month LIMIT 1""",
     "window_change": f"""WITH {OVERALL}, e AS (SELECT arg_min(complaints, year_month) AS first_value,

@@ -542,7 +542,7 @@ def centred_average(spark, sf_dir):
 
 @query
 def pct_rank(spark, sf_dir):
-    """Average-tie percentile of every supplier's order line count and balance."""
+    """Average-tie percentile of every company's number of complaints."""
     counts = settle(enrichment.company_counts(t.facts(spark, sf_dir, "company")))
     placed, at = ranking.with_positions(counts, "company", {"n": F.col("n_complaints")})
     return placed.select(
