@@ -140,11 +140,6 @@ def with_fingerprint(documents: DataFrame, words: int = WORDS, column: str = "fp
     return documents.withColumn(column, of(F.col("text")))
 
 
-def radius_of(similarity: float) -> int:
-    """Bits in which fingerprints of that shingle similarity (Jaccard) are expected to differ."""
-    return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def candidate_radius(similarity: float, missed: float = MISSED) -> int:
     """Bits beyond which no more than that share of the pairs of the similarity differ, if bits differ independently."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
