@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, simhash, substrings, urls, warc
+from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, sharding, simhash, substrings, urls, warc
 from plaintide.llm.common import table
 
 QUERIES: dict = {}
@@ -86,6 +86,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards(table(spark, sf_dir, "documents"))
+    law = [F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    return rows.select("doc_id", "size", "text_crc32", *law)
+
+
 ORACLES["op3_mixing"] = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
