@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, sharding, simhash, substrings, urls, warc
+from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, sharding, simhash, substrings, urls, vectors, warc
 from plaintide.llm.common import table
 
 QUERIES: dict = {}
@@ -86,6 +86,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vectors.compressed(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vectors.digest(books)).alias("codebooks_sha256"))
+
+
 @query
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shards(table(spark, sf_dir, "documents"))
@@ -194,3 +200,43 @@ WITH split AS (
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM split LEFT JOIN summed USING (rid)"""
+
+
+def _vector_codes() -> str:
+    """The rounds written out: every part is compared with every entry of its codebook."""
+    steps = []
+    for k in range(vectors.ROUNDS + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT rid, p, CAST(min(key) AS BIGINT) % 256 AS e, CAST(min(key) AS BIGINT) // 256 AS d FROM (
+    SELECT rid, a.p, (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * 256 + e AS key
+    FROM cut a JOIN book{k} b USING (p)) GROUP BY rid, p)""")
+        if k < vectors.ROUNDS:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(moved, c) AS c FROM book{k} LEFT JOIN (
+    SELECT p, e, list(floor(total / n) ORDER BY pos) AS moved FROM (
+      SELECT p, e, pos, sum(v) AS total, count(*) AS n FROM (
+        SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS pos FROM cut JOIN near{k} USING (rid, p)) GROUP BY p, e, pos)
+    GROUP BY p, e) USING (p, e))""")
+    last = vectors.ROUNDS
+    return f"""
+WITH whole AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT rid, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM whole, range(4) t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, rid - 1 AS e, x AS c FROM cut WHERE rid <= 256
+), {", ".join(steps)}, coded AS (
+  SELECT rid, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{last} GROUP BY rid
+), digested AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, pos)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS pos FROM book{last})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM whole JOIN coded USING (rid), digested"""
+
+
+ORACLES["op11_vector_codes"] = _vector_codes()
