@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import decontaminate, fingerprints, language, lines, mixing, pii, sharding, simhash, substrings, urls, vectors, warc
+from plaintide.llm import alignment, decontaminate, fingerprints, language, lines, mixing, pii, sharding, simhash, substrings, urls, vectors, warc
 from plaintide.llm.common import table
 
 QUERIES: dict = {}
@@ -92,6 +92,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", F.lit(vectors.digest(books)).alias("codebooks_sha256"))
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shards(table(spark, sf_dir, "documents"))
