@@ -114,3 +114,15 @@ def test_pieces_are_equal_and_miss_nothing():
             assert (np.diff(split) >= 0).all() and (np.diff(steps - split) >= 0).all() and split[-1] == len(a)
             found = [link for parts in mergepath.links(a, b, piece) for link in zip(*parts)]
             assert found == expected
+
+
+def test_both_ways_to_the_ids_of_a_agree():
+    tokens = alignment.Tokens()
+    rng = np.random.default_rng(12)
+    letters = [chr(c) for c in (*range(1, 0x250), *range(0x2010, 0x2028))] + list(" \n\t'dst 09") * 40
+    words = ["don't", "we'll", "I'VE", "  ", "\r\n", "3.14", "x" * 200, "naïve", "'s", "…", " ", "\u0085", "<|endoftext|>"]
+    for _ in range(400):
+        parts = [rng.choice(words) if rng.random() < 0.3 else "".join(rng.choice(letters, 7)) for _ in range(20)]
+        text = " " + "".join(parts)
+        assert not alignment._UNSURE.search(text)
+        assert tokens.fast.encode_ordinary(text) == tokens.a.encode(text, add_special_tokens=False).ids
