@@ -201,12 +201,11 @@ _DECLARED = (
     " WHEN upper(company) LIKE '%CREDIT UNION%' OR upper(company) LIKE '% FCU%' THEN 'ncua_credit_union' END"
 )
 
-# Longest common subsequence: one row of the usual table per letter of the left text.
-_LCS = """list_max(list_reduce(
-  list_transform(string_split(ra, ''), lambda ch: [ord(ch)]),
-  lambda acc, x: list_transform(range(1, length(rb) + 1), lambda j: list_max(list_transform(range(1, j + 1),
-    lambda i: greatest(acc[i], CASE WHEN ord(rb[i]) = x[1] THEN 1 + CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END ELSE 0 END)))),
-  list_transform(range(1, length(rb) + 1), lambda j: 0)))"""
+# Longest common subsequence: the letters of the right text sweep a number that has one bit for each place of the left one.
+_LCS = """la - bit_count(list_reduce(
+  list_prepend((1::HUGEINT << la) - 1, list_transform(string_split(rb, ''), lambda c: list_sum(list_transform(
+    range(la), lambda i: CASE WHEN ra[(i + 1)::INT] = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT)),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << la) - 1)))"""
 
 MATCHES = f"""{CANDIDATES}, left_side AS (
 SELECT company, n_complaints, norm, {_sig('norm')} AS sig, {_DECLARED} AS declared
@@ -217,16 +216,15 @@ SELECT l.*, CASE WHEN declared IS NOT NULL THEN declared WHEN upper(company) = '
   CASE WHEN declared IS NOT NULL THEN NULL WHEN upper(company) = 'CITIBANK, N.A.' AND o.group_key IS NOT NULL
     THEN o.group_key ELSE r.group_key END AS group_key
 FROM left_side l LEFT JOIN right_side r ON r.cand = l.norm
-LEFT JOIN (SELECT group_key FROM charters WHERE name = 'Citibank, National Association') o ON true), frequency AS (
-SELECT DISTINCT unnest(cand_sig) AS token FROM right_side), pairs AS (
+LEFT JOIN (SELECT group_key FROM charters WHERE name = 'Citibank, National Association') o ON true), pairs AS (
 SELECT d.company, d.norm, d.sig, r.cand, r.cand_sig, r.group_key, len(list_intersect(d.sig, r.cand_sig)) AS shared,
   len(list_distinct(list_concat(d.sig, r.cand_sig))) AS either
-FROM decided d JOIN right_side r ON list_has_any(d.sig, r.cand_sig) WHERE d.method IS NULL), near AS (
-SELECT *, shared::DOUBLE / either AS jaccard FROM pairs p WHERE 2 * shared >= either), name_parts AS (
-SELECT *, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS common,
+FROM decided d, right_side r WHERE d.method IS NULL AND d.norm <> ''), name_parts AS (
+SELECT *, coalesce(shared::DOUBLE / nullif(either, 0), 0) AS jaccard,
+  array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS common,
   array_to_string(list_sort(list_distinct(list_filter(a, lambda w: NOT list_contains(b, w)))), ' ') AS ra,
   array_to_string(list_sort(list_distinct(list_filter(b, lambda w: NOT list_contains(a, w)))), ' ') AS rb
-FROM (SELECT *, string_split(norm, ' ') AS a, string_split(cand, ' ') AS b FROM near)), name_lengths AS (
+FROM (SELECT *, string_split(norm, ' ') AS a, string_split(cand, ' ') AS b FROM pairs)), name_lengths AS (
 SELECT *, length(common) AS lc, CASE WHEN common = '' THEN 0 ELSE 1 END AS gap, length(ra) AS la, length(rb) AS lb,
   CASE WHEN ra <> '' AND rb <> '' THEN {_LCS} ELSE 0 END AS lcs FROM name_parts), name_scores AS (
 SELECT *, CASE WHEN lc > 0 AND (la = 0 OR lb = 0) THEN 100.0::DOUBLE ELSE greatest(
@@ -234,15 +232,14 @@ SELECT *, CASE WHEN lc > 0 AND (la = 0 OR lb = 0) THEN 100.0::DOUBLE ELSE greate
   CASE WHEN lc > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + la) / (2 * lc + gap + la) ELSE 0 END,
   CASE WHEN lc > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + lb) / (2 * lc + gap + lb) ELSE 0 END) END AS score
 FROM name_lengths), best_pairs AS (
-SELECT * FROM name_scores QUALIFY row_number() OVER (PARTITION BY company ORDER BY jaccard DESC, score DESC, cand) = 1), verdicts AS (
-SELECT d.company, d.n_complaints, CASE WHEN d.method IS NOT NULL THEN d.method
-    WHEN b.company IS NULL AND EXISTS (SELECT 1 FROM frequency f WHERE list_contains(d.sig, f.token))
-      THEN 'no_match'
-    WHEN b.company IS NULL THEN 'no_shared_token'
+SELECT * FROM name_scores WHERE score >= 75 OR (len(sig) >= 2 AND sig = cand_sig)
+QUALIFY row_number() OVER (PARTITION BY company ORDER BY jaccard DESC, score DESC, cand) = 1), verdicts AS (
+SELECT d.company, d.n_complaints, CASE WHEN d.method IS NOT NULL THEN d.method WHEN d.norm = '' THEN 'no_candidate'
+    WHEN b.company IS NULL THEN 'no_match'
     WHEN len(d.sig) >= 2 AND b.sig = b.cand_sig THEN 'token_set_identical'
     WHEN score >= 92 AND shared >= 2 AND jaccard >= 0.6 THEN 'fuzzy_auto'
-    WHEN score >= 92 THEN 'rejected_weak_token_overlap' WHEN score >= 75 THEN 'below_threshold'
-    ELSE 'no_match' END AS method, d.group_key AS known, b.group_key AS found, b.score, d.method AS early
+    WHEN score >= 92 AND shared > 0 THEN 'rejected_weak_token_overlap' WHEN score >= 92 THEN 'rejected_no_shared_token'
+    ELSE 'below_threshold' END AS method, d.group_key AS known, b.group_key AS found, b.score, d.method AS early
 FROM decided d LEFT JOIN best_pairs b ON b.company = d.company), matches AS (
 SELECT company, n_complaints, method IN ('manual_override', 'exact_normalised', 'token_set_identical', 'fuzzy_auto') AS matched,
   v.group_key, group_name AS fdic_name, round((total_k::DOUBLE / 1e6)::DOUBLE::DECIMAL(38, 12), 3)::DOUBLE AS total_assets_b, n_charters,
@@ -657,6 +654,8 @@ SELECT group_key, g.group_name, total_assets_k, n_charters, top.name AS largest_
     "match_rate": f"""WITH {MATCHES}, s AS (SELECT count(*) AS companies, count(*) FILTER (matched) AS matched_companies,
   sum(n_complaints)::BIGINT AS complaints, coalesce(sum(n_complaints) FILTER (matched), 0)::BIGINT AS matched_complaints FROM matches)
 SELECT *, {pct('matched_companies', 'companies', 1)} AS pct_companies, {pct('matched_complaints', 'complaints', 1)} AS pct_volume FROM s""",
+    "near_misses": f"""WITH {MATCHES} SELECT company, cand AS candidate, shared, {rnd('jaccard', 6)} AS jaccard, {rnd('score', 1)} AS score
+FROM name_scores WHERE score >= 75""",
     "unmatched_top": f"""WITH {MATCHES} SELECT company, n_complaints, match_method FROM matches WHERE NOT matched
 ORDER BY n_complaints DESC, company LIMIT 20""",
     "review_band": f"""WITH {MATCHES} SELECT company, n_complaints, match_method, match_score FROM matches WHERE match_method = 'below_threshold'""",

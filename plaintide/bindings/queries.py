@@ -50,12 +50,17 @@ def _institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.institutions(spark, sf_dir).where("ACTIVE = 1")
 
 
-def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
     facts = t.facts(
         spark, sf_dir, "company", "in_trend_window", "days_to_company", "is_resolved",
-        "got_monetary_relief", "is_untimely",
+        "got_monetary_relief", "is_untimely", *by,
     )
-    return enrichment.enrich(facts, t.named_institutions(spark, sf_dir))
+    return enrichment.outcome_cells(facts, *by)
+
+
+def _enriched(spark: SparkSession, sf_dir: str, near_misses: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    totals = enrichment.totals_of(_cells(spark, sf_dir) if cells is None else cells)
+    return enrichment.enrich_totals(totals, t.named_institutions(spark, sf_dir), near_misses=near_misses)
 
 
 _BASE_COLUMNS = [
@@ -66,16 +71,19 @@ _BASE_COLUMNS = [
 ]
 
 
-def _rates(spark: SparkSession, sf_dir: str, percentiles: bool = True) -> tuple[DataFrame, DataFrame]:
+def _rates(
+    spark: SparkSession, sf_dir: str, percentiles: bool = True, near_misses: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Company rates and the enriched table, both from the same cells."""
     facts = t.facts(spark, sf_dir, *_BASE_COLUMNS)
     cells = enrichment.company_cells(facts)
-    enriched = settle(enrichment.enrich_totals(enrichment.totals_of(cells), t.named_institutions(spark, sf_dir)), "enriched")
+    totals, institutions = enrichment.totals_of(cells), t.named_institutions(spark, sf_dir)
+    enriched = settle(enrichment.enrich_totals(totals, institutions, near_misses=near_misses), "enriched")
     return enrichment.company_rates(enrichment.company_base(facts, cells, percentiles), enriched), enriched
 
 
-def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.risk_profile(_rates(spark, sf_dir)[0], floor=t.VOLUME_FLOOR)
+def _profile(spark: SparkSession, sf_dir: str, near_misses: bool = False) -> DataFrame:
+    return scoring.risk_profile(_rates(spark, sf_dir, near_misses=near_misses)[0], floor=t.VOLUME_FLOOR)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -654,8 +662,8 @@ def spike_categories(spark, sf_dir):
 
 
 def _sensitivity(spark, sf_dir):
-    facts = t.facts(spark, sf_dir, "company", "year_month", "in_trend_window")
-    return statistics.sensitivity(facts, _enriched(spark, sf_dir), EXCLUDED_MONTH, t.VOLUME_FLOOR)
+    cells = _cells(spark, sf_dir, "year_month")
+    return statistics.sensitivity(cells, _enriched(spark, sf_dir, cells=cells), EXCLUDED_MONTH, t.VOLUME_FLOOR)
 
 
 @query
@@ -717,9 +725,15 @@ def review_band(spark, sf_dir):
     return entities.unmatched_by_volume(_matches(spark, sf_dir), ["below_threshold"]).drop("match_note")
 
 
+@query
+def near_misses(spark, sf_dir):
+    """Every institution name a company without an exact match resembles, whatever their words."""
+    return entities.near_misses(t.named_companies(spark, sf_dir), t.named_institutions(spark, sf_dir))
+
+
 @query
 def company_enriched(spark, sf_dir):
-    return _enriched(spark, sf_dir)
+    return _enriched(spark, sf_dir, near_misses=True)
 
 
 @query
@@ -775,7 +789,7 @@ def risk_tier(spark, sf_dir):
 @query
 def risk_profile(spark, sf_dir):
     """The forty-column company profile."""
-    return _profile(spark, sf_dir)
+    return _profile(spark, sf_dir, near_misses=True)
 
 
 @query
@@ -827,10 +841,8 @@ def q03_resolution(spark, sf_dir):
 
 @query
 def q04_size_adjusted(spark, sf_dir):
-    facts = t.facts(
-        spark, sf_dir, "company", "is_resolved", "got_monetary_relief", "is_untimely", "in_trend_window"
-    )
-    return analyses.size_adjusted(facts, _enriched(spark, sf_dir), floor=t.VOLUME_FLOOR)
+    cells = _cells(spark, sf_dir)
+    return analyses.size_adjusted(cells, _enriched(spark, sf_dir, cells=cells), floor=t.VOLUME_FLOOR)
 
 
 @query

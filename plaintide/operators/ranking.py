@@ -1,16 +1,18 @@
 """Exact global ranks whose cost is bounded in every task.
 
 A window without PARTITION BY moves its whole input into one task. The operators here
-give the same numbers at any size from ranges of an order:
+give the same numbers at any size from stretches of the order of the values:
 
 * ``value_positions`` ranks *distinct values*. Rows collapse into a ``value -> ties``
-  histogram (with map-side combine, so one value held by most rows costs nothing), which
-  is cut into ranges of equal numbers of values. Each range is ordered on its own, and
-  only the list of ranges, one per task, sees a further window.
-* ``global_row_number`` numbers rows under a unique order the same way.
-
-The number of a row's range is written down with the row, so that a repeated task
-sees the same ranges.
+  histogram (with map-side combine, so one value held by most rows costs nothing). A value
+  falls into a stretch that follows from the value alone; each stretch is ordered on its
+  own, and only the list of stretches that hold values, some 700,000 at the most, sees a
+  further window.
+* ``global_row_number`` numbers rows with a unique name: by value, and rows that tie by the
+  first letters of their names, then by name.
+
+A stretch is a property of the value, so a repeated task sees the same stretches, and
+nothing has to be sampled or written.
 """
 
 from __future__ import annotations
@@ -20,51 +22,47 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.session import settle
+#: Stretches for a factor of e in the distance from -1 or 1: values in one differ by a thousandth.
+STRETCHES = 1024
+#: Letters of a name that stretches of tied rows have in common.
+_LETTERS = 4
 
 
-def _in_ranges(df: DataFrame, order: list) -> DataFrame:
-    """The rows in ranges of the order, written with the number of their range as ``_part``."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(tasks, *order).withColumn("_part", F.spark_partition_id())
-    return settle(ranged, "ranges")
+def _stretch(value: Column) -> Column:
+    """Number of the stretch of a double; never falls as the value grows. NaN comes last, as in an order."""
+    size = F.floor(F.least(F.log1p(F.abs(value)), F.lit(710.0)) * STRETCHES).cast("long")
+    return F.when(F.isnan(value), F.lit(1 << 40)).when(value >= 0, size).otherwise(-size - 1)
 
 
-def value_positions(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+def value_positions(df: DataFrame, value: str, by: list[str] | None = None, sums: bool = False) -> DataFrame:
     """One row per distinct non-null ``value`` (a double) in each ``by`` group.
 
     Adds ``ties`` (rows holding the value), ``rows_before``, ``values_before``
-    and ``rows_total``, all counted in ascending order of the value.
+    and ``rows_total``, all counted in ascending order of the value; with ``sums`` also
+    ``sum_before`` and ``sum_total``, the values of those rows added up.
     """
     by = by or []
     histogram = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    histogram = _in_ranges(histogram, [*by, value])
+    histogram = histogram.withColumns({"_part": _stretch(F.col(value)), "_one": F.lit(1), "_sum": F.col(value) * F.col("ties")})
+    counted = {"rows": "ties", "values": "_one"} | ({"sum": "_sum"} if sums else {})
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        histogram.groupBy(*by, "_part")
-        .agg(F.sum("ties").alias("_rows"), F.count("*").alias("_values"))
-        .select(
-            *by,
-            "_part",
-            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_base"),
-            F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_values_base"),
-            F.sum("_rows").over(Window.partitionBy(*by)).alias("rows_total"),
-        )
+    stretches = histogram.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{name}") for name, c in counted.items()])
+    stretches = stretches.select(
+        *by,
+        "_part",
+        *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}_base") for name in counted],
+        *[F.sum(f"_{name}").over(Window.partitionBy(*by)).alias(f"{name}_total") for name in counted],
     )
-    inside = Window.partitionBy(*by, "_part").orderBy(value)
-    inside_before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        histogram.withColumn("_rows_in", F.coalesce(F.sum("ties").over(inside_before), F.lit(0)))
-        .withColumn("_values_in", F.row_number().over(inside) - 1)
-        .join(ranges, [*by, "_part"])
-        .select(
-            *by,
-            value,
-            "ties",
-            (F.col("_rows_base") + F.col("_rows_in")).alias("rows_before"),
-            (F.col("_values_base") + F.col("_values_in")).cast("long").alias("values_before"),
-            "rows_total",
-        )
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"{name}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in counted.items()}
+    rows = histogram.withColumns(before).join(stretches, [*by, "_part"])
+    return rows.select(
+        *by,
+        value,
+        "ties",
+        *[(F.col(f"_{name}_base") + F.col(f"{name}_before")).alias(f"{name}_before") for name in counted],
+        "rows_total",
+        *(["sum_total"] if sums else []),
     )
 
 
@@ -140,58 +138,24 @@ def with_positions(df: DataFrame, key: str, measures: dict[str, Column]) -> tupl
     return df.join(wide, key, "left"), positions
 
 
-def global_row_number(df: DataFrame, order: list[Column], total: str | None = None) -> DataFrame:
-    """The rows with ``row_number`` and ``rows_total``.
+def global_row_number(df: DataFrame, value: Column, name: str) -> tuple[DataFrame, Position]:
+    """The rows of a settled relation with ``row_number``, by ``value`` ascending, then by name, and the position of the value.
 
-    ``order`` must be unique. With ``total`` also adds ``running_total``, the
-    cumulative sum of that column in order, and ``grand_total``.
+    Also adds ``running_sum``, the values added up in that order, and ``sum_total``. ``value`` is never
+    null and ``name`` unique. Tied rows are numbered in stretches of names with the same first letters.
     """
-    ordered = _in_ranges(df, order)
-    measure = F.col(total) if total else F.lit(0)
-    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ordered.groupBy("_part")
-        .agg(F.count("*").alias("_n"), F.sum(measure).alias("_t"))
-        .select(
-            "_part",
-            F.coalesce(F.sum("_n").over(parts), F.lit(0)).alias("_n_base"),
-            F.coalesce(F.sum("_t").over(parts), F.lit(0)).alias("_t_base"),
-            F.sum("_n").over(Window.partitionBy()).alias("rows_total"),
-            F.sum("_t").over(Window.partitionBy()).alias("grand_total"),
-        )
+    valued = df.withColumns({"_value": value.cast("double"), "_letters": F.substring(name, 1, _LETTERS)})
+    placed = valued.join(value_positions(valued, "_value", sums=True), "_value")
+    earlier = Window.partitionBy("_value").orderBy("_letters").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = valued.groupBy("_value", "_letters").agg(F.count("*").alias("_n"))
+    offsets = offsets.select("_value", "_letters", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    local = F.row_number().over(Window.partitionBy("_value", "_letters").orderBy(name))
+    among = F.col("_base") + F.col("_local")
+    numbered = placed.withColumn("_local", local).join(offsets, ["_value", "_letters"])
+    numbered = numbered.withColumns(
+        {"row_number": (F.col("rows_before") + among).cast("long"), "running_sum": F.col("sum_before") + F.col("_value") * among}
     )
-    inside = Window.partitionBy("_part").orderBy(*order)
-    numbered = ordered.withColumn("_local", F.row_number().over(inside))
-    if total:
-        running = F.sum(measure).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        numbered = numbered.withColumn("_running", running)
-    numbered = numbered.join(offsets, "_part").withColumn(
-        "row_number", (F.col("_local") + F.col("_n_base")).cast("long")
-    )
-    if total:
-        numbered = numbered.withColumn("running_total", F.col("_running") + F.col("_t_base"))
-    else:
-        numbered = numbered.drop("grand_total")
-    return numbered.drop("_part", "_local", "_running", "_n_base", "_t_base")
-
-
-def quantiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    """One row: exact interpolated quantiles, read off the two neighbours of each.
-
-    ``points`` maps names to shares. No task holds more than a range of the distinct values.
-    """
-    at = value_positions(df.select(F.col(value).cast("double").alias(value)), value)
-
-    def neighbour(place: Column) -> Column:
-        holds = (F.col("rows_before") <= place) & (place < F.col("rows_before") + F.col("ties"))
-        return F.max(F.when(holds, F.col(value)))
-
-    columns = []
-    for name, share in points.items():
-        place = F.lit(share) * (F.col("rows_total") - 1)
-        low, high = neighbour(F.floor(place)), neighbour(F.ceil(place))
-        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return at.agg(*columns)
+    return numbered.drop("_value", "_letters", "_base", "_local", "sum_before"), Position(*[F.col(f) for f in _FIELDS])
 
 
 def ntile(tiles: int, row_number: Column, rows_total: Column) -> Column:

@@ -47,16 +47,14 @@ def company_volume(facts: DataFrame) -> DataFrame:
 
 def _volume_line(facts: DataFrame) -> DataFrame:
     volume = settle(company_volume(facts))
-    order = [F.desc("complaints"), F.asc_nulls_last("company")]
-    line = global_row_number(volume, order, total="complaints")
-    placed, at = with_positions(line, "company", {"volume": -F.col("complaints")})
-    return placed.withColumns(
+    line, at = global_row_number(volume, -F.col("complaints"), "company")
+    return line.withColumns(
         {
-            "volume_rank": at["volume"].rank(),
-            "volume_dense_rank": at["volume"].dense_rank(),
+            "volume_rank": at.rank(),
+            "volume_dense_rank": at.dense_rank(),
             "volume_quartile": ntile(4, F.col("row_number"), F.col("rows_total")),
-            "pct_of_all_complaints": percent_of(F.col("complaints"), F.col("grand_total"), 4),
-            "cumulative_pct": percent_of(F.col("running_total"), F.col("grand_total"), 2),
+            "pct_of_all_complaints": percent_of(F.col("complaints"), -F.col("sum_total"), 4),
+            "cumulative_pct": percent_of(-F.col("running_sum"), -F.col("sum_total"), 2),
         }
     )
 
@@ -214,20 +212,21 @@ def resolution_rates(
     ).orderBy(F.desc("untimely_rate"), "monetary_relief_rate", "company")
 
 
-def size_adjusted(
-    facts: DataFrame, enriched: DataFrame, floor: int = 500
-) -> DataFrame:
-    """Q4: complaints per $1B of assets against raw volume, matched companies only."""
+def size_adjusted(cells: DataFrame, enriched: DataFrame, floor: int = 500) -> DataFrame:
+    """Q4: complaints per $1B of assets against raw volume, matched companies only.
+
+    ``cells`` are those of ``enrichment.outcome_cells``, from which ``enriched`` comes too, so the facts are read once.
+    """
     peers = enriched.where(
         F.col("matched") & (F.col("total_assets_b") > 0) & (F.col("total_complaints") >= floor)
     ).select("company", "fdic_name", "n_charters", "match_method", "total_complaints", "total_assets_b")
     outcomes = (
-        facts.where("in_trend_window")
+        cells.where("in_trend_window")
         .groupBy("company")
         .agg(
-            *counted(
-                resolved="is_resolved", monetary_relief="got_monetary_relief", untimely="is_untimely"
-            )
+            F.sum("resolved_complaints").alias("resolved"),
+            F.sum("relief_n").alias("monetary_relief"),
+            F.sum("late_n").alias("untimely"),
         )
     )
     combined = settle(

@@ -6,12 +6,11 @@ part of the meaning, since fills happen before completeness is counted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plaintide.functions import dates, geography, names, outcomes, taxonomy
 from plaintide.functions.numbers import flag, rounded
-from plaintide.operators.ranking import quantiles
 from plaintide.schemas import CLEAN_COLUMNS, RAW_COLUMNS
 from plaintide.session import settle
 
@@ -159,17 +158,17 @@ def drop_double_submissions(
 ) -> DataFrame:
     """One row per business key: the most complete, then the lowest id.
 
-    Few rows repeat a key, so the rows are written once, in place, with a hash of their key; the
-    hashes that occur more than once are found from that column alone. Only rows with such
-    a hash are shuffled and decided, on all columns of the key; the others stay as they are.
-    The rank filter is applied in the map tasks already, so a key shared by a large part
-    of the rows sends one row per task. Null key values are equal to each other.
+    Few rows repeat a key, so a first scan of the key columns alone finds the hashes of keys that
+    occur more than once; only those are written. Rows with such a hash are shuffled and
+    decided, on all columns of the key; the others stay where they are. The rank filter is applied
+    in the map tasks already, so a key shared by a large part of the rows sends one row per
+    task. Null key values are equal to each other. ``df`` must give the same rows each time.
     """
     key = key or BUSINESS_KEY
     best = Window.partitionBy("_hash", *key).orderBy(
         completeness(df.columns).desc(), *[F.asc_nulls_last(c) for c in tie_break or ["complaint_id"]]
     )
-    hashed = settle(df.withColumn("_hash", F.xxhash64(*key)), "prepared")
+    hashed = df.withColumn("_hash", F.xxhash64(*key))
     repeated = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
     repeated = settle(repeated, "repeated-keys")
     alone = hashed.join(repeated, "_hash", "left_anti")
@@ -192,21 +191,20 @@ def clean(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
     return drop_double_submissions(prepare(raw.select(*RAW_COLUMNS), trend_end))
 
 
-def clean_metrics(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
-    """Counters of the cleaning stage before the dedupe, as (metric, value)."""
-    typed = fill_and_flag(classify_geography(repair_taxonomy(type_dates(raw))), trend_end)
+def metric_columns() -> dict[str, Column]:
+    """Counters of the cleaning stage over typed, repaired and flagged rows, one aggregate each."""
     lag = F.col("days_to_company")
-    lags = settle(quantiles(typed, "days_to_company", {"median": 0.5, "p95": 0.95}), "lags")
     legacy_card = F.col("product_raw") == taxonomy.LEGACY_CARD_LABEL
     target = taxonomy.split_target(F.col("product_raw"), F.col("sub_product"))
-    metrics = {
+    # Lags have three decimals: the percentile map of a task has at most a thousand entries a day of range.
+    lags = F.percentile(lag, F.array(F.lit(0.5), F.lit(0.95)))
+    return {
         "rows": F.count("*"),
         "unparsed_date_received": F.count_if(F.col("date_received_ts").isNull()),
         "sent_before_received": F.count_if(lag < 0),
         "lag_over_365_days": F.count_if("dq_long_routing_lag"),
-        # Read off the ranked lag values; a further scan of two columns.
-        "median_lag": F.max(rounded(lags.select("median").scalar(), 2)),
-        "p95_lag": F.max(rounded(lags.select("p95").scalar(), 2)),
+        "median_lag": rounded(F.get(lags, F.lit(0)), 2),
+        "p95_lag": rounded(F.get(lags, F.lit(1)), 2),
         "legacy_card_rows": F.count_if(legacy_card),
         "legacy_card_to_credit": F.count_if(target == "Credit card"),
         "legacy_card_to_prepaid": F.count_if(target == "Prepaid card"),
@@ -222,8 +220,32 @@ def clean_metrics(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
         "resolved": F.count_if("is_resolved"),
         "partial_period": F.count_if("dq_partial_period"),
     }
-    one = typed.agg(*[m.cast("double").alias(name) for name, m in metrics.items()])
-    rows = F.array(
-        *[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics]
-    )
-    return one.select(F.inline(rows))
+
+
+def _as_rows(one: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of a one-row relation as (metric, value)."""
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
+
+
+def clean_metrics(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
+    """Counters of the cleaning stage before the dedupe, as (metric, value), in one scan."""
+    typed = fill_and_flag(classify_geography(repair_taxonomy(type_dates(raw))), trend_end)
+    metrics = metric_columns()
+    return _as_rows(typed.agg(*[m.cast("double").alias(name) for name, m in metrics.items()]), list(metrics))
+
+
+def land_clean(raw: DataFrame, path: str, trend_end: str = TREND_END) -> tuple[DataFrame, DataFrame]:
+    """Write the prepared facts below ``path`` and return them read back, and the counters of that same pass.
+
+    The counters are observed while the rows are written; Spark takes those of the successful attempt of each
+    task alone, so a retried task counts once. Double submissions are then found and decided on the written
+    columns, and the raw extract is read by no further job.
+    """
+    spark = raw.sparkSession
+    metrics = metric_columns()
+    seen = Observation("cleaning")
+    prepared = prepare(raw.select(*RAW_COLUMNS), trend_end)
+    prepared.observe(seen, *[m.cast("double").alias(name) for name, m in metrics.items()]).write.mode("overwrite").parquet(path)
+    values = seen.get
+    one = spark.range(1).select(*[F.lit(values[name]).cast("double").alias(name) for name in metrics])
+    return drop_double_submissions(spark.read.schema(prepared.schema).parquet(path)), _as_rows(one, list(metrics))

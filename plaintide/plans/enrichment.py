@@ -26,26 +26,35 @@ def company_counts(facts: DataFrame) -> DataFrame:
     )
 
 
-def company_totals(facts: DataFrame) -> DataFrame:
-    """Counts and rates per company over the full period.
+def outcome_cells(facts: DataFrame, *by: str) -> DataFrame:
+    """Counts per (company, inside the window) and further columns, written once.
 
-    The mean lag includes long-lag rows here; rates divide by resolved.
+    Outcomes are counted once among resolved complaints (``monetary_relief_n``, ``untimely_n``) and once
+    among all (``relief_n``, ``late_n``).
     """
     resolved = F.col("is_resolved")
-    totals = (
+    cells = (
         facts.where(F.col("company").isNotNull())
-        .groupBy("company")
+        .groupBy("company", "in_trend_window", *by)
         .agg(
             F.count("*").alias("total_complaints"),
-            *counted(complaints_in_trend_window="in_trend_window"),
-            F.sum("days_to_company").alias("_lag"),
-            F.count("days_to_company").alias("_lags"),
-            F.count_if(resolved).alias("_resolved"),
-            F.count_if(resolved & F.col("got_monetary_relief")).alias("_relief"),
-            F.count_if(resolved & F.col("is_untimely")).alias("_untimely"),
+            F.sum("days_to_company").alias("all_lag_sum"),
+            F.count("days_to_company").alias("all_lag_n"),
+            F.count_if(resolved).alias("resolved_complaints"),
+            F.count_if(resolved & F.col("got_monetary_relief")).alias("monetary_relief_n"),
+            F.count_if(resolved & F.col("is_untimely")).alias("untimely_n"),
+            *counted(relief_n="got_monetary_relief", late_n="is_untimely"),
         )
     )
-    return _finished_totals(totals)
+    return settle(cells, "outcome-cells")
+
+
+def company_totals(facts: DataFrame) -> DataFrame:
+    """Counts and rates per company over the full period.
+
+    The mean lag includes long-lag rows here; rates divide by resolved.
+    """
+    return totals_of(outcome_cells(facts))
 
 
 def _finished_totals(totals: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def _finished_totals(totals: DataFrame) -> DataFrame:
 
 
 def totals_of(cells: DataFrame) -> DataFrame:
-    """The totals, from the cells of ``company_cells``."""
+    """The totals, from the cells of ``company_cells`` or ``outcome_cells``."""
     inside = F.when(F.col("in_trend_window"), F.col("total_complaints"))
     totals = cells.groupBy("company").agg(
         F.sum("total_complaints").alias("total_complaints"),
@@ -101,16 +110,16 @@ def company_enriched(totals: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def enrich(facts: DataFrame, institutions: DataFrame, fuzzy: bool = True) -> DataFrame:
+def enrich(facts: DataFrame, institutions: DataFrame, fuzzy: bool = True, near_misses: bool = True) -> DataFrame:
     """Totals, match and enriched table with one scan of the facts."""
-    return enrich_totals(company_totals(facts), institutions, fuzzy)
+    return enrich_totals(company_totals(facts), institutions, fuzzy, near_misses)
 
 
-def enrich_totals(totals: DataFrame, institutions: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Match and enriched table of company totals."""
+def enrich_totals(totals: DataFrame, institutions: DataFrame, fuzzy: bool = True, near_misses: bool = True) -> DataFrame:
+    """Match and enriched table of company totals; for ``near_misses`` see ``entities.resolve``."""
     totals = settle(totals, "totals")
     companies = totals.select("company", F.col("total_complaints").alias("n_complaints"))
-    return company_enriched(totals, resolve(companies, institutions, fuzzy=fuzzy))
+    return company_enriched(totals, resolve(companies, institutions, fuzzy=fuzzy, near_misses=near_misses))
 
 
 _OUTCOMES = {

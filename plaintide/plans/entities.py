@@ -6,6 +6,11 @@ token overlap (Jaccard) of 0.6 or more. The first kind is an equi-join. The
 second is a set-similarity join: tokens are ordered from rare to common, and two
 sets with that overlap must share a token within a short prefix of that order,
 so words that most names carry are hardly ever join keys.
+
+The review band is complete too: every pair whose character score reaches the review
+floor is found, whatever its tokens, by a similarity join of the names (``operators.name_join``).
+Of the candidates with that score, or with the same significant tokens, the one with the highest
+overlap decides, then the score.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 from plaintide.functions import names
 from plaintide.functions.numbers import number_or_zero, percent_of, rounded
 from plaintide.functions.taxonomy import looked_up
+from plaintide.operators.name_join import similar_names
 from plaintide.operators.similarity import pair_score
 from plaintide.session import settle
 
@@ -23,9 +29,6 @@ AUTO_ACCEPT = 92.0
 REVIEW_FLOOR = 75.0
 MIN_JACCARD = 0.6
 MIN_SHARED = 2
-# Near misses are reported from this token overlap on. It is a property of the two
-# names alone; what lies below it is ``no_match``.
-NEAR_JACCARD = 0.5
 # A token of the candidates is repeated this often, so that the companies that
 # carry a frequent one spread over as many tasks.
 TOKEN_SALTS = 8
@@ -190,7 +193,7 @@ def _by_rarity(df: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(carried.alias("df"), F.col("token")))).alias("_tokens")
     )
     size = F.size("_tokens")
-    prefix = size - F.ceil(size * F.lit(NEAR_JACCARD)).cast("int") + 1
+    prefix = size - F.ceil(size * F.lit(MIN_JACCARD)).cast("int") + 1
     placed = ordered.select(key, prefix.alias("_prefix"), F.posexplode("_tokens").alias("_at", "_t"))
     return placed.where((F.col("_at") < F.col("_prefix")) & (F.col("_t.df") > 0)).select(key, "_t.token")
 
@@ -198,7 +201,7 @@ def _by_rarity(df: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
 def candidate_pairs(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pairs worth scoring: (company, norm, sig) x (cand_norm, cand_sig) with their overlap.
 
-    Complete for every pair with ``NEAR_JACCARD`` overlap, and holds no other.
+    Complete for every pair with ``MIN_JACCARD`` overlap, which accepted ones have, and holds no other.
     """
     frequency = candidates.select(F.explode("sig").alias("token")).groupBy("token").agg(
         F.count("*").alias("df")
@@ -219,13 +222,12 @@ def candidate_pairs(companies: DataFrame, candidates: DataFrame) -> DataFrame:
         )
         .withColumn("shared", names.shared_count(F.col("sig"), F.col("cand_sig")))
         .withColumn("jaccard", names.jaccard(F.col("sig"), F.col("cand_sig")))
-        .where(F.col("jaccard") >= NEAR_JACCARD)
+        .where(F.col("jaccard") >= MIN_JACCARD)
     )
 
 
 def _verdict() -> Column:
-    """Method of a company whose best blocked candidate is known."""
-    same_set = (F.size("sig") >= MIN_SHARED) & (F.col("sig") == F.col("best.cand_sig"))
+    """Method of a company whose best candidate is known."""
     fuzzy = (
         (F.col("best.score") >= AUTO_ACCEPT)
         & (F.col("best.shared") >= MIN_SHARED)
@@ -233,16 +235,19 @@ def _verdict() -> Column:
     )
     return (
         F.when(F.col("norm").isin("") | F.col("norm").isNull(), "no_candidate")
-        .when(F.col("best").isNull() & (F.col("carried") > 0), "no_match")
-        .when(F.col("best").isNull(), "no_shared_token")
-        .when(same_set, "token_set_identical")
+        .when(F.col("best").isNull(), "no_match")
+        .when(_same_tokens(F.col("sig"), F.col("best.cand_sig")), "token_set_identical")
         .when(fuzzy, "fuzzy_auto")
-        .when(F.col("best.score") >= AUTO_ACCEPT, "rejected_weak_token_overlap")
-        .when(F.col("best.score") >= REVIEW_FLOOR, "below_threshold")
-        .otherwise("no_match")
+        .when((F.col("best.score") >= AUTO_ACCEPT) & (F.col("best.shared") > 0), "rejected_weak_token_overlap")
+        .when(F.col("best.score") >= AUTO_ACCEPT, "rejected_no_shared_token")
+        .otherwise("below_threshold")
     )
 
 
+def _same_tokens(sig: Column, cand_sig: Column) -> Column:
+    return (F.size(sig) >= MIN_SHARED) & (sig == cand_sig)
+
+
 ACCEPTED = ["manual_override", "exact_normalised", "token_set_identical", "fuzzy_auto"]
 
 
@@ -281,30 +286,38 @@ def _decided(companies: DataFrame, institutions: DataFrame, candidates: DataFram
     )
 
 
-def _best_fuzzy(undecided: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Verdict for companies no exact rule decided."""
+def near_pairs(companies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """All pairs whose character score reaches the review floor, in the columns of ``candidate_pairs``."""
+    names_of = similar_names(companies.select(F.col("norm").alias("name")), candidates.select(F.col("norm").alias("name")), REVIEW_FLOOR)
+    return (
+        names_of.select(F.col("left_name").alias("norm"), F.col("right_name").alias("cand_norm"))
+        .join(companies.select("company", "norm", "sig"), "norm")
+        .join(candidates.select(F.col("norm").alias("cand_norm"), F.col("sig").alias("cand_sig"), "group_key"), "cand_norm")
+        .withColumn("shared", names.shared_count(F.col("sig"), F.col("cand_sig")))
+        .withColumn("jaccard", names.jaccard(F.col("sig"), F.col("cand_sig")))
+    )
+
+
+def _best_fuzzy(undecided: DataFrame, candidates: DataFrame, near_misses: bool) -> DataFrame:
+    """Verdict for companies no exact rule decided.
+
+    No pair that only ``near_pairs`` finds has the overlap of an accepted one, so without
+    near misses the same companies are matched.
+    """
     pairs = candidate_pairs(undecided, candidates)
-    # The score only tells apart candidates of equal overlap, so only those are scored.
-    most = Window.partitionBy("company").orderBy(F.desc("jaccard"))
-    pairs = pairs.withColumn("_place", F.rank().over(most)).where("_place = 1")
-    pairs = pairs.withColumn("score", pair_score(F.col("norm"), F.col("cand_norm")))
+    if near_misses:
+        pairs = pairs.unionByName(near_pairs(undecided, candidates)).dropDuplicates(["company", "cand_norm"])
+    pairs = settle(pairs, "candidate-pairs").withColumn("score", pair_score(F.col("norm"), F.col("cand_norm")))
+    pairs = pairs.where((F.col("score") >= REVIEW_FLOOR) | _same_tokens(F.col("sig"), F.col("cand_sig")))
     best = pairs.groupBy("company").agg(
         F.min_by(
             F.struct("cand_norm", "cand_sig", "group_key", "shared", "jaccard", "score"),
             F.struct(-F.col("jaccard"), -F.col("score"), F.col("cand_norm")),
         ).alias("best")
     )
-    known = candidates.select(F.explode("sig").alias("token")).distinct()
-    carried = (
-        undecided.select("company", F.explode("sig").alias("token"))
-        .join(known, "token", "left_semi")
-        .groupBy("company")
-        .agg(F.count("*").alias("carried"))
-    )
     judged = (
         undecided.select("company", "n_complaints", "norm", "sig")
         .join(best, "company", "left")
-        .join(carried, "company", "left")
         .withColumn("method", _verdict())
     )
     accepted = F.col("method").isin(ACCEPTED)
@@ -319,12 +332,18 @@ def _best_fuzzy(undecided: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def resolve(
-    companies: DataFrame, institutions: DataFrame, groups: DataFrame | None = None, fuzzy: bool = True
+    companies: DataFrame,
+    institutions: DataFrame,
+    groups: DataFrame | None = None,
+    fuzzy: bool = True,
+    near_misses: bool = True,
 ) -> DataFrame:
     """Match table: every company once, matched or not, with method, score and note.
 
     ``companies`` has unique ``company`` and ``n_complaints``. With
-    ``fuzzy=False`` only the declared, curated and exact rules run.
+    ``fuzzy=False`` only the declared, curated and exact rules run. Without ``near_misses`` the
+    matches are the same, and rejected candidates are mostly ``no_match``; for reports
+    that do not show why a company has no match.
     """
     groups = holding_groups(institutions) if groups is None else groups
     candidates = match_candidates(institutions, groups)
@@ -337,7 +356,7 @@ def resolve(
         matches = (
             decided.where("method IS NOT NULL")
             .select(columns)
-            .unionByName(_best_fuzzy(decided.where("method IS NULL"), candidates))
+            .unionByName(_best_fuzzy(decided.where("method IS NULL"), candidates, near_misses))
         )
     else:
         matches = _decided(companies, institutions, candidates).withColumn(
@@ -358,6 +377,21 @@ def resolve(
     )
 
 
+def near_misses(companies: DataFrame, institutions: DataFrame) -> DataFrame:
+    """The review list: every candidate that reaches the review floor, for companies no exact rule decides."""
+    candidates = match_candidates(institutions, holding_groups(institutions))
+    candidates = settle(candidates.withColumn("sig", names.significant_tokens(F.col("norm"))))
+    undecided = settle(_decided(companies, institutions, candidates).where("method IS NULL"))
+    pairs = near_pairs(undecided, candidates).withColumn("score", pair_score(F.col("norm"), F.col("cand_norm")))
+    return pairs.select(
+        "company",
+        F.col("cand_norm").alias("candidate"),
+        F.col("shared").cast("bigint").alias("shared"),
+        rounded(F.col("jaccard"), 6).alias("jaccard"),
+        rounded(F.col("score"), 1).alias("score"),
+    )
+
+
 def match_breakdown(matches: DataFrame) -> DataFrame:
     """Companies and complaints per method with the share of all complaints."""
     by_method = matches.groupBy("match_method").agg(

@@ -247,15 +247,19 @@ def dominant_categories(df: DataFrame, by: list[str], top: int = 4) -> DataFrame
 
 
 def sensitivity(
-    facts: DataFrame, enriched: DataFrame, month: str, floor: int = 500
+    cells: DataFrame, enriched: DataFrame, month: str, floor: int = 500
 ) -> DataFrame:
-    """Per-$1B rate and rank of each matched company with and without one month."""
+    """Per-$1B rate and rank of each matched company with and without one month.
+
+    ``cells`` are those of ``enrichment.outcome_cells`` by month, from which ``enriched`` comes too.
+    """
+    n = F.col("total_complaints")
     counts = (
-        facts.where("in_trend_window AND company IS NOT NULL")
+        cells.where("in_trend_window")
         .groupBy("company")
         .agg(
-            F.count("*").alias("n_with"),
-            F.count_if(F.col("year_month") != month).alias("n_without"),
+            F.sum(n).alias("n_with"),
+            F.sum(F.when(F.col("year_month") != month, n).otherwise(0)).alias("n_without"),
         )
     )
     assets = enriched.where("matched").select("company", "total_assets_b")

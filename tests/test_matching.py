@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plaintide.functions import names
+from plaintide.operators.name_join import similar_names
 from plaintide.operators.similarity import token_set_score
 from plaintide.plans import entities
 
@@ -33,7 +34,7 @@ EXPECTED = {
     "CITIBANK, N.A.": ("manual_override", "CITIGROUP INC"),
     "Some Federal Credit Union": ("ncua_credit_union", None),
     "Comerica": ("inactive_charter", None),
-    "BLOCKFI LENDING": ("no_shared_token", None),
+    "BLOCKFI LENDING": ("no_match", None),
     "BLOCK, INC.": ("known_non_bank", None),
 }
 
@@ -138,7 +139,99 @@ def test_labels_do_not_depend_on_other_candidates(spark):
     alone = labels(feed)
     assert labels(feed + crowd) == alone
     assert alone["Delta Gamma Omegas"][0] == "below_threshold"
-    assert alone["Delta Lenders Quartet"][0] == "no_match" and alone["Unheard Of"][0] == "no_shared_token"
+    assert alone["Delta Lenders Quartet"][0] == "no_match" and alone["Unheard Of"][0] == "no_match"
+
+
+def _labelled(companies, candidates):
+    """Label of each company over all pairs: the highest overlap of those that reach the floor or have equal tokens."""
+
+    def tokens(name):
+        return {w for w in name.split() if len(w) >= 3 and w not in names.GENERIC_TOKENS}
+
+    out = {}
+    for name in companies:
+        mine, pool = tokens(name), []
+        for cand in candidates:
+            theirs = tokens(cand)
+            score = token_set_score(name, cand)
+            same = len(mine) >= 2 and mine == theirs
+            if score >= 75 or same:
+                overlap = len(mine & theirs) / len(mine | theirs) if mine | theirs else 0.0
+                pool.append((-overlap, -score, cand, same, len(mine & theirs)))
+        if name in candidates:
+            out[name] = ("exact_normalised", 100.0)
+            continue
+        if not pool:
+            out[name] = ("no_match", None)
+            continue
+        overlap, score, cand, same, shared = min(pool)
+        label = "below_threshold"
+        if same:
+            label = "token_set_identical"
+        elif -score >= 92 and shared >= 2 and -overlap >= 0.6:
+            label = "fuzzy_auto"
+        elif -score >= 92:
+            label = "rejected_weak_token_overlap" if shared else "rejected_no_shared_token"
+        out[name] = (label, round(-score + 1e-9, 1))
+    return out
+
+
+def test_labels_equal_those_of_all_pairs(spark):
+    """Misspelt, cut, extended and reordered names, and names of common words alone."""
+    rng = random.Random(23)
+    syllables = ["MAR", "TON", "VEL", "OCW", "EN", "LAK", "ER", "ID", "GRO", "VE", "PINE", "STO", "NE"]
+    generic = ["BANK", "TRUST", "GROUP", "SAVINGS", "FINANCIAL", "OF", "FIRST"]
+
+    def word():
+        return "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+
+    def name():
+        return " ".join([word() for _ in range(rng.randint(0, 3))] + rng.sample(generic, rng.randint(0, 3))) or "FIRST BANK"
+
+    def spoilt(text):
+        letters = list(text)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(letters))
+            if rng.random() < 0.5 and len(letters) > 3:
+                del letters[at]
+            else:
+                letters.insert(at, rng.choice("AEIORST"))
+        words = "".join(letters).split()
+        rng.shuffle(words)
+        return " ".join(words)
+
+    candidates = sorted({name() for _ in range(150)})
+    companies = sorted({spoilt(rng.choice(candidates)) for _ in range(90)} | {name() for _ in range(60)} | {"OCWEN MORTGAGE", "ALNOCWEN"})
+    candidates += ["OWEN MORTGAG", "CWEN ALNO"]
+    feed = spark.createDataFrame([(c, str(i), "1000", "TX", None) for i, c in enumerate(candidates)], FEED)
+    normal = {r[0]: r[1] for r in spark.createDataFrame([(c,) for c in companies + candidates], "c string").select("c", names.match_name(F.col("c"))).collect()}
+    kept = {normal[c] for c in candidates if len(normal[c]) > 2}
+    left = spark.createDataFrame([(c, 1) for c in companies], "company string, n_complaints bigint")
+    got = {r["company"]: (r["match_method"], r["match_score"]) for r in entities.resolve(left, feed).collect()}
+    expected = _labelled({normal[c] for c in companies}, kept)
+    assert {c: got[c] for c in companies if normal[c]} == {c: expected[normal[c]] for c in companies if normal[c]}
+    assert {"fuzzy_auto", "below_threshold", "no_match", "rejected_no_shared_token", "rejected_weak_token_overlap"} <= {v[0] for v in got.values()}
+    lean = {r["company"]: r["group_key"] for r in entities.resolve(left, feed, near_misses=False).where("matched").collect()}
+    full = {r["company"]: r["group_key"] for r in entities.resolve(left, feed).where("matched").collect()}
+    assert lean == full
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("ABCDE", k=rng.randint(1, 9))) for _ in range(40)]
+
+    def name():
+        return " ".join(rng.choices(base, k=rng.randint(1, 4)))
+
+    left, right = ({name() for _ in range(120)} for _ in range(2))
+    frames = [spark.createDataFrame([(n,) for n in sorted(side)] * 2 + [(None,), (" ",)], "name string") for side in (left, right)]
+    for floor in (70.0, 75.0, 90.0):
+        got = {(r[0], r[1]) for r in similar_names(*frames, floor).collect()}
+        assert got == {(a, b) for a in left for b in right if token_set_score(a, b) >= floor}
+    plan = similar_names(*frames, 75.0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        similar_names(*frames, 60.0)
 
 
 def test_no_all_pairs_plan(spark, sf_dir):

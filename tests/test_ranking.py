@@ -57,16 +57,39 @@ def test_row_number_running_total_and_ntile(spark, parts):
     rng = random.Random(5)
     rows = [(f"c{i:04d}", rng.choice([1, 1, 1, 5, 9, 100])) for i in range(503)]
     df = settle(spark.createDataFrame(rows, "name string, n bigint").repartition(parts))
-    line = ranking.global_row_number(df, [F.desc("n"), F.asc("name")], "n")
-    got = line.withColumn("q", ranking.ntile(4, F.col("row_number"), F.col("rows_total"))).orderBy("row_number").collect()
+    line, at = ranking.global_row_number(df, -F.col("n"), "name")
+    line = line.withColumns({"q": ranking.ntile(4, F.col("row_number"), F.col("rows_total")), "rank": at.rank()})
+    got = line.orderBy("row_number").collect()
     expected = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert [(r["name"], r["n"]) for r in got] == expected
     running = 0
     for i, r in enumerate(got):
         running += r["n"]
-        assert (r["row_number"], r["running_total"], r["rows_total"]) == (i + 1, running, 503)
+        assert (r["row_number"], -r["running_sum"], r["rows_total"]) == (i + 1, running, 503)
+        assert r["rank"] == 1 + sum(n > r["n"] for _, n in expected)
     assert [sum(r["q"] == k for r in got) for k in (1, 2, 3, 4)] == [126, 126, 126, 125]
-    assert got[-1]["running_total"] == got[0]["grand_total"]
+    assert got[-1]["running_sum"] == got[0]["sum_total"]
+
+
+def test_ranks_are_planned_in_one_piece(spark):
+    """No sampling, no written ranges: the plan of a rank runs as a whole and orders by stretches only."""
+    df = settle(spark.range(100).selectExpr("id", "cast(id % 7 as double) v"))
+    placed, at = ranking.with_positions(df, "id", {"v": F.col("v")})
+    text = placed.select(at["v"].rank())._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "ranges-" not in text
+
+
+def test_stretches_follow_the_order(spark):
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * 10 ** rng.uniform(-320, 308) for _ in range(4000)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 1.7e308, -1.7e308] + [1 + i * 1e-12 for i in range(50)]
+    df = settle(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double"))
+    got = df.select("v", ranking._stretch(F.col("v")).alias("s")).orderBy("v").collect()
+    assert all(a.s <= b.s for a, b in zip(got, got[1:]))
+    placed, at = ranking.with_positions(df, "id", {"v": F.col("v")})
+    ranks = {r.id: r.r for r in placed.select("id", at["v"].rank().alias("r")).collect()}
+    expected = pd.Series(values).rank(method="min", na_option="bottom")
+    assert all(ranks[i] == expected[i] for i in range(len(values)))
 
 
 def test_ntile_with_fewer_rows_than_tiles(spark):
