@@ -3,15 +3,16 @@
 Lines longer than a floor are hashed to 128 bits, range-partitioned by (hash, salt of
 the document) and sorted by document and position inside. One pass over each sorted
 group streams its first document; the heads of the groups, one row per hash and salt,
-settle the first document of the hash. A line that a third of all documents share is
-thus spread over the salts. The answer is a bitmap per document instead of text:
+settle the first document of the hash. There are as many salts as shuffle partitions, so a
+line that a third of all documents share is spread over all of them. The answer is a bitmap per document instead of text:
 64 lines to a word, and only words that drop a line are kept. Texts are read once more
 where the bitmaps are applied.
 
 Defined cases: a null or empty text is one empty line; a line whose key is shorter
 than the floor always stays; a key repeated in one document only always stays; rows
 that repeat a document id count as one document; a null document id is one document
-that comes after all others; an empty table gives no rows. Extra columns are kept.
+that comes after all others; an empty table gives no rows. Extra columns of any name are
+kept, but for those of the results' names, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.llm.common import same, shuffle_tasks, whole_text
+from plaintide.llm.common import packed, same, shuffle_tasks, whole_text
 from plaintide.session import settle
 
 FLOOR = 10
-SALTS = 32
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,12 +33,14 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_SPACES)), _UPPER, _UPPER.lower())
 
 
-def keep_bitmaps(documents: DataFrame, floor: int = FLOOR, salts: int = SALTS) -> DataFrame:
+def keep_bitmaps(documents: DataFrame, floor: int = FLOOR, salts: int | None = None) -> DataFrame:
     """Documents that lose lines: (doc_id, text_hash, dropped), dropped an array of 64-line words.
 
     Bit ``i % 64`` of element ``i DIV 64`` is set when line ``i`` goes; words past the
-    last dropped line are left out.
+    last dropped line are left out. ``salts``: the shuffle partitions, if not given.
     """
+    tasks = shuffle_tasks(documents.sparkSession)
+    salts = salts or tasks
     lines = documents.select(
         "doc_id", F.xxhash64(whole_text()).alias("text_hash"),
         F.posexplode(F.split(whole_text(), "\n", -1)).alias("at", "line"),
@@ -47,7 +49,7 @@ def keep_bitmaps(documents: DataFrame, floor: int = FLOOR, salts: int = SALTS) -
         F.xxhash64("key").alias("h"), F.xxhash64(F.lit("line"), "key").alias("g"),
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "text_hash", "at",
     )
-    spread = lines.repartitionByRange(shuffle_tasks(documents.sparkSession), "h", "salt")
+    spread = lines.repartitionByRange(tasks, "h", "salt")
     group = Window.partitionBy("h", "salt", "g").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", "at")
     streamed = spread.select(
         "*", F.first("doc_id").over(group).alias("local"), F.row_number().over(group).alias("n"),
@@ -78,25 +80,21 @@ def keep_bitmaps(documents: DataFrame, floor: int = FLOOR, salts: int = SALTS) -
 def dedup_lines(documents: DataFrame, floor: int = FLOOR) -> DataFrame:
     """The documents with ``kept_text``, ``n_lines`` (before) and ``n_dropped``, which replace columns of that name."""
     documents = documents.drop("kept_text", "n_lines", "n_dropped")
-    bitmaps = settle(keep_bitmaps(documents, floor), "line-bitmaps").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped")
-    )
-    d = documents.alias("d")
-    rows = d.join(
-        bitmaps, same(F.col("d.doc_id"), F.col("_id")) & (F.xxhash64(whole_text("d.text")) == F.col("_hash")), "left"
-    )
-    text = whole_text("d.text")
+    b = settle(keep_bitmaps(documents, floor), "line-bitmaps").alias("b")
+    d = packed(documents).withColumn("text", whole_text("row.text")).alias("d")
+    match = same(F.col("d.row.doc_id"), F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.text_hash"))
+    rows, text, dropped = d.join(b, match, "left"), F.col("d.text"), F.col("b.dropped")
     kept = F.array_join(
         F.filter(
             F.split(text, "\n", -1),
-            lambda line, i: F.coalesce(F.getbit(F.get(F.col("_dropped"), F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0,
+            lambda line, i: F.coalesce(F.getbit(F.get(dropped, F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0,
         ),
         "\n",
     )
-    gone = F.aggregate("_dropped", F.lit(0), lambda n, w: n + F.bit_count(w))
+    gone = F.aggregate(dropped, F.lit(0), lambda n, w: n + F.bit_count(w))
     return rows.select(
-        "d.*",
-        F.when(F.col("_dropped").isNull(), text).otherwise(kept).alias("kept_text"),
+        "d.row.*",
+        F.when(dropped.isNull(), text).otherwise(kept).alias("kept_text"),
         F.size(F.split(text, "\n", -1)).cast("bigint").alias("n_lines"),
         F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_dropped"),
     )
