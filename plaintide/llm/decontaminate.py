@@ -12,9 +12,16 @@ position, and the longest stretch with enough equal words is the overlap.
 The bit field has a fixed size, whatever the benchmark's; when it fills up more hits reach
 the join, and the result stays the same. Only hits and the words around them leave a scan.
 
-Defined cases: null texts are empty; an item below five words never matches; an item
-shorter than a mask is found by its whole word sequence; repeated documents and items are
-reported each, equal rows once; an empty table gives no rows.
+The masks leave no gap: every overlap from five words on with both ends and four of five words
+equal holds a window of one of them, whichever words are substituted (a test goes through
+all patterns). Items of five to twelve words have shorter masks, shorter ones are found by their
+whole word sequence; those masks are looked for only where such items are.
+
+Defined cases: null texts are empty; an item without words never matches; an item of less than
+five words is reported, but no reason to drop a document; of overlaps of equal length the one
+with more equal words is reported, then the first in the document, then in the item; repeated
+documents and items are reported each, equal rows once; an empty table gives no rows. Only ids
+and texts are read; ``decontaminate`` keeps extra columns of any name.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaintide.llm.common import same, whole_text
+from plaintide.llm.common import packed, same, whole_text
 from plaintide.llm.tokens import mixed, word_hashes
 from plaintide.session import settle
 
@@ -41,7 +48,10 @@ MASKS = (
     (0, 1, 2, 4, 5, 7),
     (0, 1, 3, 4, 6, 7),
     (0, 2, 3, 5, 7, 8),
+    (0, 1, 2, 6, 8, 9),
 )
+#: The same for items that are shorter than an overlap has to be, down to ``SHORTEST`` words.
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3, 4))
 SHORTEST = 5
 #: An overlap has at least so many words, or all of a shorter item, and so many of them are equal.
 OVERLAP = 13
@@ -67,8 +77,11 @@ def window_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mixed(total)
 
 
-def _contiguous(length: int) -> tuple[int, ...]:
-    return tuple(range(length))
+def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
+    """The masks by which an item of that many words is looked for."""
+    if length < SHORTEST:
+        return (tuple(range(length)),) if length else ()
+    return MASKS if length >= OVERLAP else SHORT_MASKS
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +89,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, hashes, places = batch.column(0), [], [], []
         for text in batch.column(1).to_pylist():
             w = words_of(text)
-            if len(w) < SHORTEST:
-                masks = ()
-            elif len(w) < _SPAN:
-                masks = (_contiguous(len(w)),)
-            else:
-                masks = MASKS
-            found = [window_hashes(w, m) for m in masks]
+            found = [window_hashes(w, m) for m in masks_of(len(w))]
             words.append(w.tobytes())
             hashes.append(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))
             places.append(np.concatenate([*[np.arange(len(f), dtype=np.int32) for f in found], np.empty(0, np.int32)]))
@@ -121,7 +128,8 @@ def _segments(field_bits: bytes, masks: tuple[tuple[int, ...], ...]):
                     at = at[field[(h[at] >> np.uint64(32)) & last]]
                     found_at.append(at)
                     found.append(h[at])
-                at, h = np.concatenate(found_at), np.concatenate(found)
+                at = np.concatenate([*found_at, np.empty(0, np.int64)])
+                h = np.concatenate([*found, np.empty(0, np.uint64)])
                 if not len(at):
                     continue
                 order = np.argsort(at, kind="stable")
@@ -203,12 +211,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = settle(items.distinct(), "benchmark-items")
     shingles = items.select("item_id", "item_words", F.arrays_zip("hashes", "places").alias("z"))
     shingles = shingles.select("item_id", F.inline("z").alias("hash", "place"))
-    lengths = items.select((F.length("item_words") / 8).cast("int").alias("n")).where((F.col("n") >= SHORTEST) & (F.col("n") < _SPAN))
-    short = tuple(_contiguous(r.n) for r in lengths.distinct().collect())  # at most _SPAN - SHORTEST rows
+    lengths = items.select(F.least(F.length("item_words") / 8, F.lit(OVERLAP)).cast("int").alias("n")).distinct().collect()
+    masks = tuple(sorted({m for r in lengths for m in masks_of(r.n)}))  # of at most OVERLAP + 1 lengths
     field = np.packbits(_field(shingles), bitorder="little").tobytes()
     kind = dict(documents.dtypes)["doc_id"]
     segments = documents.select("doc_id", "text").mapInArrow(
-        _segments(field, MASKS + short),
+        _segments(field, masks),
         f"doc_id {kind}, text_key bigint, start bigint, words binary, hashes array<bigint>, places array<int>",
     )
     segments = settle(segments, "segments").withColumn("seg", F.struct("doc_id", "text_key", "start"))
@@ -230,9 +238,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item."""
-    hit = settle(contaminated(documents, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    d = documents.withColumn("_text_key", F.xxhash64(whole_text())).alias("d")
-    match = same(F.col("d.doc_id"), F.col("_id")) & (F.col("d._text_key") == F.col("_key"))
-    return d.join(hit, match, "left_anti").drop("_text_key")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, least: int = SHORTEST) -> DataFrame:
+    """The documents that overlap no benchmark item in at least that many words."""
+    found = contaminated(documents, benchmark).where(F.col("n_words") >= least)
+    hit = settle(found.select("doc_id", "text_key").distinct(), "contaminated").alias("h")
+    d = packed(documents).alias("d")
+    key = F.xxhash64(whole_text("d.row.text"))
+    match = same(F.col("d.row.doc_id"), F.col("h.doc_id")) & (key == F.col("h.text_key"))
+    return d.join(hit, match, "left_anti").select("row.*")
