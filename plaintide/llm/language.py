@@ -6,7 +6,7 @@ Because averaging is linear, the trained table and the softmax fold into one sco
 subword and language, and a text is scored by looking its subwords up.
 
 Training uses a sample of labelled documents of bounded size, drawn per language by a hash
-of the id. The executors turn it into sparse counts, whatever the length of the texts;
+of the id; every language has its share, however many there are. The executors turn it into sparse counts, whatever the length of the texts;
 the driver runs stochastic gradient descent on them in numpy. A fifth of the sample
 is set aside: on it a temperature is fitted, so that scores are probabilities. All labelled
 documents that were not fitted on, in the sample or not, are then scored on the executors
@@ -18,7 +18,8 @@ even guess to certainty.
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and rejected;
 a null language or id is never learnt from; without any labelled document everything is
 ``und``; with one language every text with a letter gets it; equal texts get equal
-answers; an empty table gives no rows.
+answers; an empty table gives no rows. Only id, text and language of the input are read; ``identified``
+keeps extra columns of any name but that of its result, which it replaces.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no ins
 
 BUCKETS = 1 << 13
 DIMENSIONS = 16
-#: Bounds of the training sample: languages (the most frequent ones) and documents altogether.
-MOST_LANGUAGES = 128
+#: Bound of the training sample: so many documents altogether, or ``LEAST`` of each language if that is more.
 SAMPLE = 2000
+LEAST = 4
 #: Share of the documents told right that the threshold may reject, and the steps in which scores are counted for it.
 REJECTED_SHARE = 0.001
 STEPS = 100_000
@@ -162,14 +163,14 @@ def held_out() -> Column:
 
 
 def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most about ``sample`` labelled documents, evenly from each language."""
+    """Train on at most about ``sample`` labelled documents, or ``LEAST`` of each language, evenly from each language."""
     labelled = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    languages = {r.lang: r.n for r in sizes.collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    languages = {r.lang: r.n for r in sizes.collect()}  # one row per language, as the model has
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for lang, n in languages.items() for v in (lang, min(1 << 30, round((1 << 30) * sample / len(languages) / n)))])
+    share = F.create_map(*[F.lit(v) for lang, n in languages.items() for v in (lang, min(1 << 30, round((1 << 30) * max(sample / len(languages), LEAST) / n)))])
     drawn = labelled.select("lang", draw.alias("draw"), whole_text().alias("text"), (draw < F.element_at(share, F.col("lang"))).alias("chosen"))
     chosen = drawn.where("chosen")
 

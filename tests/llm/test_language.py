@@ -83,3 +83,49 @@ def test_threshold_keeps_to_the_share():
     few = np.array([70_000.0, 90_000.0]), np.array([1, 9])
     assert language.threshold_of(*few, 4) == 0.625 and language.threshold_of(*few, 2) == 0.7
     assert language.threshold_of(few[0][:0], few[1][:0], 4) == 0.0
+
+
+def brute_predict(model, text):
+    """Subwords one by one in Python's integers."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data, m = text.lower().encode(), (1 << 32) - 1
+    x = [0] + [c if c >= 128 or chr(c).isalpha() else 0 for c in data] + [0]
+    x = [c for k, c in enumerate(x) if k == 0 or c or x[k - 1]]
+    total, count = np.zeros(len(model.languages)), 0
+    for at in range(len(x)):
+        h = x[at] * 2654435761 & m
+        for n in range(1, 4):
+            if at + n >= len(x):
+                break
+            h = ((h ^ h >> 15) * 2246822519 + x[at + n] * 2654435761) & m
+            total += model.scores[((h ^ h >> 13) * 3266489917 & m) >> 19]
+            count += 1
+    logits = (total / max(1, count) + model.bias) / model.temperature
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_query_equals_brute_force(spark):
+    small = "/root/testdata/sf0.001"
+    docs = table(spark, small, "documents")
+    model = language.learn(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op2_language"](spark, small).collect():
+        lang, score = brute_predict(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+
+
+def test_every_language_is_learnt(spark):
+    """Far more languages than a fixed list would hold, the rarest of a few documents."""
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice(letters, 5)) for _ in range(8)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 60)), f"l{k:03d}") for i in range(6 if k % 2 else 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(docs)
+    learnt = {r.lang for r in docs.where(~language.held_out()).select("lang").distinct().collect()}
+    assert len(model.languages) >= 0.97 * len(learnt) > 280
