@@ -1,9 +1,11 @@
 """URL filter over a sorted digest array.
 
-Rules are pairs of host and path with a verdict. Their strings are hashed to 64 bits and
-written, sorted, to one file: digests, then offsets, then the strings and verdicts. The
-file is handed to every executor by Spark and memory-mapped there, so all tasks of a
-machine share one copy and only the pages that a search touches are read.
+Rules are pairs of host and path with a verdict. Their strings are hashed to 64 bits,
+range-partitioned and sorted by digest on the executors; each task writes its stretch to a
+file in the shared folder: digests, then offsets, then the strings and verdicts. Files are
+handed to every executor by Spark and memory-mapped there, so all tasks of a machine share
+one copy and only the pages that a search touches are read. The driver sees the names and
+first digests of the files, one for about a million rules, and no rule.
 
 A url is cut into host and path; for every suffix of the host at a label and every path
 length that rules have, the candidate string is hashed, all candidates of a batch are
@@ -11,8 +13,9 @@ looked up at once by binary search, and a hit counts only if the stored string i
 The longest rule wins. Longer hosts win among rules of equal length.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path and gets
-the default verdict; a rule repeated with two verdicts blocks; rows are kept as they are,
-repeated ones too; an empty table gives no rows; an empty rule set gives the default.
+the default verdict; a rule repeated with two verdicts blocks; a rule with a null host, path or
+verdict is none; rows are kept as they are, repeated ones too, with extra columns of any name but
+``judged``, which is replaced; an empty table gives no rows; an empty rule set gives the default.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plaintide.llm.common import packed
 from plaintide.llm.lines import _UPPER
-from plaintide.session import shared_folder
+from plaintide.session import settle, shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no install
 
@@ -42,8 +46,8 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 DEFAULT = "allow"
-#: Longest run of host suffixes that a rule set can name: labels of its longest host.
-_MAGIC = 0x55524C31
+#: Rules of a file.
+PART = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -55,45 +59,43 @@ def path_of(url: Column) -> Column:
 
 
 def _digest(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
 
 
-def pack(rules: Iterator[tuple[str, str, str]]) -> bytes:
-    """The digest file of (host, path, verdict) rules.
+def pack(digests: np.ndarray, rules: list[tuple[str, str, str]]) -> bytes:
+    """The file of a stretch of (host, path, verdict) rules, sorted by digest.
 
-    Header (magic, rules, most labels of a host, number of path lengths), path lengths, digests
-    in order, offsets, then one entry per rule: verdict, host length, host and path.
+    The number of rules, digests, offsets, then one entry per rule: verdict, host length, host and path.
     """
-    held: dict[tuple[str, str], str] = {}
-    for host, path, verdict in rules:
-        held[host, path] = "block" if "block" in (verdict, held.get((host, path))) else verdict
-    entries = sorted((_digest(f"{h}\n{p}"), h.encode(), p.encode(), v) for (h, p), v in held.items())
-    blobs = [(b"B" if v == "block" else b"A") + len(h).to_bytes(4, "little") + h + p for _, h, p, v in entries]
-    lengths = sorted({len(p) for _, p in held})
-    labels = max((h.count(".") + 1 for h, _ in held), default=0)
-    head = np.array([_MAGIC, len(entries), labels, len(lengths)], np.int64)
+    coded = [(h.encode(), p.encode(), b"B" if v == "block" else b"A") for h, p, v in rules]
+    blobs = [v + len(h).to_bytes(4, "little") + h + p for h, p, v in coded]
     offsets = np.cumsum([0, *map(len, blobs)]).astype(np.int64)
-    digests = np.array([e[0] for e in entries], np.uint64)
-    return b"".join([head.tobytes(), np.array(lengths, np.int64).tobytes(), digests.tobytes(), offsets.tobytes(), *blobs])
+    return b"".join([np.array([len(rules)], np.int64).tobytes(), digests.astype(np.uint64).tobytes(), offsets.tobytes(), *blobs])
 
 
-class DigestArray:
+class DigestFile:
     """A memory-mapped digest file."""
 
     def __init__(self, path: str):
-        self.raw = np.memmap(path, np.uint8, "r")
-        _, n, self.labels, k = self.raw[:32].view(np.int64).tolist()
-        at = 32 + 8 * k
-        self.lengths = self.raw[32:at].view(np.int64).tolist()
-        self.digests = self.raw[at : at + 8 * n].view(np.uint64)
-        self.offsets = self.raw[at + 8 * n : at + 16 * n + 8].view(np.int64)
-        self.blobs = self.raw[at + 16 * n + 8 :]
+        raw = np.memmap(path, np.uint8, "r")
+        n = int(raw[:8].view(np.int64)[0])
+        self.digests = raw[8 : 8 + 8 * n].view(np.uint64)
+        self.offsets = raw[8 + 8 * n : 16 + 16 * n].view(np.int64)
+        self.blobs = raw[16 + 16 * n :]
 
     def entry(self, i: int) -> tuple[str, str, str]:
         blob = self.blobs[self.offsets[i] : self.offsets[i + 1]].tobytes()
         n = int.from_bytes(blob[1:5], "little")
         return blob[5 : 5 + n].decode(), blob[5 + n :].decode(), "block" if blob[:1] == b"B" else "allow"
 
+
+class DigestArray:
+    """All files in the order of their digests, of which each has its own stretch."""
+
+    def __init__(self, files: list[DigestFile], firsts: list[int], labels: int, lengths: list[int]):
+        self.files, self.firsts = files, np.array(firsts, np.uint64)
+        self.labels, self.lengths = labels, lengths
+
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str | None, str | None]]:
         """Rule and verdict of every (host, path), None where no rule fits."""
         owner, keys, found = [], [], [(0, 0, None, None)] * len(hosts)
@@ -109,49 +111,81 @@ class DigestArray:
                 if at < 0:
                     break
         digests = np.fromiter((_digest(f"{h}\n{p}") for h, p in keys), np.uint64, len(keys))
-        at = np.searchsorted(self.digests, digests)
-        last = len(self.digests) - 1
-        for k in np.flatnonzero(self.digests[np.minimum(at, last)] == digests) if last >= 0 else ():
-            i = int(at[k])
-            while i <= last and self.digests[i] == digests[k]:  # collisions stand side by side
-                host, path, verdict = self.entry(i)
-                if (host, path) == keys[k]:
-                    own = owner[k]
-                    found[own] = max(found[own], (len(host) + len(path), len(host), host + path, verdict))
-                i += 1
+        part = np.searchsorted(self.firsts, digests, "right") - 1
+        for f, file in enumerate(self.files):
+            own = np.flatnonzero(part == f)
+            at = np.searchsorted(file.digests, digests[own])
+            last = len(file.digests) - 1
+            for j in np.flatnonzero(file.digests[np.minimum(at, last)] == digests[own]):
+                k, i = own[j], int(at[j])
+                while i <= last and file.digests[i] == digests[k]:  # collisions stand side by side
+                    host, path, verdict = file.entry(i)
+                    if (host, path) == keys[k]:
+                        found[owner[k]] = max(found[owner[k]], (len(host) + len(path), len(host), host + path, verdict))
+                    i += 1
         return [(rule, verdict) for _, _, rule, verdict in found]
 
 
-def publish(spark: SparkSession, rules: DataFrame) -> str:
-    """Write the digest file of rules (host, path, verdict) and hand it to the executors: its name.
+def _writing(folder: str):
+    """Sorted rules (digest, host, path, verdict) of a task to one file, and its name and first digest.
+
+    A task that is run again writes a file of another name, and only that of the attempt that counts is named.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        digests = table.column("digest").to_numpy().view(np.uint64)
+        system, path = fs.FileSystem.from_uri(folder)
+        name = f"rules-{uuid.uuid4().hex}.bin"
+        with system.open_output_stream(f"{path}/{name}") as out:
+            out.write(pack(digests, list(zip(*(table.column(c).to_pylist() for c in ("host", "path", "verdict"))))))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(digests[0].view(np.int64))])], names=["name", "first"])
+
+    return run
+
+
+def publish(spark: SparkSession, rules: DataFrame, part: int = PART) -> tuple[list[str], list[int], int, list[int]]:
+    """Write the digest files of rules (host, path, verdict) and hand them to the executors.
 
-    The driver streams the rules; it holds one of them per rule, as the file does. The file
-    lies in the shared folder; every executor, also one that starts later, fetches it once.
+    Returns their names and first digests in order, the most labels of a host and the lengths of paths.
+    Every executor, also one that starts later, fetches a file once.
     """
-    system, path = fs.FileSystem.from_uri(folder := shared_folder(spark, "rules"))
+    known = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").groupBy("host", "path")
+    known = known.agg(F.when(F.max(F.col("verdict") == "block"), "block").otherwise("allow").alias("verdict"))
+    known = known.withColumn("digest", F.xxhash64(F.concat_ws("\n", "host", "path")))
+    known = settle(known, "rules")
+    labels = F.size(F.split("host", r"\."))
+    shape = known.agg(F.count("*").alias("n"), F.max(labels).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
+    if not shape.n:
+        return [], [], 0, []
+    system, path = fs.FileSystem.from_uri(folder := shared_folder(spark, "rule-files"))
     system.create_dir(path)
-    name = f"rules-{uuid.uuid4().hex}.bin"
-    with system.open_output_stream(f"{path}/{name}") as out:
-        out.write(pack((r.host, r.path, r.verdict) for r in rules.toLocalIterator()))
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
+    unsigned = F.col("digest").bitwiseXOR(F.lit(-(1 << 63)))  # its order is that of the digests
+    ordered = known.repartitionByRange(-(-shape.n // part), unsigned).sortWithinPartitions(unsigned)
+    files = ordered.select("digest", "host", "path", "verdict").mapInArrow(_writing(folder), "name string, first bigint").collect()
+    files = sorted((f.first % (1 << 64), f.name) for f in files)
+    for _, name in files:
+        spark.sparkContext.addFile(f"{folder}/{name}")
+    return [name for _, name in files], [first for first, _ in files], shape.labels, sorted(shape.lengths)
 
 
 def filtered(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str = "url") -> DataFrame:
     """The pages with a struct ``judged``: host, path, rule and verdict."""
-    name = publish(pages.sparkSession, rules)
+    names, firsts, labels, lengths = publish(pages.sparkSession, rules)
     opened: list[DigestArray] = []
 
     @F.arrow_udf("rule string, verdict string")
     def judge(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         if not opened:
-            opened.append(DigestArray(SparkFiles.get(name)))
+            opened.append(DigestArray([DigestFile(SparkFiles.get(n)) for n in names], firsts, labels, lengths))
         answers = opened[0].judge(hosts.to_pylist(), paths.to_pylist())
         rules, verdicts = [a for a, _ in answers], [b or default for _, b in answers]
         return pa.StructArray.from_arrays([pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], ["rule", "verdict"])
 
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    answer = judge(host, path)
-    return pages.withColumn("_a", answer).withColumn(
-        "judged", F.struct(host.alias("host"), path.alias("path"), F.col("_a.rule").alias("rule"), F.col("_a.verdict").alias("verdict"))
-    ).drop("_a")
+    rows = packed(pages.drop("judged"))
+    host, path = host_of(F.col(f"row.{url}")), path_of(F.col(f"row.{url}"))
+    rows = rows.select("row", host.alias("host"), path.alias("path"), judge(host, path).alias("answer"))
+    return rows.select("row.*", F.struct("host", "path", "answer.rule", "answer.verdict").alias("judged"))
