@@ -14,7 +14,7 @@ the document id, then the id. Positions inside a cell come from a window over
 Defined cases: a null text has size 0; a null source is a source of its own, placed
 last; rows that repeat a document id are separate documents; an empty table gives an
 empty mix; a source without words has target 0 and its documents are not taken.
-Columns of the input other than the named ones are kept only by ``mixed``.
+Columns of the input other than the named ones are kept only by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.llm.common import WORD, same, whole_text
+from plaintide.llm.common import WORD, packed, same, whole_text
 from plaintide.session import settle
 
 WEIGHTS = (5, 2, 1)
@@ -98,6 +98,7 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     Rows that repeat a document id are taken together: the copies of the first of
     them, in the order of the mix, hold for each. A column ``copy`` of the input is replaced.
     """
-    taken = mix(documents, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = documents.drop("copy").alias("d").join(taken, same(F.col("d.doc_id"), F.col("_id")) & (F.col("_copies") > 0))
-    return rows.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    taken = mix(documents, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).alias("t")
+    d = packed(documents.drop("copy")).alias("d")
+    rows = d.join(taken, same(F.col("d.row.doc_id"), F.col("t.doc_id")) & (F.col("t.copies") > 0))
+    return rows.select("d.row.*", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int"))).alias("copy"))

@@ -46,7 +46,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaintide.llm.common import WORD, same, shuffle_tasks, whole_text
+from plaintide.llm.common import WORD, packed, same, shuffle_tasks, whole_text
 from plaintide.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no install
@@ -392,9 +392,9 @@ def _in_units(rows: DataFrame, tasks: int, more: list[str]) -> DataFrame:
 
 
 def similar_links(documents: DataFrame, vertices: DataFrame, words: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Links that connect what has the similarity and shares a least shingle: vertices (id, text_hash, fp, n, least).
+    """Links that connect what has the similarity and shares a least shingle: vertices (id, text_hash, fp, n, fresh, least).
 
-    Only where a bucket holds several vertices their texts are read again, for the shingles.
+    Only where a bucket holds several vertices, and a fresh one among them, their texts are read again, for the shingles.
     """
 
     @F.pandas_udf("binary")
@@ -402,8 +402,9 @@ def similar_links(documents: DataFrame, vertices: DataFrame, words: int, similar
         return pd.Series([np.unique(distinct_shingles(t, words).astype(np.uint32)).tobytes() for t in texts])
 
     tasks = shuffle_tasks(documents.sparkSession)
-    keys = settle(vertices.select("id", "text_hash", "fp", "n", F.posexplode("least").alias("mask", "bucket")), "simhash-keys")
-    sizes = keys.groupBy("mask", "bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("n_all")).where("rows > 1")
+    keys = settle(vertices.select("id", "text_hash", "fp", "n", "fresh", F.posexplode("least").alias("mask", "bucket")), "simhash-keys")
+    sizes = keys.groupBy("mask", "bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("n_all"), F.max("fresh").alias("any_fresh"))
+    sizes = sizes.where("rows > 1 AND any_fresh")
     parts = F.ceil(F.greatest(F.col("rows") / chunk, 4 * F.col("n_all") / CHUNK_BYTES)).cast("int")
     keys = keys.drop("n").join(sizes, ["mask", "bucket"])
     keys = keys.select("id", "text_hash", "fp", F.struct("mask", "bucket", _part(parts).alias("part"), parts.alias("parts")).alias("key"))
@@ -451,13 +452,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     return _named(prints, vertices, links(vertices, radius), ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The same, and text_hash, for a similarity of shingle sets, whose radius is too wide for blocks of bits.
-
-    Documents of equal sets are one vertex. Others are compared where they share the first
-    shingle of one of six orders, which similar ones do; the bit-sliced distance names the
-    candidates, and their shingles decide.
-    """
+def sketched(documents: DataFrame, words: int) -> DataFrame:
+    """Rows (doc_id, text_hash, n, fp, shape, least) of the sets of shingles, written down."""
 
     @F.pandas_udf("fp bigint, shape bigint, least array<bigint>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -469,13 +465,25 @@ def similar_documents(documents: DataFrame, words: int = 5, similarity: float =
     hashed = documents.select("doc_id", whole_text().alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), n_words.cast("bigint").alias("n"), of(F.col("text")).alias("s")
     )
-    prints = settle(hashed.select("doc_id", "text_hash", "n", "s.*"), "simhash")
+    return settle(hashed.select("doc_id", "text_hash", "n", "s.*"), "simhash")
+
+
+def similar_documents(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY, prints: DataFrame | None = None) -> DataFrame:
+    """The same, and text_hash, for a similarity of shingle sets, whose radius is too wide for blocks of bits.
+
+    Documents of equal sets are one vertex. Others are compared where they share the first
+    shingle of one of six orders, which similar ones do; the bit-sliced distance names the
+    candidates, and their shingles decide. With ``prints``, sketches of the documents that have
+    a column ``fresh``, documents that are not fresh are known to be unlike each other.
+    """
+    prints = sketched(documents, words).withColumn("fresh", F.lit(True)) if prints is None else prints
     least = [F.min(F.get("least", F.lit(i))).alias(f"l{i}") for i in range(len(_ORDERS))]
     first = F.min(F.struct(F.col("doc_id").alias("id"), "text_hash", "n")).alias("first")
-    vertices = prints.where("doc_id IS NOT NULL").groupBy("fp", "shape").agg(first, *least)
-    vertices = vertices.select("fp", "shape", "first.*", F.array(*[f"l{i}" for i in range(len(_ORDERS))]).alias("least"))
+    vertices = prints.where("doc_id IS NOT NULL").groupBy("fp", "shape").agg(first, F.max("fresh").alias("fresh"), *least)
+    vertices = vertices.select("fp", "shape", "fresh", "first.*", F.array(*[f"l{i}" for i in range(len(_ORDERS))]).alias("least"))
     vertices = settle(vertices, "simhash-vertices")
-    return _named(prints.drop("least", "n"), vertices, similar_links(documents, vertices, words, similarity), ["fp", "shape"]).drop("shape")
+    found = similar_links(documents, vertices, words, similarity)
+    return _named(prints.select("doc_id", "text_hash", "fp", "shape"), vertices, found, ["fp", "shape"]).drop("shape")
 
 
 def _named(prints: DataFrame, vertices: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
@@ -485,20 +493,43 @@ def _named(prints: DataFrame, vertices: DataFrame, found: DataFrame, by: list[st
     return prints.join(named, by, "left")
 
 
-def keep_one(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY, originals: DataFrame | None = None) -> DataFrame:
     """The documents that stay: the smallest id of every component.
 
     Of rows that repeat this id, the one with the smallest text hash stays. A row without an
     id stays unless another such row has its text hash or a named document its shingles.
+    Documents without words are alike, and one of them stays. Extra columns of any name are kept.
+
+    ``originals`` (doc_id, text) are the documents as they were before an earlier stage cut
+    them. Documents are then compared as they were first, and what stays as it is now: copies
+    whose common lines have gone from all but one are found like others. A repeated id goes
+    in the first step only if all its originals go; an id without an original stays in it.
     """
-    classes = similar_documents(documents, words, similarity)
+    if originals is None:
+        return _kept(documents, similar_documents(documents, words, similarity))
+    d, o = packed(documents).alias("d"), originals.select("doc_id", whole_text().alias("text")).alias("o")
+    before = o.join(documents.select("doc_id").distinct().alias("i"), F.col("o.doc_id") == F.col("i.doc_id"), "left_semi")
+    first = sketched(before, words)
+    classes = similar_documents(before, words, similarity, first.withColumn("fresh", F.lit(True)))
+    gone = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
+    gone = settle(gone.select("doc_id"), "like-originals").alias("g")
+    left = d.join(gone, F.col("d.row.doc_id") == F.col("g.doc_id"), "left_anti").select("row.*")
+    # What is left is sketched again only where the text is no longer that of the original.
+    now = left.select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    as_before = first.withColumn("fresh", F.lit(False)).dropDuplicates(["doc_id", "text_hash"])
+    same_text = as_before.join(now.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
+    changed = now.join(as_before.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
+    prints = same_text.unionByName(sketched(changed, words).withColumn("fresh", F.lit(True)))
+    return _kept(left, similar_documents(left, words, similarity, settle(prints, "simhash-now")))
+
+
+def _kept(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents whose id is that of their class, once each."""
     # Rows without an id are told apart by their text.
-    kept = classes.where(same(F.col("doc_id"), F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("_text")
-    )
-    d = documents.withColumn("_hash", F.xxhash64(whole_text())).alias("d")
-    text = F.when(F.col("d.doc_id").isNull(), F.col("d._hash"))
-    match = same(F.col("d.doc_id"), F.col("_id")) & same(text, F.col("_text"))
-    rows = d.join(settle(kept.distinct(), "kept"), match, "left_semi")
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_hash"))).orderBy("_hash")
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_hash")
+    text = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("text_hash")
+    kept = settle(classes.where(same(F.col("doc_id"), F.col("component_id"))).select("doc_id", text).distinct(), "kept").alias("k")
+    d = packed(documents).withColumn("hash", F.xxhash64(whole_text("row.text"))).alias("d")
+    own = F.when(F.col("d.row.doc_id").isNull(), F.col("d.hash"))
+    rows = d.join(kept, same(F.col("d.row.doc_id"), F.col("k.doc_id")) & same(own, F.col("k.text_hash")), "left_semi")
+    one = Window.partitionBy("row.doc_id", F.when(F.col("row.doc_id").isNull(), F.col("hash"))).orderBy("hash")
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
