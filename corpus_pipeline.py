@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir); its result is written as Parquet and read again for
 the next. All but the last return the columns of ``documents``.
+
+Defined cases, the same in every stage unless it says otherwise: a null text is an empty one; texts
+are worked on whole, however long; rows that repeat each other are documents of their own until
+near-duplicates are dropped, which leaves one row for each id; a null id is an id, and a null
+source or language a value of its own; columns beyond those of ``documents`` are kept whatever their
+names, but for ``copy``, which the last stage replaces; an empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaintide.llm import decontaminate, language, lines, mixing, simhash
-from plaintide.llm.common import table
+from plaintide.llm.common import packed, table
 from plaintide.session import settle
 
 #: Near-duplicate stages on shingles take five words and this similarity.
@@ -19,21 +25,29 @@ SIMILARITY = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification does not reject."""
-    rows = language.identified(docs, language.learn(docs), "_language")
-    return rows.where(~F.col("_language.rejected")).select(*docs.columns)
+    """Documents that language identification does not reject. Those without a letter go, null texts among them."""
+    rows = packed(docs).select("row", F.col("row.text").alias("text"))
+    return language.identified(rows, language.learn(docs)).where(~F.col("language.rejected")).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document holds; n_chars follows the text."""
-    kept = lines.dedup_lines(docs)
+    """All documents, without the lines that an earlier document holds; n_chars follows the text.
+
+    A document whose lines all stand in earlier ones stays, with an empty text. Ties go to the smallest id.
+    """
+    kept = lines.dedup_lines(packed(docs).select("row", "row.doc_id", "row.text"))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, SHINGLE_WORDS, SIMILARITY)
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    The stage before takes shared lines from all copies but one, so copies are told by their texts in ``documents``
+    first; what is left is compared as it is now. Documents without words are alike, and one of them stays.
+    """
+    originals = table(spark, sf_dir, "documents")
+    return simhash.keep_one(docs, SHINGLE_WORDS, SIMILARITY, originals)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
