@@ -654,6 +654,12 @@ SELECT group_key, g.group_name, total_assets_k, n_charters, top.name AS largest_
     "match_rate": f"""WITH {MATCHES}, s AS (SELECT count(*) AS companies, count(*) FILTER (matched) AS matched_companies,
   sum(n_complaints)::BIGINT AS complaints, coalesce(sum(n_complaints) FILTER (matched), 0)::BIGINT AS matched_complaints FROM matches)
 SELECT *, {pct('matched_companies', 'companies', 1)} AS pct_companies, {pct('matched_complaints', 'complaints', 1)} AS pct_volume FROM s""",
+    "filtered_distinct_sketched": f"""WITH {CASES}, scope AS (SELECT company, product, CASE WHEN state_type = 'state' THEN state END AS home
+  FROM cases WHERE in_window)
+SELECT 'company' AS level, company, NULL::VARCHAR AS product, count(DISTINCT product) AS products_touched,
+  count(DISTINCT home) AS states_touched FROM scope GROUP BY company
+UNION ALL SELECT 'product', NULL, product, count(DISTINCT product), count(DISTINCT home) FROM scope GROUP BY product
+UNION ALL SELECT 'nation', NULL, NULL, count(DISTINCT product), count(DISTINCT home) FROM scope""",
     "near_misses": f"""WITH {MATCHES} SELECT company, cand AS candidate, shared, {rnd('jaccard', 6)} AS jaccard, {rnd('score', 1)} AS score
 FROM name_scores WHERE score >= 75""",
     "unmatched_top": f"""WITH {MATCHES} SELECT company, n_complaints, match_method FROM matches WHERE NOT matched

@@ -424,6 +424,25 @@ def filtered_distinct(spark, sf_dir):
     return analyses.company_volume(facts).select("company", "products_touched", "states_touched")
 
 
+@query
+def filtered_distinct_sketched(spark, sf_dir):
+    """The same from sketches, and upward; counts of so few values are exact."""
+    facts = t.facts(spark, sf_dir, "company", "product", "state", "state_type", "in_trend_window")
+    return analyses.approximate_breadth(analyses.breadth_cells(facts))
+
+
+@query
+def company_reach(spark, sf_dir):
+    """Approximate number of companies by product, state and nation."""
+    return analyses.company_reach(t.facts(spark, sf_dir, "company", "product", "state", "in_trend_window"))
+
+
+@query
+def company_features_sketched(spark, sf_dir):
+    """Company features with approximate lag percentiles, in one scan of the facts."""
+    return enrichment.company_features(t.facts(spark, sf_dir, *_BASE_COLUMNS), approximate=True)
+
+
 @query
 def filtered_avg(spark, sf_dir):
     facts = t.facts(spark, sf_dir, "company", "days_to_company", "dq_long_routing_lag")

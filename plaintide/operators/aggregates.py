@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.functions.numbers import rounded
+from plaintide.operators.sketches import group_quantiles
 
 
 def counted(*flags: str, **renamed: str) -> list[Column]:
@@ -36,14 +37,16 @@ def lag_mean(places: int) -> Column:
 
 
 def group_percentiles(
-    df: DataFrame, by: list[str], value: str, points: dict[str, float], places: int = 3
+    df: DataFrame, by: list[str], value: str, points: dict[str, float], places: int = 3, approximate: bool = False
 ) -> DataFrame:
-    """Exact interpolated percentiles per group.
+    """Interpolated percentiles per group, exact unless ``approximate`` asks for sketches.
 
     Facts first collapse to (group, value) counts, spread over the cluster by
     both columns; the last step merges one entry per distinct value. The lag has
     three decimals, so a group has at most a thousand entries per day of range.
     """
+    if approximate:
+        return group_quantiles(df, by, value, points, places)
     weights = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_w"))
     shares = F.array(*[F.lit(p) for p in points.values()])
     found = weights.groupBy(*by).agg(F.percentile(F.col(value), shares, F.col("_w")).alias("_p"))

@@ -18,6 +18,7 @@ from plaintide.operators.ranking import (
     ntile,
     with_positions,
 )
+from plaintide.operators.sketches import distinct_rollup, distinct_sketch
 from plaintide.session import settle
 
 
@@ -45,6 +46,29 @@ def company_volume(facts: DataFrame) -> DataFrame:
     )
 
 
+def breadth_cells(facts: DataFrame) -> DataFrame:
+    """Per (company, product): volume, and sketches of products and home states, written once."""
+    home = F.when(F.col("state_type") == "state", F.col("state"))
+    cells = facts.where("in_trend_window").groupBy("company", "product").agg(
+        F.count("*").alias("complaints"),
+        distinct_sketch(F.col("product")).alias("products_touched"),
+        distinct_sketch(home).alias("states_touched"),
+    )
+    return settle(cells, "breadth-cells")
+
+
+def approximate_breadth(cells: DataFrame) -> DataFrame:
+    """Products and home states by company, by product and over the nation, from the same sketches."""
+    levels = {"company": ["company"], "product": ["product"], "nation": []}
+    return distinct_rollup(cells, levels, ["products_touched", "states_touched"])
+
+
+def company_reach(facts: DataFrame) -> DataFrame:
+    """Number of companies by product, by state and over the nation, from sketches of (product, state) cells."""
+    cells = facts.where("in_trend_window").groupBy("product", "state").agg(distinct_sketch(F.col("company")).alias("companies"))
+    return distinct_rollup(settle(cells, "reach-cells"), {"product": ["product"], "state": ["state"], "nation": []}, ["companies"])
+
+
 def _volume_line(facts: DataFrame) -> DataFrame:
     volume = settle(company_volume(facts))
     line, at = global_row_number(volume, -F.col("complaints"), "company")

@@ -13,6 +13,7 @@ from plaintide.operators.aggregates import (
     lag_parts,
     summed,
 )
+from plaintide.operators.sketches import merged_quantile_sketch, quantile_sketch, read_quantiles
 from plaintide.plans.entities import resolve
 from plaintide.session import settle
 
@@ -143,12 +144,14 @@ def _resolved_outcomes():
     ]
 
 
-def company_cells(facts: DataFrame) -> DataFrame:
+def company_cells(facts: DataFrame, sketches: bool = False) -> DataFrame:
     """Counts per (company, product, home state, inside the window), written once.
 
     Totals, features and outcomes of companies are sums of these cells, so that the facts
-    are read once for all of them.
+    are read once for all of them. ``sketches`` adds a quantile sketch of the lags to each
+    cell, from which approximate percentiles come without a second scan.
     """
+    lags = [quantile_sketch("days_to_company").alias("lag_sketch")] if sketches else []
     cells = (
         facts.where(F.col("company").isNotNull())
         .withColumn("home_state", F.when(F.col("state_type") == "state", F.col("state")))
@@ -166,19 +169,22 @@ def company_cells(facts: DataFrame) -> DataFrame:
             F.count("days_to_company").alias("all_lag_n"),
             F.min("date_received").alias("first_complaint"),
             F.max("date_received").alias("last_complaint"),
+            *lags,
         )
     )
     return settle(cells, "company-cells")
 
 
-def company_base(facts: DataFrame, cells: DataFrame | None = None, percentiles: bool = True) -> DataFrame:
+def company_base(
+    facts: DataFrame, cells: DataFrame | None = None, percentiles: bool = True, approximate: bool = False
+) -> DataFrame:
     """Features and resolved outcomes of each company in the trend window.
 
     Counts and breadth come from the cells, the lag percentiles from (company, lag) counts
     of three narrow columns; without ``percentiles`` these stay null and the facts are
-    not read again.
+    not read again. ``approximate`` takes them from the sketches of the cells instead.
     """
-    cells = company_cells(facts) if cells is None else cells
+    cells = company_cells(facts, sketches=approximate) if cells is None else cells
     outcome_names = ["resolved_complaints", *_OUTCOMES]
     counts = [
         "total_complaints", "servicemember_complaints", "older_american_complaints", "with_narrative",
@@ -197,7 +203,11 @@ def company_base(facts: DataFrame, cells: DataFrame | None = None, percentiles:
         .withColumn("avg_days_to_company", lag_mean(3))
     )
     points = {"median_days_to_company": 0.5, "p90_days_to_company": 0.9}
-    if percentiles:
+    if percentiles and approximate:
+        merged = cells.where("in_trend_window").groupBy("company").agg(merged_quantile_sketch("lag_sketch").alias("lags"))
+        found = [c.alias(name) for name, c in read_quantiles("lags", points).items()]
+        breadth = breadth.join(merged.select("company", *found), "company", "left")
+    elif percentiles:
         scope = facts.where("in_trend_window AND company IS NOT NULL")
         breadth = breadth.join(group_percentiles(scope, ["company"], "days_to_company", points), "company", "left")
     else:
@@ -205,8 +215,8 @@ def company_base(facts: DataFrame, cells: DataFrame | None = None, percentiles:
     return breadth.select(*FEATURES, *outcome_names)
 
 
-def company_features(facts: DataFrame) -> DataFrame:
-    return company_base(facts).select(FEATURES)
+def company_features(facts: DataFrame, approximate: bool = False) -> DataFrame:
+    return company_base(facts, approximate=approximate).select(FEATURES)
 
 
 def company_outcomes(facts: DataFrame) -> DataFrame:
