@@ -4,15 +4,17 @@ Base. Four kinds of spans are matched leftmost and without overlap, each over th
 text; matches that fail their check are dropped. The patterns are written with possessive
 parts and run starts, which match what the plain ones do in time linear in the text.
 
-Information-theoretic sanitisation. A protected entity is the text of a base span. The
-terms around it, up to five words to either side, are counted: how often a term stands near
-the entity, against how often it stands anywhere in the corpus. The pointwise mutual
-information of term and entity, as a share of the entity's information content, tells how
-far the term alone discloses the entity: 1 for a term that occurs near it only. Counts
-cover all documents; a pair counts as evidence only if it stands in a number of different
-contexts, so copies of one text are no evidence. In the documents where such a term stands
-near its entity, all its occurrences are removed above one threshold and generalised to
-their word shape above a lower one.
+Information-theoretic sanitisation. A protected entity is the text of a base span, and, as most
+of those stand in one or two places only, the group it belongs to: the domain of an address, the
+network of a number of a machine, the first digits of a card or a phone. The terms in the five
+words to either side are counted: how often a term stands near the entity, against how often
+it stands anywhere in the corpus. The pointwise mutual information of term and entity, as a
+share of the entity's information content, tells how far the term alone discloses the
+entity: 1 for a term that occurs near it only. Counts cover all documents. A pair counts as
+evidence if it stands in a number of different contexts, so that copies of one text are none,
+or if the term stands nowhere in the corpus but near the entity. In the documents where such a
+term stands near its entity, all its occurrences are removed above one threshold and
+generalised to their word shape above a lower one.
 
 Positions of matches come from the lengths of the pieces between them, summed by a window
 per document and kind over narrow rows: code points, end exclusive.
@@ -40,8 +42,10 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 #: A word of letters that is no part of an address or of a name with digits.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}++(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
-REACH = 5
-CONTEXT = 100
+#: Up to so many words next to a match, from the start of the text behind it (or of the reversed text before it).
+REACH = r"^\s*+(?:\S++\s*+){0,5}"
+#: What entities of a kind have in common.
+GROUPS = {"email": r"@(.*)$", "ip": r"^([0-9]+\.[0-9]+\.[0-9]+)\.", "card": r"^([0-9]{6})", "phone": r"^([0-9]{5})"}
 EVIDENCE = 3
 REMOVE_ABOVE = 0.9
 GENERALISE_ABOVE = 0.8
@@ -100,26 +104,32 @@ def _row(kind: str, pieces: Column):
         left, right = F.get(pieces, i), F.get(pieces, i + 1)
         return F.struct(
             F.lit(kind).alias("kind"), i.alias("at"), value.alias("value"), F.length(left).alias("gap"),
-            F.right(left, F.lit(CONTEXT)).alias("before"), F.left(right, F.lit(CONTEXT)).alias("behind"),
+            _terms(F.reverse(F.regexp_extract(F.reverse(left), REACH, 0))).alias("before"),
+            _terms(F.regexp_extract(right, REACH, 0)).alias("behind"),
         )
 
     return row
 
 
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
 def base_matches(documents: DataFrame) -> DataFrame:
     """Rows of base spans, and one row without kind for every document.
 
     Columns: doc_id, text_hash, copies (rows that repeat the document), n_terms, kind, at,
-    value, start, end, before and behind (the text next to the match).
+    value, start, end, before and behind (the terms next to the match).
     """
     docs = documents.select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     lists = docs.withColumn("n_terms", F.regexp_count("text", F.lit(TERM)).cast("bigint"))
     for kind, pattern in PATTERNS.items():
         found, pieces = _matches(kind, pattern)
         lists = lists.withColumn(f"_m_{kind}", found).withColumn(f"_p_{kind}", pieces)
+    none = F.expr("cast(array() AS array<string>)")
     empty = F.struct(
         F.lit(None).cast("string").alias("kind"), F.lit(-1).alias("at"), F.lit("").alias("value"), F.lit(0).alias("gap"),
-        F.lit("").alias("before"), F.lit("").alias("behind"),
+        none.alias("before"), none.alias("behind"),
     )
     rows = [F.array(empty), *[F.transform(f"_m_{kind}", _row(kind, F.col(f"_p_{kind}"))) for kind in PATTERNS]]
     flat = lists.select(*_KEY, "n_terms", F.inline(F.concat(*rows)))
@@ -132,31 +142,40 @@ def base_matches(documents: DataFrame) -> DataFrame:
     return placed.where(F.col("kind").isNull() | _holds(F.col("kind"), F.col("value"))).drop("gap")
 
 
+def _group(kind: Column, value: Column) -> Column:
+    """The group of an entity, by its digits where it is a card or a phone; empty where it has none."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    found = F.lit("")
+    for name, pattern in GROUPS.items():
+        text = digits if name in ("card", "phone") else F.lower(value)
+        found = F.when(kind == name, F.regexp_extract(text, pattern, 1)).otherwise(found)
+    return found
+
+
 def near_terms(matches: DataFrame) -> DataFrame:
-    """Rows (key, entity, term, context): the terms next to every base span."""
-    before = F.when(F.length("before") == CONTEXT, F.regexp_replace("before", r"^\S*", "")).otherwise(F.col("before"))
-    behind = F.when(F.length("behind") == CONTEXT, F.regexp_replace("behind", r"\S*$", "")).otherwise(F.col("behind"))
-    left = F.slice(F.reverse(F.regexp_extract_all(before, F.lit(TERM), F.lit(0))), 1, REACH)
-    right = F.slice(F.regexp_extract_all(behind, F.lit(TERM), F.lit(0)), 1, REACH)
-    rows = matches.where("kind IS NOT NULL").select(*_KEY, "kind", "value", left.alias("l"), right.alias("r"))
-    return rows.select(
-        *_KEY, F.xxhash64("kind", "value").alias("entity"), F.xxhash64("l", "r").alias("context"),
-        F.explode(F.concat("l", "r")).alias("term"),
-    ).withColumn("term", F.lower("term"))
+    """Rows (key, copies, entity, term, context): the terms next to every base span, for the span and for its group."""
+    kind, value = F.col("kind"), F.col("value")
+    entities = F.array(F.xxhash64(F.lit("one"), kind, value), F.xxhash64(F.lit("group"), kind, _group(kind, value)))
+    rows = matches.where("kind IS NOT NULL").select(
+        *_KEY, "copies", F.explode(entities).alias("entity"), F.xxhash64("before", "behind").alias("context"),
+        F.concat("before", "behind").alias("terms"),
+    )
+    return rows.select(*_KEY, "copies", "entity", "context", F.explode("terms").alias("term"))
 
 
 def disclosing(documents: DataFrame, near: DataFrame, n_terms: int | Column, evidence: int = EVIDENCE) -> DataFrame:
     """Rows (entity, term, disclosure) of pairs with evidence: pointwise mutual information over information content."""
-    pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = near.groupBy("entity", "term", "context").agg(F.sum("copies").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
-    around = near.groupBy("entity").agg(F.count("*").alias("around"))
-    pairs = settle(pairs.where(F.col("contexts") >= evidence).join(around, "entity"), "pii-pairs")
-    words = documents.select(F.explode(F.regexp_extract_all(whole_text(), F.lit(TERM), F.lit(0))).alias("term"))
-    words = words.select(F.lower("term").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("anywhere"))
+    around = near.groupBy("entity").agg(F.sum("copies").alias("around"))
+    pairs = settle(pairs.join(around, "entity"), "pii-pairs")
+    terms = settle(pairs.select("term").distinct(), "pii-near-terms")
+    words = documents.select(F.explode(_terms(whole_text())).alias("term"))
+    counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("anywhere"))
     content = F.log2(F.greatest(n_terms / F.col("around"), F.lit(2.0)))
     mutual = F.log2(F.col("together") * n_terms / (F.col("anywhere") * F.col("around").cast("double")))
-    return pairs.join(counts, "term").select("entity", "term", (mutual / content).alias("disclosure"))
+    told = pairs.join(counts, "term").where((F.col("contexts") >= evidence) | (F.col("together") >= F.col("anywhere")))
+    return told.select("entity", "term", (mutual / content).alias("disclosure"))
 
 
 def term_spans(documents: DataFrame, marked: DataFrame) -> DataFrame:
