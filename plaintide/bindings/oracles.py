@@ -796,3 +796,8 @@ ORDER BY o_orderkey LIMIT 1000""",
 FROM cases WHERE in_window AND resolved UNION ALL SELECT 'monthly_overall', count(DISTINCT year_month), NULL FROM cases WHERE in_window
 UNION ALL SELECT 'failing', 0, 'no such report'""",
 }
+
+
+ORACLES["clean_log"] = ORACLES["clean_metrics"]
+ORACLES["ingest_history"] = """WITH e AS (SELECT CASE WHEN event_id % 97 <> 5 THEN event_id END AS event_id, event_type FROM events)
+SELECT CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 2 END AS run, event_id, event_type FROM e WHERE event_id IS NOT NULL"""

@@ -26,7 +26,7 @@ from plaintide.plans import (
 )
 from plaintide.schemas import all_strings
 from plaintide.session import settle, shared_folder
-from plaintide.sources import bulk, pages
+from plaintide.sources import bulk, history, pages
 from plaintide.sources import tables as files
 from plaintide.sources.tables import typed, write_csv
 from plaintide.streaming import ingest
@@ -959,6 +959,24 @@ def sample_extract(spark, sf_dir):
     return bulk.scan_strings(spark, path, all_strings(orders.columns))
 
 
+@query
+def ingest_history(spark, sf_dir):
+    """Events in three overlapping runs against a bucketed history of ids: every id once."""
+    name = f"history_{uuid.uuid4().hex}"
+    events = t.table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(0).alias("place"))
+    events = events.select(F.when(F.col("event_id") % 97 != 5, F.col("event_id")).alias("event_id"), "event_type", "place")
+    shares = [F.col("event_id") % 3 != 0, F.col("event_id") % 3 != 1, F.lit(True)]
+    runs = [history.ingest(events.where(share | F.col("event_id").isNull()), "event_id", ["place"], name, 8) for share in shares]
+    rows = [run.select(F.lit(n + 1).alias("run"), "event_id", "event_type") for n, run in enumerate(runs)]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+@query
+def clean_log(spark, sf_dir):
+    """Counters of the cleaning stage, observed while the clean rows are written."""
+    return cleaning.land_clean(t.raw_complaints(spark, sf_dir), shared_folder(spark, "clean"), t.TREND_END)[1]
+
+
 @query
 def replace_table(spark, sf_dir):
     """A table that is written twice holds what was written last."""
@@ -978,14 +996,14 @@ def named_views(spark, sf_dir):
 
 @query
 def query_runner(spark, sf_dir):
-    """Named queries exported one after the other; a failing one is reported and stops nothing."""
+    """Named queries exported two at a time; a failing one is reported and stops nothing."""
     target = shared_folder(spark, "runner")
 
     def failing(_spark, _source):
         raise ValueError("no such report")
 
     chosen = {name: QUERIES[name] for name in ("national_baseline", "monthly_overall")} | {"failing": failing}
-    failures = files.run_named(spark, chosen, sf_dir, target)
+    failures = files.run_named(spark, chosen, sf_dir, target, side_by_side=2)
     rows = [
         spark.read.option("header", True).csv(f"{target}/{name}").agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("name"), "row_count", F.lit(None).cast("string").alias("failure")

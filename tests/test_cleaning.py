@@ -96,3 +96,14 @@ def test_chi_square_identity(spark):
     assert row["statistic"] == pytest.approx(expected, abs=1e-6) and row["dof"] == 2 and row["n"] == n
     cells = statistics.residuals(table, "g", ["x", "y"]).collect()
     assert sum(c["residual"] ** 2 for c in cells) == pytest.approx(expected)
+
+
+def test_log_is_counted_while_the_rows_are_written(spark, sf_dir, tmp_path):
+    """The same counters and rows as in two passes; what follows the write does not read the extract."""
+    extract = t.raw_complaints(spark, sf_dir)
+    facts, log = cleaning.land_clean(extract, str(tmp_path / "clean"), t.TREND_END)
+    assert {tuple(r) for r in log.collect()} == {tuple(r) for r in cleaning.clean_metrics(extract, t.TREND_END).collect()}
+    assert "lineitem" not in facts._jdf.queryExecution().executedPlan().toString()
+    plain = cleaning.clean(extract, t.TREND_END)
+    assert facts.columns == plain.columns
+    assert facts.exceptAll(plain).count() == 0 and facts.count() == plain.count()

@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from plaintide import schemas
 from plaintide.plans import cleaning
 from plaintide.session import shared_folder
-from plaintide.sources import bulk, pages, tables
+from plaintide.sources import bulk, history, pages, tables
 from plaintide.streaming import ingest
 
 
@@ -73,10 +75,63 @@ def test_watermark_drops_repeats_within_the_delay(spark):
 
 
 def test_replace_table(spark):
+    name = f"replaced_{uuid.uuid4().hex}"
     for rows in (5, 3):
-        tables.replace_table(spark.range(rows), "plaintide_replaced")
-        assert spark.table("plaintide_replaced").count() == rows
-    spark.sql("DROP TABLE plaintide_replaced")
+        tables.replace_table(spark.range(rows), name)
+        assert spark.table(name).count() == rows
+    # A write that fails leaves the name at what it read before; so does one that is under way.
+    broken = spark.range(4).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        tables.replace_table(broken, name)
+    assert spark.table(name).count() == 3
+    reader = spark.table(name)
+    tables.replace_table(spark.table(name).selectExpr("id", "id * 2 AS twice"), name)
+    assert reader.count() == 3 and reader.columns == ["id"]  # begun before the swap
+    assert sorted(map(tuple, spark.table(name).collect())) == [(0, 0), (1, 2), (2, 4)]
+    assert tables.sweep_versions(spark, name) == 3
+    assert spark.table(name).count() == 3 and tables.sweep_versions(spark, name) == 0
+    spark.sql(f"DROP VIEW {name}")
+
+
+def test_reports_side_by_side_with_a_limit(spark):
+    @F.udf("long")
+    def slow(x):
+        time.sleep(60)
+        return x
+
+    reports = {
+        "hangs": lambda s, d: s.range(2).select(slow("id").alias("id")),
+        "good": lambda s, d: s.range(5),
+        "bad": lambda s, d: s.range(1).select(F.raise_error(F.lit("no such rows")).cast("long").alias("id")),
+        "fine": lambda s, d: s.range(7),
+    }
+    target = shared_folder(spark, "side")
+    started = time.time()
+    failures = tables.run_named(spark, reports, "", target, side_by_side=2, limit=12)
+    assert time.time() - started < 50
+    assert failures.keys() == {"hangs", "bad"} and "12" in failures["hangs"] and "no such rows" in failures["bad"]
+    for name, rows in (("good", 5), ("fine", 7)):
+        assert spark.read.option("header", True).csv(f"{target}/{name}").count() == rows
+
+
+def test_history_is_not_shuffled_and_runs_equal_one(spark):
+    name = f"ids_{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(i % 40 if i % 11 else None, i) for i in range(400)], "id bigint, at int")
+    parts = [rows.where(f"at % 3 = {k}") for k in range(3)]
+    found = [history.ingest(part, "id", ["at"], name, 8) for part in parts]
+    ids = [r.id for run in found for r in run.collect()]
+    assert sorted(ids) == list(range(40)) == sorted(r.id for r in pages.first_seen(rows, "id", ["at"]).collect())
+    assert history.ingest(rows, "id", ["at"], name, 8).count() == 0
+    assert spark.table(name).count() == 40
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pages.first_seen(rows, "id", ["at"], spark.table(name))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    stored = plan[plan.index("\n   +- ") :]  # the right side of the join
+    assert "Bucketed: true" in stored and "Exchange" not in stored and "SortMergeJoin" in plan
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_first_seen_skips_null_and_known_ids(spark):
