@@ -66,6 +66,8 @@ SIMILARITY = 0.8
 MISSED = 0.0005
 #: Sets of fewer shingles are compared whatever their distance, whose spread is wider for them.
 FEW = 64
+#: Rows of a unit from which on a row with a link is compared with all others first.
+SPREAD = 32
 #: Bytes of shingles in a chunk, in the rows of a task at a time, and shingles of pairs that are compared at a time.
 CHUNK_BYTES, BLOCK_BYTES, _PAIRED = 8 << 20, 32 << 20, 1 << 21
 
@@ -274,6 +276,26 @@ def spanning_links(unit: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
     sizes = np.diff(np.concatenate((starts, [len(unit)])))
     size_of = np.repeat(sizes, sizes)
     place = np.arange(len(unit)) - np.repeat(starts, sizes)
+    tried = np.zeros(len(unit), bool)
+
+    def spread(ends: np.ndarray) -> None:
+        """Compare rows that have a link with all others of their unit at once.
+
+        Copies are mostly like one text and less like each other: once that text is found, all its copies are linked,
+        and pairs of them need no comparison.
+        """
+        for e in ends.tolist():
+            low, high = e - place[e], e - place[e] + size_of[e]
+            tried[e] = True
+            other = low + np.flatnonzero(label[low:high] != label[e])
+            other = other[(side[other] == 0) | (side[other] != side[e])]
+            near = (np.bitwise_count(fps[other] ^ fps[e]) <= radius) | (shingles.few[other] & shingles.few[e])
+            other = other[near]
+            if len(other):
+                same_text = np.full(len(other), e)
+                like = shingles.alike(same_text, other)
+                _merge(label, same_text[like], other[like])
+
     least = 1
     while least < (sizes.max() if len(sizes) else 0):
         # Units of similar size are compared together, so that a shift is of use to most rows.
@@ -303,6 +325,9 @@ def spanning_links(unit: np.ndarray, side: np.ndarray, fps: np.ndarray, radius:
                     found = found[shingles.alike(rows[found], rows[found + by])]
                 if len(found):
                     _merge(label, rows[found], rows[found + by])
+                    if shingles is not None and least >= SPREAD:
+                        ends = np.unique(np.concatenate((rows[found], rows[found + by])))
+                        spread(ends[~tried[ends]])
         least *= 2
     return label
 
