@@ -6,8 +6,8 @@ give the same numbers at any size from stretches of the order of the values:
 * ``value_positions`` ranks *distinct values*. Rows collapse into a ``value -> ties``
   histogram (with map-side combine, so one value held by most rows costs nothing). A value
   falls into a stretch that follows from the value alone; each stretch is ordered on its
-  own, and only the list of stretches that hold values, some 700,000 at the most, sees a
-  further window.
+  own, and only the list of stretches that hold values, 1.5 million at the very most and a
+  few thousand for counts and rates, sees a further window.
 * ``global_row_number`` numbers rows with a unique name: by value, and rows that tie by the
   first letters of their names, then by name.
 
