@@ -169,9 +169,9 @@ def disclosing(documents: DataFrame, near: DataFrame, n_terms: int | Column, evi
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
     around = near.groupBy("entity").agg(F.sum("copies").alias("around"))
     pairs = settle(pairs.join(around, "entity"), "pii-pairs")
-    terms = settle(pairs.select("term").distinct(), "pii-near-terms")
+    # Counted in the map tasks: what is shuffled is each task's distinct terms, whether few or many of them are asked for.
     words = documents.select(F.explode(_terms(whole_text())).alias("term"))
-    counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("anywhere"))
+    counts = words.groupBy("term").agg(F.count("*").alias("anywhere"))
     content = F.log2(F.greatest(n_terms / F.col("around"), F.lit(2.0)))
     mutual = F.log2(F.col("together") * n_terms / (F.col("anywhere") * F.col("around").cast("double")))
     told = pairs.join(counts, "term").where((F.col("contexts") >= evidence) | (F.col("together") >= F.col("anywhere")))
