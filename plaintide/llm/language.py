@@ -48,6 +48,8 @@ LEAST = 4
 #: Share of the documents told right that the threshold may reject, and the steps in which scores are counted for it.
 REJECTED_SHARE = 0.001
 STEPS = 100_000
+#: Rows of the sample that are fitted on at once.
+BATCH = 32
 UNKNOWN = "und"
 _PART = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
@@ -111,12 +113,40 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], calibrate: np.ndarray, seed: int = 1, epochs: int = 12) -> Model:
-    """Fit on float32 rows of subword counts, which are used up; rows where ``calibrate`` holds set temperature and threshold."""
+@dataclass(frozen=True)
+class Counts:
+    """Rows of subword counts, of which only those that are not zero are held.
+
+    Written out, a row has ``BUCKETS`` numbers, most of them zero; only the rows of a batch ever are, as shares.
+    """
+
+    used: list[np.ndarray]
+    n: list[np.ndarray]
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Counts:
+        used = [np.flatnonzero(row).astype(np.uint16) for row in rows]
+        return cls(used, [row[at].astype(np.float32) for row, at in zip(rows, used)])
+
+    def __len__(self) -> int:
+        return len(self.used)
+
+    def shares(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for line, i in zip(out, rows):
+            line[self.used[i]] = self.n[i] / np.maximum(1, self.n[i].sum())
+        return out
+
+
+def _batches(rows: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(rows, max(1, len(rows) // BATCH))
+
+
+def train(counts: Counts | np.ndarray, labels: np.ndarray, languages: tuple[str, ...], calibrate: np.ndarray, seed: int = 1, epochs: int = 12) -> Model:
+    """Fit on rows of subword counts; those where ``calibrate`` holds set temperature and threshold."""
     rng = np.random.default_rng(seed)
     k = len(languages)
-    x = counts  # as shares, in place: the largest array of the driver is held once
-    x /= np.maximum(1, x.sum(axis=1, keepdims=True))
+    x = counts if isinstance(counts, Counts) else Counts.of(counts)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.5, (DIMENSIONS, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
@@ -125,8 +155,8 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], ca
     importance = (1 / np.maximum(share, 1e-3) / k).astype(np.float32)
     seen = [np.full_like(p, 1e-8) for p in (table, weights, bias)]
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
-            xs = x[part]
+        for part in _batches(rng.permutation(fit)):
+            xs = x.shares(part)
             mean = xs @ table
             slope = _softmax(mean @ weights + bias)
             slope[np.arange(len(part)), labels[part]] -= 1
@@ -137,7 +167,8 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], ca
                 p -= 0.15 * g / np.sqrt(s)
     scores = (table @ weights).astype(np.float64)
     held = np.flatnonzero(calibrate) if calibrate.any() else fit
-    logits, truth = (x[held] @ scores.astype(np.float32)).astype(np.float64) + bias, labels[held]
+    logits = np.concatenate([x.shares(part) @ scores.astype(np.float32) for part in _batches(held)]).astype(np.float64) + bias
+    truth = labels[held]
 
     def loss(t: float) -> float:
         return float(-np.log(np.maximum(1e-12, _softmax(logits / t)[np.arange(len(held)), truth])).mean())
@@ -193,9 +224,7 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> Model:
     if frame.empty:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     names = tuple(sorted(set(frame["lang"])))
-    counts = np.zeros((len(frame), BUCKETS), np.float32)
-    for i, (used, n) in enumerate(zip(frame["used"], frame["n"])):
-        counts[i, np.frombuffer(used, np.uint16)] = np.frombuffer(n, np.float32)
+    counts = Counts([np.frombuffer(v, np.uint16) for v in frame["used"]], [np.frombuffer(v, np.float32) for v in frame["n"]])
     labels = np.array([names.index(v) for v in frame["lang"]])
     model = train(counts, labels, names, (frame["draw"].to_numpy() // 7 % 5 == 0))
     return calibrated(model, drawn.where("NOT chosen OR chosen IS NULL OR draw DIV 7 % 5 = 0"))

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, calibration and edge cases."""
 
+import tracemalloc
+
 import numpy as np
 from plaintide.llm import language
 from plaintide.llm.common import table
@@ -129,3 +131,21 @@ def test_every_language_is_learnt(spark):
     model = language.learn(docs)
     learnt = {r.lang for r in docs.where(~language.held_out()).select("lang").distinct().collect()}
     assert len(model.languages) >= 0.97 * len(learnt) > 280
+
+
+def test_training_never_writes_the_whole_sample_out():
+    """The driver holds the counts that are not zero, and the rows of one batch."""
+    rng = np.random.default_rng(2)
+    rows = 4000
+    used = [np.sort(rng.choice(language.BUCKETS, 40, replace=False)).astype(np.uint16) for _ in range(rows)]
+    counts = language.Counts(used, [np.ones(40, np.float32) for _ in range(rows)])
+    labels = rng.integers(0, 4, rows)
+    tracemalloc.start()
+    language.train(counts, labels, ("a", "b", "c", "d"), np.arange(rows) % 5 == 0, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows * language.BUCKETS * 4 / 8
+    dense = np.zeros((50, language.BUCKETS), np.float32)
+    dense[np.arange(50), rng.integers(0, language.BUCKETS, 50)] = 3
+    shares = language.Counts.of(dense).shares(np.arange(50))
+    assert np.array_equal(shares, dense / dense.sum(axis=1, keepdims=True))
