@@ -22,6 +22,19 @@ BUSINESS_KEY = [
 DATE_ONLY_KEY = ["date_received", *BUSINESS_KEY[1:]]
 
 
+# More partitions than any table has.
+_ANY_PARTITIONS = 1 << 20
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions, with the code of the steps before and after generated apart.
+
+    Fused, the steps make methods above 8,000 bytes, which the JVM never compiles. Lowering the number of
+    partitions to more than there are moves nothing and ends the fused code.
+    """
+    return df.coalesce(_ANY_PARTITIONS)
+
+
 def type_dates(df: DataFrame) -> DataFrame:
     received = dates.utc_timestamp(F.col("date_received"))
     sent = dates.utc_timestamp(F.col("date_sent_to_company"))
@@ -131,13 +144,15 @@ def fill_and_flag(df: DataFrame, trend_end: str = TREND_END) -> DataFrame:
         "dq_partial_period": dates.after_window(F.col("date_received"), trend_end),
         "has_narrative": flag(F.col("has_narrative").try_cast("boolean")),
     }
-    return filled.withColumns(flags).withColumn("in_trend_window", ~F.col("dq_partial_period"))
+    return _apart(filled).withColumns(flags).withColumn("in_trend_window", ~F.col("dq_partial_period"))
 
 
 def prepare(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
     """Everything but the dedupe, with all clean columns."""
-    steps = classify_geography(repair_taxonomy(type_dates(canonicalise_companies(raw))))
-    return project(fill_and_flag(steps, trend_end))
+    steps = _apart(canonicalise_companies(_apart(raw)))
+    for step in (type_dates, repair_taxonomy, classify_geography):
+        steps = _apart(step(steps))
+    return _apart(project(fill_and_flag(steps, trend_end)))
 
 
 def project(df: DataFrame) -> DataFrame:

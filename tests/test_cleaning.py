@@ -107,3 +107,14 @@ def test_log_is_counted_while_the_rows_are_written(spark, sf_dir, tmp_path):
     plain = cleaning.clean(extract, t.TREND_END)
     assert facts.columns == plain.columns
     assert facts.exceptAll(plain).count() == 0 and facts.count() == plain.count()
+
+
+def test_steps_are_generated_apart_and_nothing_moves(spark):
+    """Fused, the steps are methods that the JVM never compiles; ending the fused code changes no partition."""
+    raw = t.raw_complaints(spark, "/root/testdata/sf0.001").repartition(3)
+    prepared = cleaning.prepare(raw)
+    plan = prepared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"Repartition {cleaning._ANY_PARTITIONS}, false") >= 6
+    assert prepared.count() == raw.count()
+    rows = cleaning._apart(raw)
+    assert rows.rdd.getNumPartitions() == raw.rdd.getNumPartitions()
