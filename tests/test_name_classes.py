@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import names
 from plaintide.operators import name_join
-from plaintide.operators.similarity import token_set_score
+from plaintide.operators.similarity import class_bound, token_set_score
 from plaintide.plans import entities
 
 WORDS = ["RED", "BLUE", "OLD", "RING", "BOLT", "NATION", "BANK", "NATIONAL", "ASSOCIATION", "TRUST"]
@@ -71,3 +71,76 @@ def test_numbered_names_add_no_class(spark):
 
     assert counts(200) == (200, [1, 3], 3)
     assert counts(800) == (800, [1, 3], 3)
+
+
+def test_bound_of_classes_holds_for_every_pair_of_their_names():
+    rng = random.Random(7)
+    fixed = ["RED", "RING", "3", "47", "BANK"]
+
+    def word():
+        return rng.choice([f"K{rng.randint(0, 99):02d}", str(rng.randint(0, 99)), f"{rng.randint(0, 9)}Z", "ELM", "K7X"])
+
+    def name():
+        return sorted({*rng.sample(fixed, rng.randint(0, 3)), *(word() for _ in range(rng.randint(0, 2)))} or {"ELM"})
+
+    def shaped(words):
+        rest = ["".join("0" if c.isdigit() else c for c in w) for w in words if w not in fixed]
+        return [w for w in words if w in fixed], rest
+
+    tight = 0
+    for _ in range(20000):
+        left, right = name(), name()
+        if (set(left) & set(right)) - set(fixed):
+            continue
+        rests = [" ".join(w for w in side if w not in (set(left) & set(right))) for side in (left, right)]
+        if not all(rests):
+            continue
+        kept = all_pairs_kept(*rests)
+        total = len(" ".join(left)) + len(" ".join(right))
+        edited = 100.0 - 100.0 * (len(rests[0]) + len(rests[1]) - 2 * kept) / total
+        bound = class_bound(*shaped(left), *shaped(right))
+        assert bound >= edited - 1e-9, (left, right)
+        tight += bound == edited
+    assert tight > 2000
+    # Two numbers of one shape differ in a digit, and so do the numbers beside them.
+    words = ["BANK", "NATION", "RED", "RING"]
+    assert class_bound([*words, "1"], ["K000000"], [*words, "1"], ["K000000"]) == 100.0 - 100.0 * 2 / 60
+    assert class_bound([*words, "1"], ["K000000"], [*words, "2"], ["K000000"]) == 100.0 - 100.0 * 4 / 60
+
+
+def all_pairs_kept(left, right):
+    row = [0] * (len(right) + 1)
+    for a in left:
+        before = row
+        row = [0]
+        for j, b in enumerate(right):
+            row.append(before[j] + 1 if a == b else max(before[j + 1], row[-1]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("near_misses", [True, False])
+def test_members_of_classes_that_cannot_win_are_not_paired(spark, monkeypatch, near_misses):
+    """A company without a charter of its own meets the members of one class, not those of all with the same overlap."""
+    monkeypatch.setattr(name_join, "RARE", 3)
+    paired, members = [], name_join.members
+
+    def counted(*sides):
+        pairs = members(*sides)
+        paired.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(name_join, "members", counted)
+    charters = [(f"Red Ring Nation {n} K{i:06d} Bank", f"{n}{i:06d}", "1000", "TX", None) for n in range(1, 7) for i in range(n, 240, 6)]
+    companies = [(f"Red & Ring Nation {n} K{900000 + i:06d} Bank", 1) for n in (1, 2) for i in range(n, 60, 6)]
+    # No number is right; it is not accepted, whatever the class.
+    companies += [(f"K{700000 + i:06d} Ring Red Nation Financial Group", 1) for i in range(20)]
+    left = spark.createDataFrame(companies, "company string, n_complaints bigint")
+    rows = entities.resolve(left, spark.createDataFrame(charters, all_pairs.FEED), near_misses=near_misses).collect()
+    every = {c: c.replace("&", "AND").upper().replace(" AND ", " ") for c, _ in companies}
+    expected = all_pairs._labelled(set(every.values()), {c[0].upper() for c in charters})
+    matched = {r["company"] for r in rows if r["matched"]}
+    assert matched == {c for c, norm in every.items() if expected[norm][0] == "fuzzy_auto"} and len(matched) == 20
+    if near_misses:
+        assert {r["company"]: r["match_score"] for r in rows} == {c: expected[norm][1] for c, norm in every.items()}
+    else:
+        assert sum(paired) <= 20 * 40
