@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plaintide.functions import dates, geography, names, outcomes, taxonomy
 from plaintide.functions.numbers import flag, rounded
 from plaintide.schemas import CLEAN_COLUMNS, RAW_COLUMNS
-from plaintide.session import settle
+from plaintide.session import settle, shared_folder, shuffles_dropped
 
 TREND_END = "2025-12-31"
 BUSINESS_KEY = [
@@ -22,6 +22,8 @@ BUSINESS_KEY = [
 DATE_ONLY_KEY = ["date_received", *BUSINESS_KEY[1:]]
 
 
+# The prepared rows are written in so many parts: what is moved for one is gone before the next.
+LANDING_PARTS = 3
 # More partitions than any table has.
 _ANY_PARTITIONS = 1 << 20
 
@@ -113,7 +115,8 @@ def canonicalise_companies(df: DataFrame) -> DataFrame:
     join shuffles and adaptive execution splits the partition of a frequent text.
     """
     known = _canonical(_spellings(df)).select("company", "company_raw", "company_key", "company_clean")
-    known = settle(known, "spellings")  # the planner broadcasts by its measured size
+    with shuffles_dropped(df.sparkSession):
+        known = settle(known, "spellings")  # the planner broadcasts by its measured size
     joined = df.join(known, "company", "left")
     return joined.withColumn("company", F.col("company_clean")).drop("company_clean")
 
@@ -185,7 +188,8 @@ def drop_double_submissions(
     )
     hashed = df.withColumn("_hash", F.xxhash64(*key))
     repeated = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
-    repeated = settle(repeated, "repeated-keys")
+    with shuffles_dropped(df.sparkSession):
+        repeated = settle(repeated, "repeated-keys")
     alone = hashed.join(repeated, "_hash", "left_anti")
     contested = hashed.join(repeated, "_hash", "left_semi").withColumn("_rn", F.row_number().over(best))
     return alone.unionByName(contested.where("_rn = 1").drop("_rn")).drop("_hash")
@@ -203,7 +207,23 @@ def repeats(df: DataFrame, key: list[str]) -> DataFrame:
 
 def clean(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
     """The whole cleaning stage."""
-    return drop_double_submissions(prepare(raw.select(*RAW_COLUMNS), trend_end))
+    prepared = prepare(raw.select(*RAW_COLUMNS), trend_end)
+    return drop_double_submissions(_landed(prepared, shared_folder(raw.sparkSession, "prepared")))
+
+
+def _landed(prepared: DataFrame, path: str) -> DataFrame:
+    """The prepared rows written below ``path`` and read back; the extract is read by no further job.
+
+    The extract may be joined from tables, and what its joins move is larger than the rows themselves. A part is chosen by a
+    hash of the id, which the scan of the table with the ids filters by, so a third of that is on disk at a time.
+    """
+    spark = prepared.sparkSession
+    part = F.pmod(F.xxhash64("complaint_id"), F.lit(LANDING_PARTS))
+    for k in range(LANDING_PARTS):
+        writer = prepared.where(part == k).write.mode("append" if k else "overwrite").option("compression", "zstd")
+        with shuffles_dropped(spark):
+            writer.parquet(path)
+    return spark.read.schema(prepared.schema).parquet(path)
 
 
 def metric_columns() -> dict[str, Column]:

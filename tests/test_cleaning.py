@@ -1,5 +1,7 @@
 """Invariants of the cleaning stage and of the reports."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,50 @@ def test_steps_are_generated_apart_and_nothing_moves(spark):
     assert prepared.count() == raw.count()
     rows = cleaning._apart(raw)
     assert rows.rdd.getNumPartitions() == raw.rdd.getNumPartitions()
+
+
+UNCACHED = "/root/testdata/sf0.01"  # the fixture above keeps the smaller extract in memory
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+
+def _shuffles_left(spark, before):
+    for _ in range(100):  # they are removed in the background
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_cleaning_leaves_no_shuffle_files(spark):
+    """Names, prepared rows and repeated keys are files by then; what was moved for them is gone."""
+    before = _shuffle_files(spark)
+    facts = cleaning.clean(t.raw_complaints(spark, UNCACHED), t.TREND_END)
+    assert not _shuffles_left(spark, before)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "complaint_id" in plan
+
+
+def test_a_part_of_the_rows_is_chosen_in_the_scan(spark, tmp_path):
+    """Each part filters the table with the ids before it moves any row; the parts make up the whole, rows without id too."""
+    raw = t.raw_complaints(spark, UNCACHED)
+    prepared = cleaning.prepare(raw, t.TREND_END)
+    text = prepared.where(F.pmod(F.xxhash64("complaint_id"), F.lit(3)) == 1)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    chosen = next(i for i, line in enumerate(text) if "Filter" in line and "xxhash64" in line)
+    assert "Relation" in text[chosen + 1] and "l_orderkey" in text[chosen + 1]
+    some = prepared.limit(50).unionByName(prepared.limit(3).withColumn("complaint_id", F.lit(None).cast("string"))).localCheckpoint()
+    assert cleaning._landed(some, str(tmp_path / "some")).exceptAll(some).count() == 0
+    assert spark.read.parquet(str(tmp_path / "some")).count() == 53
+
+
+def test_lines_are_moved_for_no_customer(spark):
+    """Customers join orders before these join the lines."""
+    lines = t.raw_complaints(spark, UNCACHED)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    join = next(i for i, line in enumerate(lines) if "Join Inner" in line and "c_custkey" in line and "o_custkey" in line)
+    below = [line for i, line in enumerate(lines) if i > join and all(d > depth[join] for d in depth[join + 1 : i + 1])]
+    assert any("c_custkey" in line for line in below) and not any("l_orderkey" in line for line in below)
