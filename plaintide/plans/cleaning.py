@@ -6,7 +6,7 @@ part of the meaning, since fills happen before completeness is counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaintide.functions import dates, geography, names, outcomes, taxonomy
@@ -270,17 +270,12 @@ def clean_metrics(raw: DataFrame, trend_end: str = TREND_END) -> DataFrame:
 
 
 def land_clean(raw: DataFrame, path: str, trend_end: str = TREND_END) -> tuple[DataFrame, DataFrame]:
-    """Write the prepared facts below ``path`` and return them read back, and the counters of that same pass.
+    """Write the prepared facts below ``path`` and return them without double submissions, and the counters of all of them.
 
-    The counters are observed while the rows are written; Spark takes those of the successful attempt of each
-    task alone, so a retried task counts once. Double submissions are then found and decided on the written
-    columns, and the raw extract is read by no further job.
+    The counters are those of the written rows, which hold each row once whatever task was repeated. Double submissions are
+    found and decided on the written columns too, and the raw extract is read by no further job.
     """
-    spark = raw.sparkSession
     metrics = metric_columns()
-    seen = Observation("cleaning")
-    prepared = prepare(raw.select(*RAW_COLUMNS), trend_end)
-    prepared.observe(seen, *[m.cast("double").alias(name) for name, m in metrics.items()]).write.mode("overwrite").parquet(path)
-    values = seen.get
-    one = spark.range(1).select(*[F.lit(values[name]).cast("double").alias(name) for name in metrics])
-    return drop_double_submissions(spark.read.schema(prepared.schema).parquet(path)), _as_rows(one, list(metrics))
+    landed = _landed(prepare(raw.select(*RAW_COLUMNS), trend_end), path)
+    counted = landed.agg(*[m.cast("double").alias(name) for name, m in metrics.items()])
+    return drop_double_submissions(landed), _as_rows(counted, list(metrics))

@@ -148,6 +148,13 @@ def test_cleaning_leaves_no_shuffle_files(spark):
     assert "lineitem" not in plan and "complaint_id" in plan
 
 
+def test_cleaning_log_leaves_no_shuffle_files(spark, tmp_path):
+    before = _shuffle_files(spark)
+    facts, log = cleaning.land_clean(t.raw_complaints(spark, UNCACHED), str(tmp_path / "clean"), t.TREND_END)
+    assert not _shuffles_left(spark, before)
+    assert "lineitem" not in log._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_part_of_the_rows_is_chosen_in_the_scan(spark, tmp_path):
     """Each part filters the table with the ids before it moves any row; the parts make up the whole, rows without id too."""
     raw = t.raw_complaints(spark, UNCACHED)
