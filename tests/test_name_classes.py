@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import names
 from plaintide.operators import name_join
-from plaintide.operators.similarity import class_bound, token_set_score
+from plaintide.operators.similarity import block_edits, class_bound, common_subsequence, token_set_score
 from plaintide.plans import entities
 
 WORDS = ["RED", "BLUE", "OLD", "RING", "BOLT", "NATION", "BANK", "NATIONAL", "ASSOCIATION", "TRUST"]
@@ -144,3 +144,43 @@ def test_members_of_classes_that_cannot_win_are_not_paired(spark, monkeypatch, n
         assert {r["company"]: r["match_score"] for r in rows} == {c: expected[norm][1] for c, norm in every.items()}
     else:
         assert sum(paired) <= 20 * 40
+
+
+@pytest.mark.parametrize("letters", [3, 20])
+def test_edits_of_blocks_equal_those_of_each_pair(letters):
+    """Short names, names of more letters than a machine word has, and letters beyond ASCII."""
+    rng = random.Random(letters)
+    words = ["".join(rng.choices("ABC19", k=rng.randint(1, letters))) for _ in range(12)] + ["\u00c9T\u00c9"] * (letters == 3)
+    common = words[:3]
+    for _ in range(60):
+        lefts, rights = ([" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(n)] for n in (4, 7))
+        got = block_edits(lefts, rights, common)
+        for r, right in enumerate(rights):
+            for l, left in enumerate(lefts):
+                a, b = (" ".join(sorted(set(x.split()) - set(common))) for x in (left, right))
+                assert got[r, l] == len(a) + len(b) - 2 * common_subsequence(a, b), (a, b)
+
+
+@pytest.mark.parametrize("floor", [75.0, 88.0])
+def test_names_compared_in_small_blocks_equal_all_pairs(spark, monkeypatch, floor):
+    monkeypatch.setattr(name_join, "RARE", 2)
+    monkeypatch.setattr(name_join, "BLOCKS", (2, 3))
+    left, right = _names(5, 120), _names(6, 120)
+    frames = [spark.createDataFrame([(n,) for n in side], "name string") for side in (left, right)]
+    got = sorted(tuple(r) for r in name_join.similar_names(*frames, floor).collect())
+    assert got == sorted((a, b, token_set_score(a, b)) for a in left for b in right if token_set_score(a, b) >= floor)
+
+
+def test_near_misses_are_not_moved_once_paired(spark):
+    """The review list has as many rows as pairs reach the floor: nothing is joined or shuffled after they are made."""
+    charters = [(f"Red Ring Nation {i % 3} K{i:06d} Bank", f"{i}", "1000", "TX", None) for i in range(120)]
+    companies = [(c, 1) for i in range(900, 940) for c in (f"Red & Ring Nation 1 K{i:06d} Bank", f"The Red Ring Nation 1 K{i:06d} Bank")]
+    left = spark.createDataFrame(companies, "company string, n_complaints bigint")
+    rows = entities.near_misses(left, spark.createDataFrame(charters, all_pairs.FEED))
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(lines) if "Generate posexplode" in line)
+    assert not any("Join" in line or "Repartition" in line for line in lines[:made])
+    got = {(r["company"], r["candidate"]): r["score"] for r in rows.collect()}
+    names_of = {c: c.replace(" & ", " ").removeprefix("The ").upper() for c, _ in companies}
+    scores = {(c, n[0].upper()): token_set_score(norm, n[0].upper()) for c, norm in names_of.items() for n in charters}
+    assert got == {pair: pytest.approx(score, abs=0.051) for pair, score in scores.items() if score >= 75.0} and len(got) > 3000
